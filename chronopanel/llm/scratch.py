@@ -24,6 +24,7 @@ def write_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of finished plans when their objects are collected
     return spark.read.schema(df.schema).parquet(path)
 
 

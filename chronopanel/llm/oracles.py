@@ -23,4 +23,17 @@ SELECT d.doc_id, coalesce(len(l.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::B
 FROM documents d LEFT JOIN lists l USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4}
+OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || '<|im_sep|>' || text || '<|im_end|>' || chr(10)) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_decontaminate": OP4}

@@ -36,4 +36,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_decontaminate": OP4}
+OP10 = r"""
+WITH texts AS (SELECT doc_id, source, text, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 3)),
+often AS (SELECT r, i FROM windows SEMI JOIN (SELECT r, k FROM windows GROUP BY ALL HAVING count(*) > 1) AS twice USING (r, k)),
+repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM often) GROUP BY r),
+lines AS (
+  SELECT r, coalesce('h' || source, '') AS host, md5(text) AS whole, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
+  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+again AS (SELECT r, (count(*) - count(DISTINCT line)) AS n FROM lines GROUP BY r),
+frequent AS (SELECT host, k FROM lines GROUP BY ALL HAVING count(DISTINCT whole) > 50),
+gone AS (SELECT r, sum(n) AS n FROM lines SEMI JOIN frequent USING (host, k) GROUP BY r),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0) AS n_gone
+  FROM texts LEFT JOIN again USING (r) LEFT JOIN repeated USING (r) LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 10 * n_gone > 7 * n_words AS kept
+FROM counts
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_decontaminate": OP4, "op10_line_rules": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import chat_format, decontaminate, html_extract, lm_score, near_dedup, packing, substring_dedup, suffix_dedup
+from chronopanel.llm import chat_format, decontaminate, html_extract, line_rules, lm_score, near_dedup, packing, quality_lines, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _of_remainder(k: int):
+    """Rows whose id falls to the k-th of five folds."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == k, F.lit(False))
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_lines.train(docs, _table(spark, sf_dir, "labels").where(~_of_remainder(0)))
+    scored = quality_lines.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", _of_remainder(0).alias("held_out"), "score", quality_lines.is_kept(F.col("score")).cast("int").alias("predicted"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.without_repeats(docs, keep=["doc_id"])
@@ -72,8 +84,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), held_out)
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), _of_remainder(1))
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = line_rules.with_line_counts(docs, keep=["doc_id"])
+    rules = F.col("rules")
+    failed = line_rules.base_failed(rules)
+    kept = ~failed & ~line_rules.is_depleted(rules)
+    return found.select("doc_id", *(rules[c].alias(c) for c in line_rules.COUNTS), failed.alias("base_failed"), kept.alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_html_extract": op6_html_extract,
+    "op7_line_quality": op7_line_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_score": op9_lm_score,
+    "op10_line_rules": op10_line_rules,
 }

@@ -5,21 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling; a suffix that ends first comes first."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of all suffixes by prefix doubling, and their ranks by the first 1, 2, 4, ... tokens; a suffix that ends first comes first.
+
+    depth: tokens that count at least, all by default; suffixes that agree on them stand together in any order.
+    """
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    order, h = np.argsort(rank, kind="stable"), 1
-    while n and rank.max() < n:
+    levels, order, h = [rank], np.argsort(rank), 1
+    while n and rank.max() < n and (depth is None or h < depth):
         key = rank * (n + 1)
-        key[: n - h] += rank[h:] if h < n else 0
-        order = np.argsort(key, kind="stable")
+        key[: max(0, n - h)] += rank[h:]
+        order = np.argsort(key)
+        key = key[order]
         new = np.ones(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
+        levels.append(rank)
         h *= 2
-    return order
+    return order, levels
 
 
 class BitVector:
@@ -39,12 +44,16 @@ class BitVector:
 
 
 class FMIndex:
-    """tokens: positive integers; 0 separates what no match may cross, is put at the end if absent, and is never searched."""
+    """tokens: positive integers; 0 separates what no match may cross, is put at the end if absent, and is never searched.
+
+    depth: the longest pattern that will be searched; suffixes need no order beyond it.
+    """
 
-    def __init__(self, tokens: np.ndarray) -> None:
+    def __init__(self, tokens: np.ndarray, depth: int | None = None) -> None:
         if not len(tokens) or tokens[-1]:
             tokens = np.append(tokens, 0)
-        self.order = suffix_array(tokens)
+        self.order, self.ranks = suffix_array(tokens, depth)
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         last = tokens[self.order - 1]
         self.levels: list[tuple[BitVector, int]] = []
         self.depth = max(1, int(tokens.max(initial=1)).bit_length())
@@ -65,23 +74,71 @@ class FMIndex:
         return at - start
 
     def extend(self, token: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the suffixes that start with token and go on as those in [low, high)."""
+        """Rows of the suffixes that start with token and go on as those in [low, high); none for a token beyond the alphabet."""
+        known = token < 1 << self.depth
+        token = np.where(known, token, 0)
         first = self.before[token]
-        return first + self.rank(token, low), first + self.rank(token, high)
-
-    def matching_rows(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each start, the rows of suffixes that share the n tokens from there on: matching statistics cut off at n.
-
-        Searches go backward from the last token; those with no match left are not carried on.
+        a, b = first + self.rank(token, low), first + self.rank(token, high)
+        return a, np.where(known, b, a)
+
+    def parents(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, the first row and the row after the last that share its first m tokens."""
+        if m not in self.groups:
+            n, at, left = len(self.order), self.order, m
+            same = np.ones(n - 1, bool)
+            for k in range(len(self.ranks) - 1, -1, -1):
+                while left >> k:
+                    a, b = at[:-1], at[1:]
+                    inside = np.flatnonzero(same & (a < n) & (b < n))
+                    same = np.zeros(n - 1, bool)
+                    same[inside] = self.ranks[k][a[inside]] == self.ranks[k][b[inside]]
+                    at, left = at + (1 << k), left - (1 << k)
+            cuts = np.flatnonzero(~same) + 1
+            group = np.zeros(n, np.int64)
+            group[cuts] = 1
+            group = np.cumsum(group)
+            self.groups[m] = (np.concatenate([[0], cuts])[group], np.append(cuts, n)[group])
+        return self.groups[m]
+
+    def matching_statistics(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts tokens[firsts[i] : firsts[i] + sizes[i]], end to end: at each place the length of the longest match from there on,
+        cut off at n, and the rows that share it.
+
+        Each text is streamed backward: a step extends the match to the left; at n tokens the last is let go by moving to
+        the parent interval, and so it is, token by token, where a match can't be extended.
         """
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order))
-        live = np.arange(len(starts))
-        for k in range(n - 1, -1, -1):
-            a, b = self.extend(tokens[starts[live] + k], low[live], high[live])
-            low[live], high[live] = a, b
-            live = live[a < b]
-        high = np.maximum(low, high)
-        return low, high
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        length, low, high = np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        live_at = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if len(sizes) else 0) + 1), "right")
+        a, b, k = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(self.order)), np.zeros(len(sizes), np.int64)
+        for back, m in enumerate(live_at.tolist(), 1):
+            now = order[:m]
+            place = sizes[now] - back
+            token = tokens[firsts[now] + place]
+            long = now[k[now] == n]
+            if len(long):
+                first, last = self.parents(n - 1)
+                a[long], b[long], k[long] = first[a[long]], last[a[long]], n - 1
+            x, y = self.extend(token, a[now], b[now])
+            stuck = np.flatnonzero(x >= y)
+            while len(stuck):
+                shorter = stuck[k[now[stuck]] > 0]
+                x[stuck], y[stuck] = 0, len(self.order)
+                gone = stuck[k[now[stuck]] == 0]
+                k[now[gone]] = -1
+                for size in np.unique(k[now[shorter]]).tolist():
+                    these = now[shorter[k[now[shorter]] == size]]
+                    first, last = self.parents(size - 1)
+                    a[these], b[these] = (first[a[these]], last[a[these]]) if size > 1 else (0, len(self.order))
+                k[now[shorter]] -= 1
+                x[shorter], y[shorter] = self.extend(token[shorter], a[now[shorter]], b[now[shorter]])
+                stuck = shorter[x[shorter] >= y[shorter]]
+            a[now], b[now] = x, y
+            k[now] += 1
+            spot = offsets[now] + place
+            length[spot], low[spot], high[spot] = k[now], x, y
+        return length, low, high
 
 
 def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -28,11 +28,11 @@ def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tup
     packed = _packed(data)
     rank = np.unique(packed, return_inverse=True)[1].astype(np.int64) + 1
     levels, h = [rank.astype(np.int32)], _PACK
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while h < depth and n:
         key = rank * (n + 1)
         key[: max(0, n - h)] += rank[h:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.ones(n, np.int64)
         new[1:] = sorted_key[1:] != sorted_key[:-1]

@@ -15,6 +15,7 @@ an empty table gives no rows; columns beside the text pass through in remove_rep
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,12 @@ def first_documents(kind: Windows, shard: pa.Table) -> pa.Table:
     inside = np.ones(len(tokens), bool)
     inside[firsts[1:] - 1] = False
     tokens[inside] = np.concatenate(lists)
-    index = FMIndex(tokens)
+    index = FMIndex(tokens, kind.size)
+    length, first, last = index.matching_statistics(tokens, firsts[:-1], sizes, kind.size)
     counts = sizes - kind.size + 1
-    starts = np.arange(counts.sum()) + np.repeat(firsts[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    least = range_least(low[owner][index.order], *index.matching_rows(tokens, starts, kind.size))
+    spots = np.arange(counts.sum()) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    assert (length[spots] == kind.size).all()  # each window is in the index, at its own place at least
+    least = range_least(low[owner][index.order], first[spots], last[spots])
     own = np.repeat(low, counts)
     ends = np.cumsum(counts)
     n = np.asarray(shard.column("n"))
@@ -68,13 +71,11 @@ def repeated_windows(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text:
 def _apply(n: int, texts: pa.Array, starts: pa.Array) -> pa.Array:
     totals, removed, out = [], [], []
     for text, at in zip(texts.to_pylist(), starts.to_pylist(), strict=True):
-        raw = (text or "").encode()
-        data = np.frombuffer(raw, np.uint8)
-        first, end, _ = tb.word_spans(data, np.array([0, len(data)]), tb.SPACE)
-        gone = tb.covered(np.array(at or [], np.int64), n, len(first))
-        totals.append(len(first))
-        removed.append(int(gone.sum()))
-        out.append(b" ".join(raw[s:e] for s, e in zip(first[~gone].tolist(), end[~gone].tolist(), strict=True)).decode())
+        words = (text or "").encode().split()  # at ASCII white space
+        totals.append(len(words))
+        gone = tb.covered(np.array(at, np.int64), n, len(words)) if at else None
+        removed.append(0 if gone is None else int(gone.sum()))
+        out.append(b" ".join(words if gone is None else compress(words, (~gone).tolist())).decode())
     return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["n_words", "n_removed", "text"])
 
 

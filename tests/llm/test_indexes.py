@@ -4,17 +4,25 @@ from chronopanel.llm.fm_index import FMIndex, range_least, suffix_array
 from chronopanel.llm.repeats import maximal_repeats
 
 
-def test_backward_search_finds_all_occurrences():
+def test_backward_search_gives_matching_statistics():
     rng = np.random.default_rng(0)
-    for _ in range(100):
-        n = int(rng.integers(1, 60))
-        tokens = rng.integers(0, 4, n)
-        assert suffix_array(tokens).tolist() == sorted(range(n), key=lambda i: tokens[i:].tolist())
-        index, m = FMIndex(tokens), int(rng.integers(1, 5))
-        starts = np.array([i for i in range(n - m + 1) if tokens[i : i + m].all()], np.int64)
-        low, high = index.matching_rows(tokens, starts, m)
-        for s, a, b in zip(starts, low, high, strict=True):
-            assert sorted(index.order[a:b].tolist()) == [i for i in range(n) if tokens[i : i + m].tolist() == tokens[s : s + m].tolist()]
+    for _ in range(200):
+        size = int(rng.integers(1, 60))
+        tokens = rng.integers(0, 4, size)
+        assert suffix_array(tokens)[0].tolist() == sorted(range(size), key=lambda i: tokens[i:].tolist())
+        n = int(rng.integers(1, 6))
+        index = FMIndex(tokens, n)
+        streams = [rng.integers(1, 4, rng.integers(1, 12)) for _ in range(5)]
+        sizes = np.array([len(s) for s in streams])
+        length, low, high = index.matching_statistics(np.concatenate(streams), np.cumsum(sizes) - sizes, sizes, n)
+        at = 0
+        for s in streams:
+            for i in range(len(s)):
+                found = lambda k: [j for j in range(size) if tokens[j : j + k].tolist() == s[i : i + k].tolist()]  # noqa: B023, E731
+                k = max(k for k in range(min(n, len(s) - i) + 1) if k == 0 or found(k))
+                assert length[at] == k
+                assert k == 0 or sorted(index.order[low[at] : high[at]].tolist()) == found(k)
+                at += 1
 
 
 def test_range_least():

@@ -15,7 +15,7 @@ an empty table gives no rows; columns beside the text pass through in remove_rep
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,22 @@ RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_
 
 
 def first_documents(kind: Windows, shard: pa.Table) -> pa.Table:
-    """For each segment of a shard, of each of its windows the least document that has it; none where that is the segment's own."""
-    segments, low = shard.column("segment").to_pylist(), np.asarray(shard.column("low"))
+    """For each segment of a shard, of each of its windows the least document that has it; none where that is the segment's own.
+
+    Segments whose anchor has no other segment are in no other, and need no index.
+    """
+    low, n = np.asarray(shard.column("low")), np.asarray(shard.column("n"))
+    _, key, times = np.unique(np.asarray(shard.column("key")), return_inverse=True, return_counts=True)
+    lone = np.flatnonzero((times[key] == 1) & (n > 1))
+    found: dict[int, list[int]] = {i: [int(low[i])] * (s.count(b" ") + 2 - kind.size) for i, s in zip(lone.tolist(), shard.column("segment").take(lone).to_pylist(), strict=True)}
+    rows = np.flatnonzero(times[key] > 1)
+    if len(rows):
+        found |= _found_in_index(kind, rows, shard.column("segment").take(rows).to_pylist(), low[rows], n[rows])
+    take = pa.array(list(found), pa.int64())
+    return pa.table([shard.column("key").take(take), shard.column("segment").take(take), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "segment", "found"])
+
+
+def _found_in_index(kind: Windows, rows: np.ndarray, segments: list[bytes], low: np.ndarray, n: np.ndarray) -> dict[int, list[int]]:
     ids: dict[bytes, int] = {}
     lists = [[ids.setdefault(w, len(ids) + 1) for w in s.split(b" ")] for s in segments]
     sizes = np.array([len(x) for x in lists], np.int64)
@@ -43,20 +57,16 @@ def first_documents(kind: Windows, shard: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     inside = np.ones(len(tokens), bool)
     inside[firsts[1:] - 1] = False
-    tokens[inside] = np.concatenate(lists)
+    tokens[inside] = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
     index = FMIndex(tokens, kind.size)
     length, first, last = index.matching_statistics(tokens, firsts[:-1], sizes, kind.size)
     counts = sizes - kind.size + 1
     spots = np.arange(counts.sum()) + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
     assert (length[spots] == kind.size).all()  # each window is in the index, at its own place at least
     least = range_least(low[owner][index.order], first[spots], last[spots])
-    own = np.repeat(low, counts)
     ends = np.cumsum(counts)
-    n = np.asarray(shard.column("n"))
-    earlier = np.add.reduceat(least < own, ends - counts) > 0
-    take = np.flatnonzero(earlier | (n > 1))
-    found = [least[ends[i] - counts[i] : ends[i]].tolist() for i in take]
-    return pa.table([shard.column("key").take(take), shard.column("segment").take(take), pa.array(found, pa.list_(pa.int64()))], names=["key", "segment", "found"])
+    earlier = np.add.reduceat(least < np.repeat(low, counts), ends - counts) > 0
+    return {int(rows[i]): least[ends[i] - counts[i] : ends[i]].tolist() for i in np.flatnonzero(earlier | (n > 1)).tolist()}
 
 
 def repeated_windows(docs: DataFrame, n: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

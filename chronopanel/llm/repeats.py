@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -19,45 +19,64 @@ def _packed(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _starts(changed: np.ndarray) -> np.ndarray:
+    """Of each row, the row at which its run begins; changed: where runs begin."""
+    return np.maximum.accumulate(np.where(changed, np.arange(len(changed)), 0))
+
+
+def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `depth` bytes at least, and the common prefix of each with the one before.
 
-    ends: for each position, where its string ends; no common prefix goes beyond.
+    ends: for each position, where its string ends; no common prefix goes beyond. Common prefixes below `least` may be
+    given as 0. Prefix doubling sorts again only what still shares a rank.
     """
     n = len(data)
     packed = _packed(data)
-    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64) + 1
+    order = np.argsort(packed)
+    changed = np.ones(n, bool)
+    changed[1:] = packed[order][1:] != packed[order][:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = _starts(changed)
     levels, h = [rank.astype(np.int32)], _PACK
-    order = np.argsort(rank)
     while h < depth and n:
-        key = rank * (n + 1)
-        key[: max(0, n - h)] += rank[h:]
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.ones(n, np.int64)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        alone = changed & np.append(changed[1:], True)
+        slots = np.flatnonzero(~alone)
+        if not len(slots):
+            break
+        mine = order[slots]
+        key = rank[mine] * (n + 1)
+        near = mine + h < n
+        key[near] += rank[mine[near] + h] + 1
+        by = np.argsort(key)
+        order[slots], key = mine[by], key[by]
+        changed[slots[1:]] = key[1:] != key[:-1]
+        changed[slots[0]] = True
+        rank[order] = _starts(changed)
         levels.append(rank.astype(np.int32))
         h *= 2
     common = np.zeros(n, np.int64)
     if n > 1:
-        a, b = order[:-1].copy(), order[1:].copy()
-        total = np.zeros(n - 1, np.int64)
+        rows = np.arange(1, n)
+        first = max((k for k in range(len(levels)) if _PACK << k <= least), default=-1)
+        if first >= 0:
+            rows = rows[levels[first][order[1:]] == levels[first][order[:-1]]]
+        left, right = order[rows - 1], order[rows]
+        a, b = left.copy(), right.copy()
+        total = np.zeros(len(rows), np.int64)
         for k in range(len(levels) - 1, -1, -1):
             inside = (a < n) & (b < n)
-            same = np.zeros(n - 1, bool)
+            same = np.zeros(len(rows), bool)
             same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
             step = np.where(same, _PACK << k, 0)
             a, b, total = a + step, b + step, total + step
         inside = (a < n) & (b < n)
-        differ = np.full(n - 1, np.uint64(1 << 63))
+        differ = np.full(len(rows), np.uint64(1 << 63))
         differ[inside] = packed[a[inside]] ^ packed[b[inside]]
-        lead = np.zeros(n - 1, np.int64)
+        lead = np.zeros(len(rows), np.int64)
         for k in range(_PACK):
             lead += (lead == k) & (differ >> np.uint64(8 * (_PACK - 1 - k)) == 0)
         total += np.minimum(lead, _PACK - 1)
-        common[1:] = np.minimum(total, np.minimum(ends[order[:-1]] - order[:-1], ends[order[1:]] - order[1:]))
+        common[rows] = np.minimum(total, np.minimum(ends[left] - left, ends[right] - right))
     return order, common
 
 
@@ -81,32 +100,38 @@ def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeat_groups(strings: Sequence[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, string of each occurrence, offset of each) of the maximal repeats of `least` bytes or more.
+def repeat_groups(strings: Sequence[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all occurrences of the maximal repeats of `least` bytes or more: number of the repeat (ascending), its length, string, offset.
 
     A repeat is maximal if its occurrences differ in what follows and in what goes before; the ends of a string differ
     from everything.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
+    none = np.zeros(0, np.int64)
     if not len(sizes):
-        return
+        return none, none, none, none
     firsts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     data = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     ends = (firsts + sizes)[owner]
-    order, common = enhanced_suffix_array(data, ends, max(least, int(sizes.max())) + 1)
+    order, common = enhanced_suffix_array(data, ends, max(least, int(sizes.max())) + 1, least)
     starts = np.zeros(len(data), bool)
     starts[firsts] = True
     left = np.where(starts[order], -1, data[order - 1].astype(np.int64))
     changes = np.ones(len(order), np.int64)
     changes[1:] = (left[1:] != left[:-1]) | (left[1:] < 0)
     seen = np.cumsum(changes)
-    for length, a, b in intervals(common, least):
-        if seen[b] > seen[a]:
-            at = order[a : b + 1]
-            yield length, owner[at], at - firsts[owner[at]]
+    found = np.array(intervals(common, least), np.int64).reshape(-1, 3)
+    found = found[seen[found[:, 2]] > seen[found[:, 1]]]
+    counts = found[:, 2] - found[:, 1] + 1
+    group = np.repeat(np.arange(len(found)), counts)
+    at = order[np.arange(counts.sum()) + np.repeat(found[:, 1] - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts)]
+    return group, found[group, 0], owner[at], at - firsts[owner[at]]
 
 
 def maximal_repeats(strings: Sequence[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """repeat_groups() as lists of (string, offset)."""
-    return [(n, list(zip(who.tolist(), at.tolist(), strict=True))) for n, who, at in repeat_groups(strings, least)]
+    out: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+    for group, length, who, at in zip(*(x.tolist() for x in repeat_groups(strings, least)), strict=True):
+        out.setdefault(group, (length, []))[1].append((who, at))
+    return list(out.values())

@@ -155,11 +155,15 @@ def find_repeats(docs: DataFrame, kind: Windows, index: Callable[[Windows, pa.Ta
     index(kind, table of key, segment, low, n) returns key, segment, found (a list of longs), on one shard.
     """
     anchors = docs.select("doc", "said").mapInArrow(lambda x: _anchors(kind, x), "doc long, key long, weight int")
+    if not kind.words:  # there, it costs more to find anchors again than to write them
+        anchors = write_table(anchors)
     counts = anchors.groupBy("key")
     again = counts.agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high") if kind.words else counts.agg(F.sum("weight").alias("n")).where("n > 1")
     again = write_table(again.select("key"))
     wanted = write_table(anchors.join(again, "key").groupBy("doc").agg(F.collect_list("key").alias("wanted")))
     drop_table(again)
+    if not kind.words:
+        drop_table(anchors)
     texts = docs.select("doc", F.xxhash64("said").alias("said_hash"), "said").join(wanted, "doc").select("doc", "said_hash", "said", "wanted")
     segments = texts.mapInArrow(lambda x: _segments(kind, x), "doc long, said_hash long, start long, key long, segment binary")
     segments = write_table(segments.withColumn("seg_hash", F.xxhash64("segment")))

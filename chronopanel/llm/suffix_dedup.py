@@ -40,23 +40,36 @@ def _name(text: bytes) -> int:
 
 
 def repeats_in_shard(kind: Windows, shard: pa.Table) -> pa.Table:
-    """For each segment the repeats in it as triples (offset, length, name), none within another of the same segment."""
+    """For each segment the repeats in it as triples (offset, length, name), none within another of the same segment.
+
+    A segment that occurs again is a repeat as a whole, and nothing in it needs to be listed; where its anchor has no
+    other segment, it needs no index either.
+    """
     segments, n = shard.column("segment").to_pylist(), np.asarray(shard.column("n"))
-    longest: dict[tuple[int, int], tuple[int, int]] = {(i, 0): (len(segments[i]), _name(segments[i])) for i in np.flatnonzero(n > 1).tolist()}
-    for length, who, at in repeat_groups(segments, kind.size):
-        i, a = int(who[0]), int(at[0])
-        name = _name(segments[i][a : a + length])
-        for spot in zip(who.tolist(), at.tolist(), strict=True):
-            if longest.get(spot, (0, 0))[0] < length:
-                longest[spot] = (length, name)
-    found: dict[int, list[int]] = {}
-    reached: dict[int, int] = {}
-    for (i, a), (length, name) in sorted(longest.items()):
-        if a + length > reached.get(i, 0):
-            reached[i] = a + length
-            found.setdefault(i, []).extend((a, length, name))
-    take = pa.array(list(found), pa.int64())
-    return pa.table([shard.column("key").take(take), shard.column("segment").take(take), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "segment", "found"])
+    _, key, times = np.unique(np.asarray(shard.column("key")), return_inverse=True, return_counts=True)
+    whole = np.flatnonzero(n > 1)
+    indexed = np.flatnonzero((times[key] > 1) | (n == 1))
+    group, length, who, at = repeat_groups([segments[i] for i in indexed], kind.size)
+    who = indexed[who]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    names = np.array([_name(segments[i][a : a + m]) for i, a, m in zip(who[first].tolist(), at[first].tolist(), length[first].tolist(), strict=True)], np.int64)
+    take = np.flatnonzero(n[who] == 1)
+    who, at, length, name = who[take], at[take], length[take], names[group[take]]
+    who = np.concatenate([who, whole])
+    at = np.concatenate([at, np.zeros(len(whole), np.int64)])
+    length = np.concatenate([length, [len(segments[i]) for i in whole]]).astype(np.int64)
+    name = np.concatenate([name, [_name(segments[i]) for i in whole]]).astype(np.int64)
+    order = np.lexsort((-length, at, who))
+    who, at, length, name = who[order], at[order], length[order], name[order]
+    reach = who * (1 << 40) + at + length
+    keep = np.ones(len(who), bool)
+    keep[1:] = reach[1:] > np.maximum.accumulate(reach)[:-1]
+    who, at, length, name = who[keep], at[keep], length[keep], name[keep]
+    begin = np.flatnonzero(np.diff(who, prepend=-1))
+    triples = pa.array(np.stack([at, length, name], axis=1).ravel())
+    found = pa.ListArray.from_arrays(pa.array(np.append(3 * begin, 3 * len(who)).astype(np.int32)), triples)
+    rows = pa.array(who[begin])
+    return pa.table([shard.column("key").take(rows), shard.column("segment").take(rows), found], names=["key", "segment", "found"])
 
 
 def repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

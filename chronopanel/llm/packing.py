@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +27,69 @@ Piece = tuple[int | None, int, np.ndarray, int]
 
 
 class WordCachedTokenizer:
-    """Token ids of texts; ASCII white space never lies within a token of this vocabulary, so words are encoded once and kept."""
+    """Token ids of texts; white space never lies within a token of this vocabulary, so words are encoded once and kept.
 
-    MOST, LONG = 300_000, 64
+    A word of letters with stops after it is encoded as the two: the vocabulary's rules never join letters and stops.
+    Words and stems are forgotten when there are more than MOST; longer ones than LONG bytes are never kept.
+    """
+
+    MOST, LONG, BYTES = 600_000, 64, 2 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(b".,;:!?")
+        if stem.isalpha():
+            return stem.lower(), word[len(stem) :]
+        if stem and stem.decode("utf-8", "replace").isalpha():
+            return stem, word[len(stem) :]
+        return word, b""
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, as bytes."""
+        halves = {w: self._split(w) for w in words}
+        fresh = {x for pair in halves.values() for x in pair}.difference(self.stems)
+        made = {x: array("I", [t.id for t in self.model.tokenize(x.decode())]).tobytes() for x in fresh if x.isalpha() and x.islower()}
+        rest = [x for x in fresh if x not in made]
+        for x, found in zip(rest, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False), strict=True):
+            made[x] = array("I", found.ids).tobytes()
+        self.stems.update(made)
+        ids = {w: self.stems[a] + self.stems[b] for w, (a, b) in halves.items()}
+        if len(self.stems) > self.MOST:
+            self.stems.clear()
+        for x in made:
+            if len(x) > self.LONG:
+                self.stems.pop(x, None)
+        return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()
-            rare: dict[bytes, bytes] = {}
-            fresh = [w for w in set(words) if w not in self.known]
-            if fresh:
-                if len(self.known) + len(fresh) > self.MOST:
-                    self.known.clear()
-                    fresh = list(set(words))
-                made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-                for w, x in zip(fresh, made, strict=True):
-                    (self.known if len(w) <= self.LONG else rare)[w] = np.array(x.ids, np.uint32).tobytes()
-            get = {**self.known, **rare}.__getitem__ if rare else self.known.__getitem__
-            yield np.frombuffer(b"".join(map(get, words)), np.uint32)
+        at = 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and (not lists or size < self.BYTES):
+                raw = (texts[at] or "").encode("utf-8", "replace")
+                lists.append(raw.split())
+                size += len(raw)
+                at += 1
+            fresh = set().union(*lists).difference(self.known)
+            if len(self.known) + len(fresh) > self.MOST:
+                self.known.clear()
+                fresh = set().union(*lists)
+            made = self._learn(fresh)
+            self.known.update(made)
+            for words in lists:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
+            for w in made:
+                if len(w) > self.LONG:
+                    del self.known[w]
 
 
 class SumOfSquaresPacker:

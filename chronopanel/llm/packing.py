@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,33 +42,46 @@ class WordCachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # the byte-level alphabet: bytes that print stand for themselves, the rest for characters from 256 on
+        prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.spelled = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, bytes]:
-        stem = word.rstrip(b".,;:!?")
+    def _of_letters(self, stem: bytes) -> bytes | None:
+        """Ids of a word of letters alone, in lower case; None if the vocabulary's normaliser might see it otherwise."""
         if stem.isalpha():
-            return stem.lower(), word[len(stem) :]
-        if stem and stem.decode("utf-8", "replace").isalpha():
-            return stem, word[len(stem) :]
-        return word, b""
+            said = stem.decode().lower()
+        else:
+            said = stem.decode("utf-8", "replace").lower()
+            if not said.isalpha() or not is_normalized("NFC", said):
+                return None
+            said = said.encode().decode("latin-1").translate(self.spelled)
+        return array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words, as bytes."""
-        halves = {w: self._split(w) for w in words}
-        fresh = {x for pair in halves.values() for x in pair}.difference(self.stems)
-        made = {x: array("I", [t.id for t in self.model.tokenize(x.decode())]).tobytes() for x in fresh if x.isalpha() and x.islower()}
-        rest = [x for x in fresh if x not in made]
-        for x, found in zip(rest, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False), strict=True):
-            made[x] = array("I", found.ids).tobytes()
-        self.stems.update(made)
-        ids = {w: self.stems[a] + self.stems[b] for w, (a, b) in halves.items()}
         if len(self.stems) > self.MOST:
             self.stems.clear()
-        for x in made:
-            if len(x) > self.LONG:
-                self.stems.pop(x, None)
+        stems, ids, rest = self.stems, {}, []
+        for w in words:
+            stem = w.rstrip(b".,;:!?")
+            tail = w[len(stem) :]
+            found = stems.get(stem)
+            if found is None:
+                found = self._of_letters(stem) if stem else None
+                if found is None:
+                    rest.append(w)
+                    continue
+                if len(stem) <= self.LONG:
+                    stems[stem] = found
+            if tail:
+                if tail not in stems:
+                    stems[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                found += stems[tail]
+            ids[w] = found
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+            ids[w] = array("I", found.ids).tobytes()
         return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -36,6 +36,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Frequent lines that are broadcast, at most: two numbers each.
 MOST_SENT = 500_000
 SALTS = 32
+BLOCK_BYTES = 1 << 20
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NUMBERS = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("line_words", T.ArrayType(T.LongType()))])
@@ -72,7 +73,7 @@ def _line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def _numbers(texts: pa.Array) -> pa.Array:
     counts: list[list[np.ndarray]] = [[] for _ in COUNTS]
     hashes, words, sizes = [], [], [np.zeros(1, np.int64)]
-    for a, b, data, offsets in tb.blocks(texts):
+    for a, b, data, offsets in tb.blocks(texts, BLOCK_BYTES):
         n = b - a
         starts, ends, firsts = tb.word_spans(data, offsets, tb.SPACE)
         by_doc = lambda marks: (lambda c: c[offsets[1:]] - c[offsets[:-1]])(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)]))  # noqa: E731, B023

@@ -164,14 +164,14 @@ def asof(spark, sf_dir):
 @query(
     "pit_12_stale_observations",
     f"""WITH {R.MARKET}, o AS (SELECT date AS observed, idx, close FROM m WHERE idx % 9 = 0), s AS (SELECT date, idx FROM m WHERE week_last)
-SELECT date, CASE WHEN s.idx - 1 - o.idx <= 5 THEN observed END AS observed, CASE WHEN s.idx - 1 - o.idx <= 5 THEN ROUND(close, 8) END AS close FROM s ASOF LEFT JOIN o ON s.idx - 1 >= o.idx""",
+SELECT date, CASE WHEN s.idx - 1 - o.idx <= 5 THEN observed END AS observed, CASE WHEN s.idx - 1 - o.idx <= 5 THEN close END AS close FROM s ASOF LEFT JOIN o ON s.idx - 1 >= o.idx""",
 )
 def stale(spark, sf_dir):
     m = panel.market(spark, sf_dir)
     over = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.last(F.when(F.col("idx") % 9 == 0, F.struct("idx", "date", "close")), True).over(over)
     fresh = lambda c: F.when(F.col("idx") - 1 - F.col("s.idx") <= 5, c)
-    return m.withColumn("s", seen).where("week_last").select("date", fresh(F.col("s.date")).alias("observed"), fresh(F.round("s.close", 8)).alias("close"))
+    return m.withColumn("s", seen).where("week_last").select("date", fresh(F.col("s.date")).alias("observed"), fresh(F.col("s.close")).alias("close"))
 
 
 _FILINGS = """fl AS (SELECT o_custkey AS entity, YEAR(o_orderdate) AS fiscal_year, CAST(make_date(YEAR(o_orderdate), 12, 31) AS DATE) AS period_end, o_orderkey AS accession, CAST(o_orderdate + (o_orderkey % 400) * INTERVAL 1 DAY AS DATE) AS available, o_totalprice AS value FROM orders),

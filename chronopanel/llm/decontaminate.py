@@ -94,7 +94,10 @@ def _scan(found: NgramSet, texts: pa.Array) -> tuple[list[int], list[np.ndarray]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Sequence[str] | None = None, name: str = "found") -> DataFrame:
-    """docs with a struct column `name`: n_words, n_hit, hits (a bit for each word, big-endian in each byte), items (sorted as strings)."""
+    """docs with a struct column `name`: n_words, n_hit, hits (a bit for each word, big-endian in each byte), items (sorted as strings).
+
+    `name` must be free among the columns that are kept.
+    """
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     parts = max(1, -(-size // SET_BYTES))
     chosen = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("said"))
@@ -103,8 +106,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text:
     for k in range(parts):
         block = [tuple(r) for r in chosen.where(F.pmod(F.xxhash64("said"), F.lit(parts)) == k).collect()]
         sent = docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
-        column = free_name(out, f"{name}{k}" if k < parts - 1 else name)
         last = k == parts - 1
+        column = name if last else free_name(out, f"{name}{k}")
         out = with_verdict(out, partial(_verdicts, sent, before is not None), [text] if before is None else [text, before], FOUND, column, keep=keep if last else [c for c in dict.fromkeys([*keep, text]) if c != before])
         before = column
     return out

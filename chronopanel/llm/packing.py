@@ -53,7 +53,7 @@ class WordCachedTokenizer:
         if stem.isalpha():
             said = stem.decode().lower()
         else:
-            said = stem.decode("utf-8", "replace").lower()
+            said = stem.decode("utf-8", "replace").replace("Σ", "σ").lower()  # letter by letter: no final sigma
             if not said.isalpha() or not is_normalized("NFC", said):
                 return None
             said = said.encode().decode("latin-1").translate(self.spelled)

@@ -74,3 +74,45 @@ def repeated_bytes(rows: list[tuple[int, str | None]], n: int = 200) -> dict[int
                 gone[i : i + n] = b"\x01" * n
         out[d] = (len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+def contamination(rows, items, n: int = 13):
+    """doc_id -> (words, hit words, items, contaminated)."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows: dict[tuple, set[str]] = {}
+    for item, text in items:
+        w = split(text)
+        size = min(n, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    sizes = {len(k) for k in windows}
+    out = {}
+    for d, text in rows:
+        w = split(text)
+        hit, found = [False] * len(w), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if (k := tuple(w[i : i + size])) in windows:
+                    hit[i : i + size] = [True] * size
+                    found |= windows[k]
+        out[d] = (len(w), sum(hit), sorted(found - {None}), sum(hit) > 0 and 20 * sum(hit) >= len(w))
+    return out
+
+
+def line_rules(rows, most: int):
+    """doc_id -> (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, frequent words). rows: id, host, text."""
+    plain = lambda line: " ".join(words(re.sub("[1-9]", "0", lower(line))))
+    seen: dict[tuple, set] = {}
+    for _, host, text in rows:
+        for line in (text or "").split("\n"):
+            if words(line):
+                seen.setdefault((host, plain(line)), set()).add(text)
+    out = {}
+    for d, host, text in rows:
+        w = words(text)
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+        frequent = sum(len(words(x)) for x in lines if len(seen[(host, plain(x))]) > most)
+        out[d] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), frequent)
+    return out

@@ -29,7 +29,7 @@ from chronopanel.llm.lattice import Lattice, Vocabulary, read_vocabulary
 from chronopanel.llm.scratch import drop_table, write_table
 
 #: Bytes of text in one encoded block; the arrays made of it take some thirty times as much.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 9 << 20
 ROUNDS = 3
 #: Added to each piece's expected count.
 PIECE_PRIOR = 0.1

@@ -174,7 +174,7 @@ def top_5(spark, sf_dir):
 @query(
     "rnk_02_winner_loser",
     f"""{_ONE}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY score DESC, sid) AS best, ROW_NUMBER() OVER (PARTITION BY date ORDER BY score, sid) AS worst, COUNT(*) OVER (PARTITION BY date) AS n FROM s WHERE score IS NOT NULL)
-SELECT date, sid, CASE WHEN best <= 4 THEN 0.125 ELSE -0.125 END AS weight FROM k WHERE n >= 8 AND (best <= 4 OR worst <= 4)""",
+SELECT date, sid, CAST(CASE WHEN best <= 4 THEN 0.125 ELSE -0.125 END AS DOUBLE) AS weight FROM k WHERE n >= 8 AND (best <= 4 OR worst <= 4)""",
 )
 def winner_loser(spark, sf_dir):
     return rk.winner_loser_weights(_scores(spark, sf_dir), 4)

@@ -202,14 +202,14 @@ _SUM = """dd AS (SELECT *, EXP(SUM(LN(1 + r)) OVER (PARTITION BY k ORDER BY idx
 
 @query(
     "agg_01_summary",
-    f"""{SERIES}, rr AS (SELECT YEAR(date) AS k, idx, r / 10 AS r, rf FROM s), {_SUM}, isl AS (SELECT k, dd, SUM(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY idx ROWS UNBOUNDED PRECEDING) AS i FROM de),
+    f"""{SERIES}, rr AS (SELECT YEAR(date) AS k, idx, r / 100 AS r, rf FROM s), {_SUM}, isl AS (SELECT k, dd, SUM(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY idx ROWS UNBOUNDED PRECEDING) AS i FROM de),
 lu AS (SELECT k, MAX(n) AS longest_underwater FROM (SELECT k, i, SUM((dd < 0)::INT)::BIGINT AS n FROM isl GROUP BY k, i) AS q GROUP BY k)
 SELECT k AS year, COUNT(*) AS observations, ROUND(EXP(SUM(LN(1 + r))) - 1, 6) AS total_return, ROUND(EXP(SUM(LN(1 + r)) * 252 / COUNT(*)) - 1, 6) AS cagr, ROUND(STDDEV_SAMP(r) * SQRT(252), 6) AS volatility, ROUND(AVG(r) / STDDEV_SAMP(r) * SQRT(252), 6) AS sharpe_0,
   ROUND(AVG(r - rf) / STDDEV_SAMP(r - rf) * SQRT(252), 6) AS sharpe_rf, ROUND(AVG(r) * SQRT(252) / SQRT(AVG(CASE WHEN r < 0 THEN r * r ELSE 0.0 END)), 6) AS sortino, ROUND(MIN(dd), 6) AS max_drawdown, ROUND((EXP(SUM(LN(1 + r)) * 252 / COUNT(*)) - 1) / ABS(MIN(dd)), 5) AS calmar, ANY_VALUE(longest_underwater) AS longest_underwater
 FROM de JOIN lu USING (k) GROUP BY k""",
 )
 def summary(spark, sf_dir):
-    s = series(spark, sf_dir).select(F.year("date").alias("year"), "idx", (F.col("r") / 10).alias("r"), "rf")
+    s = series(spark, sf_dir).select(F.year("date").alias("year"), "idx", (F.col("r") / 100).alias("r"), "rf")
     return rounded(pf.summary(s, ["year"]), 6).withColumn("calmar", F.round("calmar", 5))
 
 
@@ -237,9 +237,9 @@ def risk_profile(spark, sf_dir):
     return rounded(out, 7).withColumns({"skewness": F.round("skewness", 5), "kurtosis": F.round("kurtosis", 5)})
 
 
-@query("agg_39_annual_returns", f"{SERIES} SELECT YEAR(date) AS year, COUNT(r) AS n, ROUND(EXP(SUM(LN(1 + r / 10))) - 1, 7) AS annual_return FROM s WHERE r IS NOT NULL GROUP BY 1")
+@query("agg_39_annual_returns", f"{SERIES} SELECT YEAR(date) AS year, COUNT(r) AS n, ROUND(EXP(SUM(LN(1 + r / 100))) - 1, 7) AS annual_return FROM s WHERE r IS NOT NULL GROUP BY 1")
 def annual(spark, sf_dir):
-    return rounded(pf.annual_returns(series(spark, sf_dir).withColumn("r", F.col("r") / 10)), 7)
+    return rounded(pf.annual_returns(series(spark, sf_dir).withColumn("r", F.col("r") / 100)), 7)
 
 
 @query(

@@ -81,7 +81,7 @@ def hysteresis(spark, sf_dir):
     return states(spark, sf_dir).select("date", "is_high")
 
 
-@query("win_07_regime_allocation", f"{_STATE} SELECT date, CASE WHEN is_high THEN 0.0 ELSE 1.0 END AS allocation FROM h WHERE month_last")
+@query("win_07_regime_allocation", f"{_STATE} SELECT date, CAST(CASE WHEN is_high THEN 0.0 ELSE 1.0 END AS DOUBLE) AS allocation FROM h WHERE month_last")
 def allocation(spark, sf_dir):
     return states(spark, sf_dir).where("month_last").select("date", F.when(F.col("is_high"), 0.0).otherwise(1.0).alias("allocation"))
 
@@ -256,7 +256,7 @@ def long(spark, sf_dir):
     "win_36_eligibility",
     f"""{_WF}, n AS (SELECT ROW_NUMBER() OVER (ORDER BY date) AS idx, * FROM wf WHERE week_last), g AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, date, idx, {n} AS value FROM n" for n in _ARMS)}),
 p AS (SELECT feature, MIN(idx) AS a, MAX(idx) AS b, MIN(date) AS first, MAX(date) AS last FROM g WHERE value IS NOT NULL GROUP BY feature)
-SELECT feature, first, last, COUNT(*) AS n_rows, 0.0 AS missing_share, 0 AS longest_gap, CASE WHEN COUNT(*) < 315 THEN 'too_short' ELSE 'eligible' END AS status FROM g JOIN p USING (feature) WHERE idx BETWEEN a AND b GROUP BY ALL""",
+SELECT feature, first, last, COUNT(*) AS n_rows, 0.0::DOUBLE AS missing_share, 0 AS longest_gap, CASE WHEN COUNT(*) < 315 THEN 'too_short' ELSE 'eligible' END AS status FROM g JOIN p USING (feature) WHERE idx BETWEEN a AND b GROUP BY ALL""",
 )
 def eligible(spark, sf_dir):
     w = rg.weekly_features(panel.market(spark, sf_dir)).withColumn("idx", F.row_number().over(Window.orderBy("date")))

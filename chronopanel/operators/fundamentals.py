@@ -69,3 +69,50 @@ def identity_audit(wide: DataFrame, tolerance: float = 0.01) -> DataFrame:
     error = F.abs(residual) / F.greatest(F.abs("revenue"), F.abs("cost"), F.abs("gross_profit"), F.lit(1.0))
     status = F.when(residual.isNull(), "incomplete").when(error <= tolerance, "holds").otherwise("violated")
     return wide.select("entity", "accession", "fiscal_year", residual.alias("residual"), error.alias("relative_error"), status.alias("status"))
+
+
+def gross_profit_identity(facts: DataFrame) -> DataFrame:
+    """(entity, fiscal_year, revenue, cost, gross_profit, status): of the candidates of the three metrics the combination of least ranks that adds up.
+
+    facts: entity, fiscal_year, metric_id, rank, value. A rank with several values is no candidate. Where none adds up
+    within max(1, 1e-6 of the largest), cost is what revenue and gross profit of the least ranks leave. An entity and year
+    has a few candidates, so their combinations are few.
+    """
+    keys = ["entity", "fiscal_year"]
+    sure = facts.groupBy(*keys, "metric_id", "rank").agg(F.countDistinct("value").alias("n"), F.max("value").alias("value")).where("n = 1")
+    side = lambda m, v, r: sure.where(F.col("metric_id") == m).select(*keys, F.col("value").alias(v), F.col("rank").alias(r))
+    all_ = side("revenue", "revenue", "r1").join(side("gross_profit", "gross_profit", "r3"), keys).join(side("cost", "cost", "r2"), keys, "left")
+    gap = F.abs(F.col("revenue") - F.col("cost") - F.col("gross_profit"))
+    limit = F.greatest(F.lit(1.0), 1e-6 * F.greatest(F.abs("revenue"), F.abs("cost"), F.abs("gross_profit")))
+    marked = all_.withColumn("fits", F.coalesce(gap <= limit, F.lit(False)))
+    order = Window.partitionBy(*keys).orderBy(F.col("fits").desc(), "r1", F.col("r2").asc_nulls_last(), "r3")
+    best = marked.withColumn("place", F.row_number().over(order)).where("place = 1")
+    made = F.greatest(F.lit(0.0), F.col("revenue") - F.col("gross_profit"))
+    return best.select(*keys, "revenue", F.when(F.col("fits"), F.col("cost")).otherwise(made).alias("cost"), "gross_profit", F.when(F.col("fits"), "reported").otherwise("derived_cost").alias("status"))
+
+
+def market_equity_as_of(equity: DataFrame, signals: DataFrame, most_stale: int = 7) -> DataFrame:
+    """(signal_date, entity, market_equity, reason): the last measurement on or before the signal that was available by then.
+
+    equity: entity, measured, available, market_equity, is_audited. signals: a stated set of dates.
+    """
+    seen = equity.join(F.broadcast(signals.select("signal_date").distinct()), (F.col("measured") <= F.col("signal_date")) & (F.col("available") <= F.col("signal_date")))
+    last = seen.groupBy("signal_date", "entity").agg(F.max_by(F.struct("measured", "market_equity", "is_audited"), F.struct("measured", "available", "market_equity")).alias("m"))
+    stale = F.datediff("signal_date", "m.measured") > most_stale
+    reason = F.when(stale, "stale").when(~F.col("m.is_audited"), "share_classes_not_audited").when(F.col("m.market_equity") <= 0, "nonpositive")
+    return last.select("signal_date", "entity", F.when(reason.isNull(), F.col("m.market_equity")).alias("market_equity"), reason.alias("reason"))
+
+
+def ratio_to_equity(filings: DataFrame, equity: DataFrame, numerator: str) -> DataFrame:
+    """(signal_date, entity, value, reason) of a metric of the current filing over market equity; reasons of either side pass on."""
+    both = filings.join(equity, ["signal_date", "entity"], "left")
+    reason = F.when(F.col(numerator).isNull(), f"missing_metric:{numerator}").otherwise(F.coalesce("reason", F.when(F.col("market_equity").isNull(), F.lit("no_measurement"))))
+    return both.select("signal_date", "entity", F.when(reason.isNull(), F.col(numerator) / F.nullif("market_equity", F.lit(0))).alias("value"), reason.alias("reason"))
+
+
+def readiness(database: DataFrame, least_coverage: float, least_names: int, least_dates: int) -> DataFrame:
+    """(factor_id, coverage, n_covered_dates, status) of a factor database (factor_id, signal_date, eligible)."""
+    daily = database.groupBy("factor_id", "signal_date").agg(F.count("*").alias("n"), F.sum(F.col("eligible").cast("long")).alias("e"))
+    whole = daily.groupBy("factor_id").agg((F.sum("e") / F.sum("n")).alias("coverage"), F.sum((F.col("e") >= least_names).cast("long")).alias("n_covered_dates"))
+    status = F.when(F.col("coverage") < least_coverage, "low_coverage").when(F.col("n_covered_dates") < least_dates, "too_few_dates").otherwise("ready")
+    return whole.withColumn("status", status)

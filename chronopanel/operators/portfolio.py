@@ -17,62 +17,69 @@ from pyspark.sql import functions as F
 from chronopanel.functions import columns as C
 
 
-def _with_period(calendar: DataFrame, targets: DataFrame) -> DataFrame:
-    """calendar (idx, ...) with r, the last rebalance at or before each session, and next_r."""
-    marks = targets.select(F.col("execution_idx").alias("r")).distinct().withColumn("next_r", F.lead("r").over(Window.orderBy("r")))
-    joined = calendar.join(F.broadcast(marks.withColumn("idx", F.col("r"))), "idx", "left")
-    over = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("p", F.last(F.when(F.col("r").isNotNull(), F.struct("r", "next_r")), True).over(over)).select(*calendar.columns, "p.r", "p.next_r").where("r IS NOT NULL")
+def _with_period(days: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """days (keys, idx, ...) with r, the path's last rebalance at or before each session, and next_r."""
+    marks = targets.select(*keys, F.col("execution_idx").alias("r")).distinct()
+    marks = marks.withColumn("next_r", F.lead("r").over(Window.partitionBy(*keys).orderBy("r"))).withColumn("idx", F.col("r"))
+    joined = days.join(F.broadcast(marks), [*keys, "idx"], "left")
+    over = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn("p", F.last(F.when(F.col("r").isNotNull(), F.struct("r", "next_r")), True).over(over)).select(*days.columns, "p.r", "p.next_r").where("r IS NOT NULL")
 
 
-def book_values(targets: DataFrame, spine: DataFrame, market: DataFrame, cost_bps: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """nav (date, idx, nav) and rebalances (execution_idx, turnover, pretrade_nav, cost_share) of one book.
+def book_values(targets: DataFrame, spine: DataFrame, market: DataFrame, cost_bps: float = 0.0, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """nav (keys, date, idx, nav) and rebalances (keys, execution_idx, turnover, pretrade_nav, cost_share) of one book for each key.
 
-    targets: execution_idx, sid, weight; names without an open at the execution stay cash. spine: sid, idx, open, close;
-    a name without a price is worth its last one. market: date, idx, rf.
+    targets: keys, execution_idx, sid, weight; names without an open at the execution stay cash. spine: sid, idx, open,
+    close; a name without a price is worth its last one. market: date, idx, rf. Paths are a registered grid: the calendar
+    is repeated for each, the panel isn't.
     """
+    keys = list(keys)
+    name, period = [*keys, "sid", "r"], [*keys, "r"]
     cash = F.sum(F.log1p("rf")).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     days = market.select("date", "idx", cash.alias("cash"))
     days = days.withColumn("cash_before", F.coalesce(F.lag("cash").over(Window.orderBy("idx")), F.lit(0.0)))
-    days = _with_period(days, targets)
+    if keys:
+        days = days.crossJoin(F.broadcast(targets.select(*keys).distinct()))
+    days = _with_period(days, targets, keys)
     opens = spine.select("sid", F.col("idx").alias("execution_idx"), F.col("open").alias("bought"))
-    held = targets.join(opens, ["sid", "execution_idx"]).where("bought > 0").select("sid", F.col("execution_idx").alias("r"), "weight", "bought")
-    marked = spine.select("sid", "idx", "open", "close").join(F.broadcast(days.select("idx", "r")), "idx").join(held, ["sid", "r"])
-    in_period = Window.partitionBy("sid", "r").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    held = targets.join(opens, ["sid", "execution_idx"]).where("bought > 0").select(*keys, "sid", F.col("execution_idx").alias("r"), "weight", "bought")
+    marked = spine.select("sid", "idx", "open", "close").join(F.broadcast(days.select(*keys, "idx", "r")), "idx").join(held, name)
+    in_period = Window.partitionBy(*name).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     value = F.col("weight") * F.coalesce(F.last("close", True).over(in_period), F.col("bought")) / F.col("bought")
     daily = marked.withColumn("value", value)
-    start = days.where("idx = r").select("r", "next_r", F.col("cash_before").alias("cash_start"))
-    invested = held.groupBy("r").agg(F.sum("weight").alias("s"))
-    periods = start.join(invested, "r", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    start = days.where("idx = r").select(*period, "next_r", F.col("cash_before").alias("cash_start"))
+    invested = held.groupBy(*period).agg(F.sum("weight").alias("s"))
+    periods = start.join(invested, period, "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     # what each name is worth when the next rebalance opens
-    last = daily.groupBy("sid", "r").agg(F.max_by("value", "idx").alias("last_value"), F.max("weight").alias("weight"), F.max("bought").alias("bought"))
-    ends = last.join(periods.select("r", "next_r"), "r").where("next_r IS NOT NULL")
+    last = daily.groupBy(*name).agg(F.max_by("value", "idx").alias("last_value"), F.max("weight").alias("weight"), F.max("bought").alias("bought"))
+    ends = last.join(periods.select(*period, "next_r"), period).where("next_r IS NOT NULL")
     ends = ends.join(spine.select("sid", F.col("idx").alias("next_r"), F.col("open").alias("sold")), ["sid", "next_r"], "left")
-    ends = ends.select("sid", "r", "next_r", F.when(F.col("sold") > 0, F.col("weight") * F.col("sold") / F.col("bought")).otherwise(F.col("last_value")).alias("g"))
-    cash_end = days.select(F.col("idx").alias("next_r"), F.col("cash_before").alias("cash_end"))
-    totals = periods.where("next_r IS NOT NULL").join(cash_end, "next_r").join(ends.groupBy("r").agg(F.sum("g").alias("sum_g")), "r", "left")
-    totals = totals.select("r", "next_r", (F.coalesce("sum_g", F.lit(0.0)) + (1 - F.col("s")) * F.exp(F.col("cash_end") - F.col("cash_start"))).alias("total"))
-    drifted = ends.join(totals.select("r", "total"), "r").select("sid", F.col("next_r").alias("r"), (F.col("g") / F.col("total")).alias("was"))
-    moved = held.select("sid", "r", "weight").join(drifted, ["sid", "r"], "full")
-    turnover = moved.groupBy("r").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
-    steps = periods.select("r").join(turnover, "r", "left").join(totals.select(F.col("next_r").alias("r"), "total"), "r", "left")
-    steps = steps.select("r", F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("total", F.lit(1.0)).alias("total"))
+    ends = ends.select(*name, "next_r", F.when(F.col("sold") > 0, F.col("weight") * F.col("sold") / F.col("bought")).otherwise(F.col("last_value")).alias("g"))
+    cash_end = days.select(*keys, F.col("idx").alias("next_r"), F.col("cash_before").alias("cash_end"))
+    totals = periods.where("next_r IS NOT NULL").join(cash_end, [*keys, "next_r"]).join(ends.groupBy(*period).agg(F.sum("g").alias("sum_g")), period, "left")
+    totals = totals.select(*period, "next_r", (F.coalesce("sum_g", F.lit(0.0)) + (1 - F.col("s")) * F.exp(F.col("cash_end") - F.col("cash_start"))).alias("total"))
+    drifted = ends.join(totals.select(*period, "total"), period).select(*keys, "sid", F.col("next_r").alias("r"), (F.col("g") / F.col("total")).alias("was"))
+    moved = held.select(*name, "weight").join(drifted, name, "full")
+    turnover = moved.groupBy(*period).agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))).alias("turnover"))
+    steps = periods.select(*period).join(turnover, period, "left").join(totals.select(*keys, F.col("next_r").alias("r"), "total"), period, "left")
+    steps = steps.select(*period, F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("total", F.lit(1.0)).alias("total"))
     share = cost_bps / 1e4 * F.col("turnover")
-    over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.withColumn("base", F.exp(F.sum(F.log("total") + F.log1p(-share)).over(over)))
-    nav = days.join(daily.groupBy("idx").agg(F.sum("value").alias("worth")), "idx", "left").join(periods.select("r", "s", "cash_start"), "r").join(steps.select("r", "base"), "r")
-    nav = nav.select("date", "idx", (F.col("base") * (F.coalesce("worth", F.lit(0.0)) + (1 - F.col("s")) * F.exp(F.col("cash") - F.col("cash_start")))).alias("nav"))
-    return nav, steps.select(F.col("r").alias("execution_idx"), "turnover", (F.col("base") / (1 - share)).alias("pretrade_nav"), share.alias("cost_share"))
+    worth = daily.groupBy(*keys, "idx").agg(F.sum("value").alias("worth"))
+    nav = days.join(worth, [*keys, "idx"], "left").join(periods.select(*period, "s", "cash_start"), period).join(steps.select(*period, "base"), period)
+    nav = nav.select(*keys, "date", "idx", (F.col("base") * (F.coalesce("worth", F.lit(0.0)) + (1 - F.col("s")) * F.exp(F.col("cash") - F.col("cash_start")))).alias("nav"))
+    return nav, steps.select(*keys, F.col("r").alias("execution_idx"), "turnover", (F.col("base") / (1 - share)).alias("pretrade_nav"), share.alias("cost_share"))
 
 
-def replay_linear_cost(nav: DataFrame, rebalances: DataFrame, costs_bps: Sequence[float]) -> DataFrame:
-    """(cost_bps, date, idx, nav) for each cost from a path without costs: nav times the running product of 1 - cost * turnover."""
+def replay_linear_cost(nav: DataFrame, rebalances: DataFrame, costs_bps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, cost_bps, date, idx, nav) for each cost from a path without costs: nav times the running product of 1 - cost * turnover."""
     costs = F.explode(F.array(*(F.lit(float(c)) for c in costs_bps)))
-    marks = rebalances.select(F.col("execution_idx").alias("idx"), "turnover")
-    joined = nav.join(F.broadcast(marks), "idx", "left").withColumn("cost_bps", costs)
-    over = Window.partitionBy("cost_bps").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    marks = rebalances.select(*keys, F.col("execution_idx").alias("idx"), "turnover")
+    joined = nav.join(F.broadcast(marks), [*keys, "idx"], "left").withColumn("cost_bps", costs)
+    over = Window.partitionBy(*keys, "cost_bps").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     kept = F.exp(F.sum(F.log1p(-F.col("cost_bps") / 1e4 * F.coalesce("turnover", F.lit(0.0)))).over(over))
-    return joined.select("cost_bps", "date", "idx", (F.col("nav") * kept).alias("nav"))
+    return joined.select(*keys, "cost_bps", "date", "idx", (F.col("nav") * kept).alias("nav"))
 
 
 def drawdown_episodes(nav: DataFrame, value: str = "nav", keys: Sequence[str] = ()) -> DataFrame:

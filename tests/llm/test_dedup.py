@@ -37,8 +37,8 @@ def _frame(spark, rows):
 
 
 def test_near_duplicates_match_all_pairs(spark, rows):
-    for seed in (0, 1):
-        mine = _texts(seed, 30)
+    for seed in (0,):
+        mine = _texts(seed, 40)
         found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(_frame(spark, mine)).collect()}
         assert found == brute.near_duplicates(mine)
 

@@ -13,7 +13,7 @@ from chronopanel.operators import targets as tg
 from chronopanel.plans import registry as R
 from chronopanel.plans.regime_plans import SERIES, VOL, series, volatility
 from chronopanel.plans.registry import query
-from chronopanel.sources import panel
+from chronopanel.sources import panel, store
 
 
 def rounded(df, digits=8):
@@ -116,8 +116,8 @@ def _targets_of_book(spine):
 
 
 def _book(spark, sf_dir, cost=0.0):
-    spine = panel.spine(panel.prices(spark, sf_dir, panel.SIZE_GROUP))
-    return po.book_values(_targets_of_book(spine), spine, panel.market(spark, sf_dir), cost)
+    spine = store.materialized(panel.spine(panel.prices(spark, sf_dir, panel.SIZE_GROUP)))
+    return po.book_values(_targets_of_book(spine), spine, store.materialized(panel.market(spark, sf_dir)), cost)
 
 
 @query("sim_02_book_values", f"{_bs('0.001')} SELECT date, idx, ROUND(LN(nav), 7) AS log_nav FROM nav")

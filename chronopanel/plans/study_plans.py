@@ -22,7 +22,7 @@ from chronopanel.plans.pit_plans import INTERVALS, intervals
 from chronopanel.plans.portfolio_plans import rounded
 from chronopanel.plans.regime_plans import _FC, _STATE, SERIES, VOL, series, states, volatility
 from chronopanel.plans.registry import query
-from chronopanel.sources import panel
+from chronopanel.sources import panel, store
 
 _MOM = f"{_LONG}, {INTERVALS}, mb AS (SELECT date, sid FROM cal JOIN iv ON effective_from <= date AND (effective_to IS NULL OR date < effective_to) WHERE month_last), sc AS (SELECT date, sid, score FROM long JOIN mb USING (date, sid) WHERE factor_id = 'reversal_21' AND score IS NOT NULL)"
 
@@ -55,12 +55,12 @@ def target_faults(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     """Books of the one, two and three best of five names, as one grid of paths."""
-    spine = panel.spine(panel.prices(spark, sf_dir, panel.SIZE_GROUP))
+    spine = store.materialized(panel.spine(panel.prices(spark, sf_dir, panel.SIZE_GROUP)))
     score = F.round(-C.simple_return(F.col("close"), F.lag("close", 21).over(panel.by_name())), 8)
     scored = spine.select("date", "idx", "sid", "month_last", "next_session", score.alias("score")).where("month_last AND next_session IS NOT NULL AND score IS NOT NULL")
     widths = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
     targets = rk.rank_and_select(scored, 3).where("selected").withColumn("width", widths).where("rank <= width").select("width", (F.col("idx") + 1).alias("execution_idx"), "sid", (F.lit(0.9) / F.col("width")).alias("weight"))
-    return po.book_values(targets, spine, panel.market(spark, sf_dir), 0.0, ["width"])
+    return po.book_values(targets, spine, store.materialized(panel.market(spark, sf_dir)), 0.0, ["width"])
 
 
 @query("sim_36_path_grid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +70,18 @@ def reconciliation(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str,
     difference = F.abs(F.col("a") - F.col("b"))
     status = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").when(difference <= tolerance, "equal").otherwise("different")
     return both.select(*keys, "a", "b", difference.alias("difference"), status.alias("status"))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written to the folder that all of the cluster shares and read back, for what several branches of a plan read.
+
+    The folder is that of spark.checkpoint.dir; where it is unset, as in tests, one of this machine.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="chronopanel-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -59,4 +59,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM counts
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op4_decontaminate": OP4, "op10_line_rules": OP10}
+OP3 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts WHERE len(w) >= 13)),
+first AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN first USING (k) WHERE low < doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS rest FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM shingles x JOIN shingles y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * m >= 75 * (p.n + q.n - m)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = d.doc_id
+"""
+
+OP8 = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS raw FROM documents),
+windows AS (SELECT r, i, md5(raw[i : i + 199]) AS k FROM (SELECT r, raw, unnest(range(1, octet_length(raw) - 198)) AS i FROM texts WHERE octet_length(raw) >= 200)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM windows WHERE k IN (SELECT k FROM again)),
+numbered AS (SELECT r, i, sum((before IS NULL OR i > before + 200)::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, run, min(i) AS a, max(i) + 199 AS b FROM numbered GROUP BY r, run),
+lists AS (SELECT r, list({'a': a, 'b': b} ORDER BY a) AS x, sum(b - a + 1) AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN raw ELSE list_reduce(list_transform(range(0, len(x) + 1), lambda j: raw[CASE WHEN j = 0 THEN 1 ELSE x[j].b + 1 END : CASE WHEN j = len(x) THEN octet_length(raw) ELSE x[j + 1].a - 1 END]), lambda p, q: p || q) END) AS kept_sha256
+FROM texts LEFT JOIN lists USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10}

@@ -188,3 +188,31 @@ def test_stream_windows_go_on_from_the_checkpoint(spark, tmp_path):
     put([(t(1, 5), 1, 100.0), (t(9, 1), 1, 1.0)])
     found = sorted((r.user_id, r.start.day, r.n, r.total) for r in spark.read.parquet(out).collect())
     assert found == [(1, 1, 3, 11.0), (1, 2, 1, 4.0), (1, 5, 1, 1.0), (2, 1, 1, 5.0)]
+
+
+def test_provider_files(spark, tmp_path):
+    import json
+
+    from chronopanel.sources import files
+
+    at = tmp_path / "vix.csv"
+    at.write_text("DATE,Open,Close \n01/02/2020,12,13.5\n2020-01-03,13,14\n")
+    assert [(str(r.date), r.close, r.provider) for r in files.read_closes(spark, str(at), "p").orderBy("date").collect()] == [("2020-01-02", 13.5, "p"), ("2020-01-03", 14.0, "p")]
+    at.write_text("date,close\n2020-01-02,1\n01/02/2020,2\n")
+    with pytest.raises(ValueError, match="more than once"):
+        files.read_closes(spark, str(at), "p")
+    at.write_text("date,price\n2020-01-02,1\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        files.read_closes(spark, str(at), "p")
+    at.write_text("date,rf_return\n2020-01-02,0.0001\n2020-01-03,0.5\n")
+    with pytest.raises(ValueError, match="beyond"):
+        files.read_rates(spark, str(at))
+    day = {"date": "2020-01-02T00:00:00.000Z", **{k: 10.0 for k in ("open", "high", "low", "close", "adjOpen", "adjHigh", "adjLow", "adjClose")}, "volume": 5, "divCash": 0.0, "splitFactor": 1.0}
+    js = tmp_path / "p.json"
+    js.write_text(json.dumps([day, {**day, "date": "2020-01-03", "splitFactor": 2.0}]))
+    assert [(str(r.date), r.sid, r.tr_close, r.stock_splits) for r in files.read_prices(spark, str(js), "A").orderBy("date").collect()] == [("2020-01-02", "A", 10.0, 0.0), ("2020-01-03", "A", 10.0, 2.0)]
+    js.write_text(json.dumps([{**day, "adjOpen": 0.0}]))
+    with pytest.raises(ValueError, match="not positive"):
+        files.read_prices(spark, str(js), "A")
+    wide = spark.createDataFrame([("2020-01-02", 1.0, 2.0, 3.0)], "date string, `close:A` double, `close:B` double, `open:A` double")
+    assert sorted((r.sid, r.close, r.open) for r in files.long_fields(wide).collect()) == [("A", 1.0, 3.0), ("B", 2.0, None)]

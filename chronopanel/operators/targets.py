@@ -75,3 +75,32 @@ def inner_folds(decisions: DataFrame, block: int = 52, most: int = 5, purge: int
     joined = rows.crossJoin(F.broadcast(last)).withColumn("fold", ((F.col("n") - F.col("week")) / block).cast("int"))
     blocks = joined.groupBy("fold").agg(F.min("week").alias("a"), F.min("signal_date").alias("validation_first"), F.max("signal_date").alias("validation_last"), F.count("*").alias("size"))
     return blocks.where((F.col("size") == block) & (F.col("fold") < most)).select("fold", "validation_first", "validation_last", F.greatest(F.col("a") - 1 - purge, F.lit(0)).cast("long").alias("n_train"))
+
+
+def development_targets(market: DataFrame, lockbox_start: str) -> DataFrame:
+    """(signal_date, excess_1w, is_negative, worst_4w, status) of weekly decisions; from the lockbox on outcomes are withheld.
+
+    status: available, censored (not over yet when the data end) or withheld. An outcome that ends in the lockbox is withheld too.
+    """
+    one = horizon_outcomes(market, 1).select("signal_date", F.col("terminal_excess").alias("excess_1w"), "is_negative")
+    four = horizon_outcomes(market, 4).select("signal_date", F.col("worst").alias("worst_4w"))
+    rows = weekly_decisions(market).select("signal_date", "week").join(one, "signal_date", "left").join(four, "signal_date", "left")
+    start = F.to_date(F.lit(lockbox_start))
+    end = F.lead("signal_date", 4).over(Window.orderBy("week"))
+    status = F.when(F.col("signal_date") >= start, "withheld").when(F.col("end") >= start, "withheld").when(F.col("excess_1w").isNull() | F.col("worst_4w").isNull(), "censored").otherwise("available")
+    out = rows.withColumn("end", end).withColumn("status", status)
+    shown = lambda c: F.when(F.col("status") == "available", F.col(c)).alias(c)
+    return out.select("signal_date", shown("excess_1w"), shown("is_negative"), shown("worst_4w"), "status")
+
+
+def contract_faults(features: DataFrame, targets: DataFrame, lockbox_start: str) -> DataFrame:
+    """(fault, n): keys in one of the two only, outcomes shown in the lockbox, worst outcomes above 0."""
+    start = F.to_date(F.lit(lockbox_start))
+    both = features.select("signal_date", F.lit(True).alias("f")).join(targets.withColumn("t", F.lit(True)), "signal_date", "full")
+    kinds = {
+        "feature_only": F.col("t").isNull(),
+        "target_only": F.col("f").isNull(),
+        "shown_in_lockbox": (F.col("signal_date") >= start) & (F.col("excess_1w").isNotNull() | F.col("worst_4w").isNotNull()),
+        "worst_above_0": F.coalesce(F.col("worst_4w") > 0, F.lit(False)),
+    }
+    return both.agg(*(F.sum(c.cast("long")).alias(k) for k, c in kinds.items())).unpivot([], list(kinds), "fault", "n")

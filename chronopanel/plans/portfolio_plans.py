@@ -46,6 +46,28 @@ def excursions(spark, sf_dir):
     return rounded(tg.adverse_excursions(panel.market(spark, sf_dir)))
 
 
+def _outcome(h: int) -> str:
+    """The rows of _horizon(h) as a subquery."""
+    return f"({_horizon(h)} SELECT * FROM o)"
+
+
+_DEV = f"""{_CASH}, one AS (SELECT signal_date, terminal_excess, is_negative FROM {_outcome(1)} AS q), four AS (SELECT signal_date, worst FROM {_outcome(4)} AS q),
+j AS (SELECT w.signal_date, terminal_excess, is_negative, worst, LEAD(w.signal_date, 4) OVER (ORDER BY week) AS e FROM w LEFT JOIN one USING (signal_date) LEFT JOIN four USING (signal_date)),
+dv AS (SELECT *, CASE WHEN signal_date >= DATE '2000-06-30' OR e >= DATE '2000-06-30' THEN 'withheld' WHEN terminal_excess IS NULL OR worst IS NULL THEN 'censored' ELSE 'available' END AS status FROM j)"""
+
+
+@query("tgt_01_development_targets", f"{_DEV} SELECT signal_date, CASE WHEN status = 'available' THEN ROUND(terminal_excess, 8) END AS excess_1w, CASE WHEN status = 'available' THEN is_negative END AS is_negative, CASE WHEN status = 'available' THEN ROUND(worst, 8) END AS worst_4w, status FROM dv")
+def development_targets(spark, sf_dir):
+    return rounded(tg.development_targets(panel.market(spark, sf_dir), "2000-06-30"))
+
+
+@query("val_20_contract_faults", f"{_DEV}, k AS (SELECT COUNT(*) AS n FROM dv WHERE signal_date < DATE '1996-01-01') SELECT 'feature_only' AS fault, 0::BIGINT AS n UNION ALL SELECT 'target_only', n FROM k UNION ALL SELECT 'shown_in_lockbox', 0 UNION ALL SELECT 'worst_above_0', 0")
+def contract_faults(spark, sf_dir):
+    m = panel.market(spark, sf_dir)
+    features = tg.weekly_decisions(m).where("signal_date >= DATE'1996-01-01'")
+    return tg.contract_faults(features, tg.development_targets(m, "2000-06-30"), "2000-06-30")
+
+
 _NAMES = f"""WITH {R.spine(R.SIZE_GROUP)}, {R.MARKET_BARS}, mr AS (SELECT date, idx, month_last, next_session, (1 + idx % 7) * 0.00001 AS rf FROM cal), mc AS (SELECT *, COALESCE(SUM(LN(1 + rf)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cb FROM mr),
 g AS (SELECT date AS signal_date, idx + 1 AS a, LEAD(idx + 1) OVER (ORDER BY date) AS b FROM mc WHERE month_last AND next_session IS NOT NULL),
 e AS (SELECT signal_date, x.sid, {R.ret('y.open', 'x.open')} - (EXP(q.cb - p.cb) - 1) AS excess FROM g JOIN mc p ON p.idx = a JOIN mc q ON q.idx = b JOIN spine x ON x.idx = a JOIN spine y ON y.idx = b AND y.sid = x.sid),

@@ -32,6 +32,18 @@ def _full_year() -> Column:
     return F.when(valid == 256, C.simple_return(F.col("close"), _lag(255)))
 
 
+#: Running sums over a name's past, from which sums over any window are differences; a window of 1260 rows costs no more than one of 2.
+_SUMS = {"n": "1.0", "x": "r3", "y": "m3", "xx": "r3 * r3", "yy": "m3 * m3", "xy": "r3 * m3"}
+
+
+def _correlation(n: int, least: int) -> Column:
+    """Correlation of r3 and m3 over the last n sessions in which both are there."""
+    s = {k: F.col(f"sum_{k}") - F.coalesce(_lag(n, f"sum_{k}"), F.lit(0.0)) for k in _SUMS}
+    spread = lambda a, aa: s["n"] * s[aa] - s[a] * s[a]
+    root = F.sqrt(F.greatest(spread("x", "xx"), F.lit(0.0)) * F.greatest(spread("y", "yy"), F.lit(0.0)))
+    return F.when(s["n"] >= least, F.try_divide(s["n"] * s["xy"] - s["x"] * s["y"], root))
+
+
 def _volume_shock() -> Column:
     past = F.collect_list("volume").over(_over().rowsBetween(-49, 0))
     less, equal = F.size(F.filter(past, lambda v: v < F.col("volume"))), F.size(F.filter(past, lambda v: v == F.col("volume")))
@@ -45,7 +57,7 @@ FACTORS: dict[str, tuple[Callable[[], Column], int]] = {
     "momentum_12_7": (lambda: C.simple_return(_lag(126), _lag(252)), 1),
     "high_ratio_252": (lambda: F.col("adjusted") / C.rolling(F.col("adjusted"), F.max, 252, _over()), 1),
     "reversal_21": (lambda: C.simple_return(F.col("close"), _lag(21)), -1),
-    "beta": (lambda: C.rolling(F.col("r3") + F.col("m3"), lambda _: F.corr("r3", "m3"), 1260, _over(), 750) * C.rolling(F.col("r1"), F.stddev_samp, 252, _over(), 120) / C.rolling(F.col("m1"), F.stddev_samp, 252, _over(), 120), -1),
+    "beta": (lambda: _correlation(1260, 750) * C.rolling(F.col("r1"), F.stddev_samp, 252, _over(), 120) / C.rolling(F.col("m1"), F.stddev_samp, 252, _over(), 120), -1),
     "max_21": (lambda: C.rolling(F.col("r"), F.max, 21, _over()), -1),
     "illiquidity_252": (lambda: C.rolling(F.abs("r") / (F.col("close") * F.col("volume")), F.avg, 252, _over()), 1),
     "volume_shock_50": (_volume_shock, 1),
@@ -65,13 +77,15 @@ def daily_inputs(spine: DataFrame, market: DataFrame) -> DataFrame:
     out = out.join(F.broadcast(m), "idx", "left")  # one row for each session
     known = F.max(F.col("split").isNull().cast("int")).over(_past()) == 0
     factor = F.exp(F.sum(F.log(F.when(F.col("split") > 0, F.col("split")).otherwise(1.0))).over(_past()))
-    return out.select(
+    out = out.select(
         "*",
         C.simple_return(F.col("close"), _lag(1)).alias("r"),
         C.log_return(F.col("close"), _lag(3)).alias("r3"),
         C.log_return(F.col("close"), _lag(1)).alias("r1"),
         F.when(known, F.col("close") * factor).alias("adjusted"),
     )
+    both = F.col("r3").isNotNull() & F.col("m3").isNotNull()
+    return out.select("*", *(F.coalesce(F.sum(F.when(both, F.expr(x))).over(_past()), F.lit(0.0)).alias(f"sum_{k}") for k, x in _SUMS.items()))
 
 
 def factor_table(daily: DataFrame, names: Sequence[str], at: Column) -> DataFrame:

@@ -31,7 +31,7 @@ def average_precision(rows: DataFrame, score: str, outcome: str, tie: str, keys:
 
 def spearman(rows: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     have = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, C.average_rank(F.col(a), keys).alias("ra"), C.average_rank(F.col(b), keys).alias("rb"))
-    return have.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("spearman"))
+    return have.groupBy(*keys).agg(F.count("*").alias("n"), C.finite(F.corr("ra", "rb")).alias("spearman"))
 
 
 def calibration(rows: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFrame:

@@ -146,7 +146,7 @@ def quintiles(spark, sf_dir):
 
 @query(
     "agg_54_pooled_rank_correlation",
-    f"{_LONG}, p AS (SELECT a.factor_id AS a, b.factor_id AS b, a.date, a.sid, a.score AS x, b.score AS y FROM long a JOIN long b USING (date, sid) WHERE a.factor_id < b.factor_id AND a.score IS NOT NULL AND b.score IS NOT NULL), k AS (SELECT a, b, {R.avg_rank('x', 'a, b')} AS rx, {R.avg_rank('y', 'a, b')} AS ry FROM p) SELECT a, b, COUNT(*) AS n, ROUND(CORR(rx, ry), 8) AS spearman FROM k GROUP BY a, b",
+    f"{_LONG}, p AS (SELECT a.factor_id AS a, b.factor_id AS b, a.date, a.sid, a.score AS x, b.score AS y FROM long a JOIN long b USING (date, sid) WHERE a.factor_id < b.factor_id AND a.score IS NOT NULL AND b.score IS NOT NULL), k AS (SELECT a, b, {R.avg_rank('x', 'a, b')} AS rx, {R.avg_rank('y', 'a, b')} AS ry FROM p) SELECT a, b, COUNT(*) AS n, CASE WHEN NOT isnan(CORR(rx, ry)) THEN ROUND(CORR(rx, ry), 8) END AS spearman FROM k GROUP BY a, b",
 )
 def pooled(spark, sf_dir):
     from chronopanel.operators import inference as inf

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import columns as C
+from chronopanel.sources import store
 
 
 def auc(rows: DataFrame, score: str, outcome: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -41,20 +42,47 @@ def calibration(rows: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFr
     return have.groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(outcome).cast("double")).alias("rate"))
 
 
+def _ranked(tests: DataFrame, p: str, tie: str, keys: Sequence[str]) -> DataFrame:
+    """tests with rank_ by p within the keys (rows without p last), m_ (rows with p), part_ and spans_.
+
+    Rows are sorted over all tasks and written with the range they fall in, so that a family of any size is dealt to
+    as many ranges as it fills. Only families of several ranges (two of each range at most) need counts carried over.
+    """
+    dealt = store.materialized(tests.repartitionByRange(*keys, F.col(p).asc_nulls_last(), F.col(tie)).withColumn("part_", F.spark_partition_id()))
+    family, part = Window.partitionBy(*keys), Window.partitionBy(*keys, "part_")
+    sizes = dealt.groupBy(*keys, "part_").agg(F.count("*").alias("rows_"), F.count(p).alias("n_"))
+    before = F.sum("rows_").over(family.orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows_")
+    spanning = sizes.select(*keys, "part_", before.alias("before_"), F.sum("n_").over(family).alias("all_"), F.count("*").over(family).alias("parts_")).where("parts_ > 1").drop("parts_")
+    local = dealt.withColumn("rank_", F.row_number().over(part.orderBy(F.col(p).asc_nulls_last(), tie))).withColumn("n_", F.count(p).over(part))
+    rank, m = F.col("rank_") + F.coalesce("before_", F.lit(0)), F.coalesce("all_", "n_")
+    return _with_carried(local, spanning, keys).select(*tests.columns, "part_", rank.alias("rank_"), m.alias("m_"), F.col("before_").isNotNull().alias("spans_"))
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what is carried over to their family and range, null where nothing is."""
+    theirs = carried.select(*(F.col(k).alias(f"of_{k}_") for k in (*keys, "part_")), *(c for c in carried.columns if c not in (*keys, "part_")))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}_")) for k in (*keys, "part_")]
+    return rows.join(F.broadcast(theirs), same, "left")
+
+
 def with_false_discovery_rate(tests: DataFrame, p: str, tie: str, keys: Sequence[str] = (), name: str = "q") -> DataFrame:
-    """tests with q values within the keys; rows without p have none. Equal p go by `tie`."""
-    part = Window.partitionBy(*keys)
-    ranked = tests.withColumn("rank_", F.row_number().over(part.orderBy(F.col(p).asc_nulls_last(), tie))).withColumn("m_", F.count(p).over(part))
-    least = F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(part.orderBy(F.col("rank_").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("rank_", "m_")
+    """tests with q values within the keys; rows without p have none. Equal p go by `tie`. No family is one task."""
+    ranked = _ranked(tests, p, tie, keys).withColumn("x_", F.col(p) * F.col("m_") / F.col("rank_"))
+    least = ranked.where("spans_").groupBy(*keys, "part_").agg(F.min("x_").alias("x_"))
+    carried = least.select(*keys, "part_", F.min("x_").over(Window.partitionBy(*keys).orderBy(F.col("part_").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later_"))
+    within = F.min("x_").over(Window.partitionBy(*keys, "part_").orderBy(F.col("rank_").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = _with_carried(ranked.withColumn("x_", within), carried, keys)
+    return rows.select(*tests.columns, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "x_", "later_")).alias(name))
 
 
 def with_holm(tests: DataFrame, p: str, tie: str, keys: Sequence[str] = (), name: str = "p_holm") -> DataFrame:
-    """tests with step-down adjusted p values within the keys."""
-    part = Window.partitionBy(*keys)
-    ranked = tests.withColumn("rank_", F.row_number().over(part.orderBy(F.col(p).asc_nulls_last(), tie))).withColumn("m_", F.count(p).over(part))
-    most = F.max((F.col("m_") - F.col("rank_") + 1) * F.col(p)).over(part.orderBy("rank_").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), most))).drop("rank_", "m_")
+    """tests with step-down adjusted p values within the keys. No family is one task."""
+    ranked = _ranked(tests, p, tie, keys).withColumn("x_", (F.col("m_") - F.col("rank_") + 1) * F.col(p))
+    most = ranked.where("spans_").groupBy(*keys, "part_").agg(F.max("x_").alias("x_"))
+    carried = most.select(*keys, "part_", F.max("x_").over(Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier_"))
+    within = F.max("x_").over(Window.partitionBy(*keys, "part_").orderBy("rank_").rowsBetween(Window.unboundedPreceding, 0))
+    rows = _with_carried(ranked.withColumn("x_", within), carried, keys)
+    return rows.select(*tests.columns, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.greatest("x_", "earlier_"))).alias(name))
 
 
 def block_draws(n: DataFrame, replicates: int, block: int, seed: int, circular: bool = True) -> DataFrame:

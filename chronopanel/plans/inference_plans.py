@@ -53,8 +53,16 @@ def calibration(spark, sf_dir):
 _TESTS = "t AS (SELECT o_orderpriority AS family, o_orderkey AS test, ROUND((o_totalprice % 1000) / 1000, 6) AS p FROM orders WHERE o_orderkey < 200)"
 
 
+#: The same of every order.
+_ALL_TESTS = _TESTS.replace(" WHERE o_orderkey < 200", "")
+
+
+def _all_tests(spark, sf_dir):
+    return panel.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("p"))
+
+
 def _tests(spark, sf_dir):
-    return panel.table(spark, sf_dir, "orders").where("o_orderkey < 200").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("p"))
+    return _all_tests(spark, sf_dir).where("test < 200")
 
 
 @query(
@@ -66,6 +74,11 @@ def false_discovery(spark, sf_dir):
     return rounded(inf.with_false_discovery_rate(_tests(spark, sf_dir), "p", "test", ["family"]))
 
 
+@query("sta_10_false_discovery_rate_all", R.ORACLES["sta_10_false_discovery_rate"].replace(_TESTS, _ALL_TESTS))
+def false_discovery_all(spark, sf_dir):
+    return rounded(inf.with_false_discovery_rate(_all_tests(spark, sf_dir), "p", "test", ["family"]))
+
+
 @query(
     "sta_12_holm",
     f"""WITH {_TESTS}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, test) AS r, COUNT(*) OVER (PARTITION BY family) AS m FROM t)
@@ -75,6 +88,11 @@ def holm(spark, sf_dir):
     return rounded(inf.with_holm(_tests(spark, sf_dir), "p", "test", ["family"]))
 
 
+@query("sta_12_holm_all", R.ORACLES["sta_12_holm"].replace(_TESTS, _ALL_TESTS))
+def holm_all(spark, sf_dir):
+    return rounded(inf.with_holm(_all_tests(spark, sf_dir), "p", "test", ["family"]))
+
+
 def _draws(block: int, reps: int, circular: bool) -> str:
     room = "n" if circular else f"(n - {block} + 1)"
     return f"""{_SO}, se AS (SELECT ROW_NUMBER() OVER (ORDER BY idx) - 1 AS place, score, x FROM sh), nn AS (SELECT COUNT(*) AS n FROM se),

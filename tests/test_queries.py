@@ -216,3 +216,40 @@ def test_provider_files(spark, tmp_path):
         files.read_prices(spark, str(js), "A")
     wide = spark.createDataFrame([("2020-01-02", 1.0, 2.0, 3.0)], "date string, `close:A` double, `close:B` double, `open:A` double")
     assert sorted((r.sid, r.close, r.open) for r in files.long_fields(wide).collect()) == [("A", 1.0, 3.0), ("B", 2.0, None)]
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_adjusted_p_values_of_large_families(spark, keys):
+    import random
+
+    from chronopanel.operators import inference as inf
+
+    rng = random.Random(4)
+    rows = [("big" if i % 10 else rng.choice(["small", None]), i, None if i % 97 == 0 else round(rng.random() ** 3, 4)) for i in range(5000)]
+    rows += [("ties", 9000 + i, 0.25) for i in range(700)] + [("none", 9900, None)]
+    q, holm = {}, {}
+    for family in {r[0] for r in rows} if keys else {""}:
+        have = sorted((p, i) for k, i, p in rows if p is not None and (not keys or k == family))
+        m, low, high = len(have), 1.0, 0.0
+        for r in range(m, 0, -1):
+            low = q[have[r - 1][1]] = min(low, have[r - 1][0] * m / r)
+        for r in range(1, m + 1):
+            high = max(high, (m - r + 1) * have[r - 1][0])
+            holm[have[r - 1][1]] = min(1.0, high)
+    tests = spark.createDataFrame(rows, "k string, i int, p double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for made, expected in ((inf.with_false_discovery_rate(tests, "p", "i", keys), q), (inf.with_holm(tests, "p", "i", keys), holm)):
+            assert made.columns[:3] == tests.columns and len(made.columns) == 4
+            found = made.withColumn("task", F.spark_partition_id()).collect()
+            assert {r[1]: r[3] for r in found if r[3] is not None} == pytest.approx(expected, abs=1e-12)
+            assert sorted(r[1] for r in found) == sorted(r[1] for r in rows)
+            assert len({r.task for r in found if r.k == "big"}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert inf.with_holm(tests.limit(0), "p", "i", keys).count() == 0
+
+
+@pytest.mark.parametrize("name", ["sta_10_false_discovery_rate_all", "sta_12_holm_all"])
+def test_every_order_has_an_adjusted_p_value(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()

@@ -157,7 +157,15 @@ f AS (SELECT action_id, CASE WHEN NOT (CASE t WHEN 'cash' THEN COALESCE(cash, 0)
 SELECT * FROM f WHERE fault IS NOT NULL""",
 )
 def action_faults(spark, sf_dir):
-    o = panel.table(spark, sf_dir, "orders").where("o_orderkey < 900")
+    return _action_faults(panel.table(spark, sf_dir, "orders").where("o_orderkey < 900"))
+
+
+@query("val_06_action_faults_all", R.ORACLES["val_06_action_faults"].replace(" WHERE o_orderkey < 900", ""))
+def action_faults_all(spark, sf_dir):
+    return _action_faults(panel.table(spark, sf_dir, "orders"))
+
+
+def _action_faults(o):
     k = F.col("o_orderkey") % 5
     kinds = F.array(*(F.lit(x) for x in ("cash", "stock", "mixed", "worthless", "other")))
     ledger = o.select(

@@ -245,6 +245,24 @@ def name_candidates(spark, sf_dir):
     return rounded(en.name_candidates(names, lookup.unionByName(more)))
 
 
+_TOKENS = "string_split({}, ' ')"
+
+
+@query(
+    "jon_08_name_candidates_all",
+    f"""WITH a AS (SELECT s_suppkey AS sid, {_NORM.format('s_name')} AS a FROM supplier), b AS (SELECT s_suppkey AS cik, {_NORM.format("CASE WHEN s_suppkey % 4 = 0 THEN replace(s_name, '#', ' East ') ELSE upper(replace(s_name, '#', ' - ')) END")} AS b FROM supplier),
+ex AS (SELECT sid, cik FROM a JOIN b ON a = b), x AS (SELECT sid, {_TOKENS.format('a')} AS a FROM a WHERE sid NOT IN (SELECT sid FROM ex)), y AS (SELECT cik, {_TOKENS.format('b')} AS b FROM b),
+near AS (SELECT sid, cik, ROUND(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 8) AS score FROM x JOIN y ON a[1] = b[1] AND a[-1] = b[-1])
+SELECT sid, cik, 1.0::DOUBLE AS score, true AS is_exact FROM ex UNION ALL SELECT sid, cik, score, false FROM near WHERE score >= 0.5""",
+)
+def name_candidates_all(spark, sf_dir):
+    """Every supplier, against a register of all of them in other spellings; each fourth has a word more."""
+    s = panel.table(spark, sf_dir, "supplier")
+    names = s.select(F.col("s_suppkey").alias("sid"), F.col("s_name").alias("name"))
+    spelled = F.when(F.col("s_suppkey") % 4 == 0, F.regexp_replace("s_name", "#", " East ")).otherwise(F.upper(F.regexp_replace("s_name", "#", " - ")))
+    return rounded(en.name_candidates(names, s.select(F.col("s_suppkey").alias("cik"), spelled.alias("name"))))
+
+
 @query("jon_09_resolved_entities", "SELECT s_suppkey AS sid, CASE WHEN s_suppkey % 10 = 0 THEN 9000 + s_suppkey WHEN s_suppkey % 10 = 1 THEN 5000 + s_suppkey WHEN s_suppkey % 10 = 3 THEN 7000 + s_suppkey END AS cik, CASE s_suppkey % 10 WHEN 0 THEN 'override' WHEN 1 THEN 'ticker' WHEN 2 THEN 'ticker_conflict' WHEN 3 THEN 'name' ELSE 'unresolved' END AS method FROM supplier")
 def resolved(spark, sf_dir):
     s = panel.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid"))

@@ -253,3 +253,18 @@ def test_adjusted_p_values_of_large_families(spark, keys):
 @pytest.mark.parametrize("name", ["sta_10_false_discovery_rate_all", "sta_12_holm_all"])
 def test_every_order_has_an_adjusted_p_value(spark, name):
     assert plans.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+@pytest.mark.parametrize(("name", "table", "by", "key"), [("val_06_action_faults", "orders", "action_id", "o_orderkey"), ("val_07_action_sessions", "orders", "action_id", "o_orderkey"), ("jon_08_name_candidates", "supplier", "sid", "s_suppkey")])
+def test_ids_beyond_the_first_have_verdicts(spark, name, table, by, key):
+    """Some of the upper half of the ids are found, and of the suppliers all."""
+    whole = spark.read.parquet(f"{SF}/{table}.parquet")
+    ids = {r[by] for r in plans.QUERIES[f"{name}_all"](spark, SF).select(by).collect()}
+    assert max(ids) > whole.agg(F.max(key)).first()[0] / 2
+    assert table != "supplier" or len(ids) == whole.count()
+
+
+def test_every_name_has_a_borrow_rate(spark):
+    from chronopanel.sources import panel
+
+    assert plans.QUERIES["sim_13_borrow_rates_all"](spark, SF).count() == panel.prices(spark, SF).count()

@@ -160,6 +160,14 @@ def test_odd_pages(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_elements_late_in_a_very_long_page():
+    lines = [f"Paragraph {i}, with commas, and enough words to be kept." for i in range(60_000)]
+    body = "".join(f"<p><b>{x}</b></p>" for x in lines)
+    page = f"<html><body><article>{body}<div><p>A last one, nested, with words enough to be kept.</p></div><p>And after it, one more, of the same article.</p></article><footer><p>Copyright, all rights, reserved.</p></footer></body></html>"
+    assert html_extract.main_text(page).split("\n") == [*lines, "A last one, nested, with words enough to be kept.", "And after it, one more, of the same article."]
+    assert html_extract.main_text("<div>" * 150_000 + "deep text in here, with words<footer>no</footer>") == "deep text in here, with words"
+
+
 # ---- quality of lines
 
 

@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space as one space) and hashed. For each host the distinct
-documents of each line are counted, copies of one text once; lines above the limit are removed, and a document of
+documents of each line are counted, copies of one text once unless the column of document ids is given; lines above the limit are removed, and a document of
 which too few words are left is rejected. Rules on the text alone (too few words, too many words in repeated 3-word
 windows) come with it, and their counts.
 
@@ -112,14 +112,18 @@ def frequent_lines(table: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
     return once.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > most)
 
 
-def with_line_counts(docs: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] | None = None, most: int = MOST_DOCUMENTS, name: str = "rules") -> DataFrame:
-    """docs with a struct column `name`: the counts of COUNTS, n_frequent_words, frequent (places of frequent lines among the lines with words)."""
+def with_line_counts(docs: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] | None = None, most: int = MOST_DOCUMENTS, name: str = "rules", document: str | None = None) -> DataFrame:
+    """docs with a struct column `name`: the counts of COUNTS, n_frequent_words, frequent (places of frequent lines among the lines with words).
+
+    document: the column whose distinct values are counted as documents; without it each distinct text is one.
+    """
     keep = list(docs.columns if keep is None else keep)
     mine = {w: free_name(docs, w) for w in ("row", "host", "text_hash", "numbers")}
-    wide = docs.select(*(docs[f"`{c}`"] for c in dict.fromkeys([*keep, text])), _host(docs[host]).alias(mine["host"]), F.xxhash64(docs[text]).alias(mine["text_hash"]))
+    said = F.xxhash64(docs[text]) if document is None else F.when(docs[document].isNotNull(), F.xxhash64(docs[document]))
+    wide = docs.select(*(docs[f"`{c}`"] for c in dict.fromkeys([*keep, text])), _host(docs[host]).alias(mine["host"]), said.alias(mine["text_hash"]))
     table = with_verdict(wide, _numbers, [text], NUMBERS, mine["numbers"], keep=[*keep, mine["host"], mine["text_hash"]])
     table = write_table(table.withColumn(mine["row"], F.monotonically_increasing_id()))
-    lean = table.select(F.col(mine["row"]).alias("row"), F.col(mine["host"]).alias("host"), F.col(mine["text_hash"]).alias("text_hash"), F.col(mine["numbers"])["lines"].alias("lines"), F.col(mine["numbers"])["line_words"].alias("line_words"))
+    lean = table.select(F.col(mine["row"]).alias("row"), F.col(mine["host"]).alias("host"), F.coalesce(mine["text_hash"], F.xxhash64(F.lit("row"), mine["row"])).alias("text_hash"), F.col(mine["numbers"])["lines"].alias("lines"), F.col(mine["numbers"])["line_words"].alias("line_words"))
     frequent = write_table(frequent_lines(lean, most).select("host", "line"))
     spots = lean.select("row", "host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x")).select("row", "host", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     if frequent.count() <= MOST_SENT:
@@ -158,10 +162,10 @@ def _without_lines(texts: pa.Array, places: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", most: int = MOST_DOCUMENTS) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", most: int = MOST_DOCUMENTS, document: str | None = None) -> DataFrame:
     """docs that pass, each text without the lines above the limit."""
     name = free_name(docs, "rules")
-    found = with_line_counts(docs, host, text, most=most, name=name)
+    found = with_line_counts(docs, host, text, most=most, name=name, document=document)
     found = found.where(~base_failed(F.col(name)) & ~is_depleted(F.col(name)))
     places, fresh = free_name(found, "places"), free_name(found, "cleaned")
     out = with_verdict(found.withColumn(places, F.col(name)["frequent"]), _without_lines, [text, places], T.StringType(), fresh)

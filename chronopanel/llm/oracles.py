@@ -95,4 +95,6 @@ SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n
 FROM texts LEFT JOIN lists USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10}
+OP10_ALL_COPIES = OP10.replace("md5(text) AS whole", "document AS whole").replace("SELECT r, source, text, unnest", "SELECT r, source, text, coalesce(doc_id::VARCHAR, '#' || r) AS document, unnest")
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10, "op10_line_rules_all_copies": OP10_ALL_COPIES}

@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 
-_PACK = 8
+#: Units in one number, and bits of each: bytes stand as 1 to 256, so that 0 can separate strings whatever they hold.
+_PACK, _BITS = 7, 9
 
 
 def _packed(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as one number, first byte highest; zeros after the end."""
+    """The units from each position on as one number, first unit highest; zeros after the end."""
     wide = np.zeros(len(data) + _PACK, np.uint64)
     wide[: len(data)] = data
     out = np.zeros(len(data), np.uint64)
     for k in range(_PACK):
-        out = out << np.uint64(8) | wide[k : k + len(data)]
+        out = out << np.uint64(_BITS) | wide[k : k + len(data)]
     return out
 
 
@@ -25,9 +26,9 @@ def _starts(changed: np.ndarray) -> np.ndarray:
 
 
 def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first `depth` bytes at least, and the common prefix of each with the one before.
+    """Suffixes in the order of their first `depth` units at least, and the common prefix of each with the one before.
 
-    ends: for each position, where its string ends; no common prefix goes beyond. Common prefixes below `least` may be
+    data: bytes plus one, and 0 after each string. ends: for each position, where its string ends; no common prefix goes beyond. Common prefixes below `least` may be
     given as 0. Prefix doubling sorts again only what still shares a rank.
     """
     n = len(data)
@@ -74,7 +75,7 @@ def enhanced_suffix_array(data: np.ndarray, ends: np.ndarray, depth: int, least:
         differ[inside] = packed[a[inside]] ^ packed[b[inside]]
         lead = np.zeros(len(rows), np.int64)
         for k in range(_PACK):
-            lead += (lead == k) & (differ >> np.uint64(8 * (_PACK - 1 - k)) == 0)
+            lead += (lead == k) & (differ >> np.uint64(_BITS * (_PACK - 1 - k)) == 0)
         total += np.minimum(lead, _PACK - 1)
         common[rows] = np.minimum(total, np.minimum(ends[left] - left, ends[right] - right))
     return order, common
@@ -111,7 +112,8 @@ def repeat_groups(strings: Sequence[bytes], least: int) -> tuple[np.ndarray, np.
     if not len(sizes):
         return none, none, none, none
     firsts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    data = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
+    data = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(1)
+    data[firsts + sizes] = 0
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     ends = (firsts + sizes)[owner]
     order, common = enhanced_suffix_array(data, ends, max(least, int(sizes.max())) + 1, least)

@@ -1,4 +1,8 @@
-"""Compressed FM-index over integer tokens: wavelet matrix of the Burrows-Wheeler transform, backward search in bulk."""
+"""Compressed FM-index over integer tokens: wavelet matrix of the Burrows-Wheeler transform, backward search in bulk.
+
+Kept are the bit vectors of the transform, common prefixes of neighbouring rows in one byte or two, and the document of
+each row; neither the text nor its suffix array or ranks.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarr
     """
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    levels, order, h = [rank], np.argsort(rank), 1
+    levels, order, h = [rank.astype(np.int32)], np.argsort(rank), 1
     while n and rank.max() < n and (depth is None or h < depth):
         key = rank * (n + 1)
         key[: max(0, n - h)] += rank[h:]
@@ -22,11 +26,25 @@ def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarr
         new[1:] = key[1:] != key[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         h *= 2
     return order, levels
 
 
+def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each row shares with the row before, as far as the ranks tell them apart; 0 for the first row and after the last."""
+    n = len(order)
+    out = np.zeros(n + 1, np.int64)
+    a, b, total = order[:-1], order[1:], np.zeros(max(0, n - 1), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        inside = np.flatnonzero((a < n) & (b < n))
+        same = np.zeros(len(a), np.int64)
+        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
+        a, b, total = a + (same << k), b + (same << k), total + (same << k)
+    out[1:n] = total
+    return out.astype(np.uint8 if out.max(initial=0) < 256 else np.uint16)
+
+
 class BitVector:
     """Packed bits with the number of ones before each word of 64."""
 
@@ -43,18 +61,39 @@ class BitVector:
         return self.before[word] + np.bitwise_count(below).astype(np.int64)
 
 
+class RangeLeast:
+    """Least value of any range, by a sparse table."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.tables = np.empty((max(1, int(len(values)).bit_length()), len(values)), values.dtype)
+        self.tables[0] = values
+        for k in range(1, len(self.tables)):
+            h = 1 << (k - 1)
+            self.tables[k] = self.tables[k - 1]
+            self.tables[k, :-h] = np.minimum(self.tables[k - 1, :-h], self.tables[k - 1, h:])
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least of values[low:high] for each pair; low < high."""
+        level = np.frexp((high - low).astype(float))[1] - 1
+        return np.minimum(self.tables[level, low], self.tables[level, high - (1 << level)])
+
+
 class FMIndex:
     """tokens: positive integers; 0 separates what no match may cross, is put at the end if absent, and is never searched.
 
-    depth: the longest pattern that will be searched; suffixes need no order beyond it.
+    documents: for each token the number of the document that it stands in, all the same by default; depth: more than the
+    longest pattern that will be searched, suffixes need no order beyond it.
     """
 
-    def __init__(self, tokens: np.ndarray, depth: int | None = None) -> None:
+    def __init__(self, tokens: np.ndarray, documents: np.ndarray | None = None, depth: int | None = None) -> None:
+        documents = np.zeros(len(tokens), np.int32) if documents is None else documents
         if not len(tokens) or tokens[-1]:
-            tokens = np.append(tokens, 0)
-        self.order, self.ranks = suffix_array(tokens, depth)
-        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        last = tokens[self.order - 1]
+            tokens, documents = np.append(tokens, 0), np.append(documents, documents[-1:] if len(documents) else 0)
+        order, ranks = suffix_array(tokens, depth)
+        self.n = len(order)
+        self.common = RangeLeast(common_prefixes(order, ranks))
+        self.earliest = RangeLeast(documents[order])
+        last = tokens[order - 1]
         self.levels: list[tuple[BitVector, int]] = []
         self.depth = max(1, int(tokens.max(initial=1)).bit_length())
         counts = np.bincount(tokens, minlength=(1 << self.depth) + 1)
@@ -77,79 +116,59 @@ class FMIndex:
         """Rows of the suffixes that start with token and go on as those in [low, high); none for a token beyond the alphabet."""
         known = token < 1 << self.depth
         token = np.where(known, token, 0)
-        first = self.before[token]
-        a, b = first + self.rank(token, low), first + self.rank(token, high)
+        first, m = self.before[token], len(token)
+        ranks = self.rank(np.concatenate([token, token]), np.concatenate([low, high]))
+        a, b = first + ranks[:m], first + ranks[m:]
         return a, np.where(known, b, a)
 
-    def parents(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row, the first row and the row after the last that share its first m tokens."""
-        if m not in self.groups:
-            n, at, left = len(self.order), self.order, m
-            same = np.ones(n - 1, bool)
-            for k in range(len(self.ranks) - 1, -1, -1):
-                while left >> k:
-                    a, b = at[:-1], at[1:]
-                    inside = np.flatnonzero(same & (a < n) & (b < n))
-                    same = np.zeros(n - 1, bool)
-                    same[inside] = self.ranks[k][a[inside]] == self.ranks[k][b[inside]]
-                    at, left = at + (1 << k), left - (1 << k)
-            cuts = np.flatnonzero(~same) + 1
-            group = np.zeros(n, np.int64)
-            group[cuts] = 1
-            group = np.cumsum(group)
-            self.groups[m] = (np.concatenate([[0], cuts])[group], np.append(cuts, n)[group])
-        return self.groups[m]
-
-    def matching_statistics(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the texts tokens[firsts[i] : firsts[i] + sizes[i]], end to end: at each place the length of the longest match from there on,
-        cut off at n, and the rows that share it.
-
-        Each text is streamed backward: a step extends the match to the left; at n tokens the last is let go by moving to
-        the parent interval, and so it is, token by token, where a match can't be extended.
+    def parents(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parent of each interval in the tree of common prefixes: tokens that its rows share, first row, row after the last."""
+        least = self.common.tables[0]
+        m = np.maximum(least[low], least[high])
+        first, end = low + 1, high.copy()
+        for k in range(len(self.common.tables) - 1, -1, -1):
+            size, table = 1 << k, self.common.tables[k]
+            far = np.maximum(first - size, 0)
+            first = np.where((first >= size) & (table[far] >= m), far, first)
+            fits = end + size <= self.n
+            end = np.where(fits & (table[np.where(fits, end, 0)] >= m), end + size, end)
+        return m.astype(np.int64), np.where(m > 0, first - 1, 0), np.where(m > 0, end, self.n)
+
+    def matching_statistics(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, documents: np.ndarray | None = None) -> np.ndarray:
+        """Of the texts tokens[firsts[i] : firsts[i] + sizes[i]], end to end: at each place the length of the longest match from there on
+        with a document before documents[i] (with any, by default).
+
+        Each text is streamed backward: a step extends the match to the left; where that leaves no row, or none of an earlier
+        document, the match is shortened on the right to the parent interval, until it can be extended.
         """
+        documents = np.full(len(sizes), np.iinfo(np.int64).max) if documents is None else documents
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        length, low, high = np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], np.int64)
+        length = np.zeros(offsets[-1], np.int64)
         order = np.argsort(-sizes, kind="stable")
         live_at = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if len(sizes) else 0) + 1), "right")
-        a, b, k = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(self.order)), np.zeros(len(sizes), np.int64)
+        a, b, k = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n), np.zeros(len(sizes), np.int64)
+
+        def refused(texts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            bad = x >= y
+            some = np.flatnonzero(~bad)
+            bad[some] = self.earliest(x[some], y[some]) >= documents[texts[some]]
+            return bad
+
         for back, m in enumerate(live_at.tolist(), 1):
             now = order[:m]
             place = sizes[now] - back
             token = tokens[firsts[now] + place]
-            long = now[k[now] == n]
-            if len(long):
-                first, last = self.parents(n - 1)
-                a[long], b[long], k[long] = first[a[long]], last[a[long]], n - 1
             x, y = self.extend(token, a[now], b[now])
-            stuck = np.flatnonzero(x >= y)
+            stuck = np.flatnonzero(refused(now, x, y))
             while len(stuck):
-                shorter = stuck[k[now[stuck]] > 0]
-                x[stuck], y[stuck] = 0, len(self.order)
-                gone = stuck[k[now[stuck]] == 0]
-                k[now[gone]] = -1
-                for size in np.unique(k[now[shorter]]).tolist():
-                    these = now[shorter[k[now[shorter]] == size]]
-                    first, last = self.parents(size - 1)
-                    a[these], b[these] = (first[a[these]], last[a[these]]) if size > 1 else (0, len(self.order))
-                k[now[shorter]] -= 1
-                x[shorter], y[shorter] = self.extend(token[shorter], a[now[shorter]], b[now[shorter]])
-                stuck = shorter[x[shorter] >= y[shorter]]
+                none = k[now[stuck]] == 0
+                gone, stuck = stuck[none], stuck[~none]
+                k[now[gone]], x[gone], y[gone] = -1, 0, self.n
+                texts = now[stuck]
+                k[texts], a[texts], b[texts] = self.parents(a[texts], b[texts])
+                x[stuck], y[stuck] = self.extend(token[stuck], a[texts], b[texts])
+                stuck = stuck[refused(texts, x[stuck], y[stuck])]
             a[now], b[now] = x, y
             k[now] += 1
-            spot = offsets[now] + place
-            length[spot], low[spot], high[spot] = k[now], x, y
-        return length, low, high
-
-
-def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least of values[low:high] for each pair with low < high, by a sparse table."""
-    tables = [values]
-    while 2 << (len(tables) - 1) <= len(values):
-        t, h = tables[-1], 1 << (len(tables) - 1)
-        tables.append(np.minimum(t[:-h], t[h:]))
-    level = np.frexp((high - low).astype(float))[1] - 1
-    out = np.empty(len(low), values.dtype)
-    for k, t in enumerate(tables):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(t[low[at]], t[high[at] - (1 << k)])
-    return out
+            length[offsets[now] + place] = k[now]
+        return length

@@ -7,9 +7,12 @@ least hash in the window. Equal windows have equal anchors, so equal windows mee
 2. Of the others, the run's text becomes a segment; equal segments are one row from here on, with the least document
    and the number of occurrences.
 3. Where an anchor has very many different segments (a short passage in much different company), windows are counted
-   by hash first, and segments are cut to the windows that occur again; what is left collapses.
-4. Segments go to shards of bounded size by anchor. Each shard is indexed and searched by itself.
-5. What the index finds goes back to the documents by segment, and from there to the texts by document.
+   by hash first, and segments are cut to the windows that occur again.
+4. Where an anchor still has very many, its segments are cut into runs of a wider anchor, and so on; the widest anchor
+   is the whole window, of which all occurrences are one row.
+5. Segments go to shards of bounded size by anchor: no anchor has more than `crowd` of them. Each shard is indexed and
+   searched by itself.
+6. What the index finds goes back to the documents by segment, and from there to the texts by document.
 
 Hashes choose what is compared; the index compares the texts.
 """
@@ -17,7 +20,8 @@ Hashes choose what is compared; the index compares the texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from chronopanel.llm.scratch import drop_table, write_table
 
 #: Bytes of segments in one shard.
 SHARD_BYTES = 2 << 20
-#: Different segments of one anchor beyond which its segments are cut to repeated windows first.
+#: Different segments of one anchor beyond which its segments are cut further.
 CROWD = 1000
 
 
@@ -45,6 +49,11 @@ class Windows:
     def width(self) -> int:
         return self.size - self.gram + 1
 
+    @property
+    def wider(self) -> Windows:
+        """Half way from this anchor to the whole window."""
+        return replace(self, gram=(self.gram + self.size + 1) // 2)
+
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Values of the units, first unit of each text, and where units start and end in the bytes."""
         if not self.words:
@@ -148,8 +157,64 @@ def _cut(kind: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def find_repeats(docs: DataFrame, kind: Windows, index: Callable[[Windows, pa.Table], pa.Table], shard_bytes: int = SHARD_BYTES, crowd: int = CROWD) -> DataFrame:
-    """docs: (doc long, not null; said) -> (doc, said_hash, start, found) for segments in which the index found something.
+def _split(kind: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, seg_hash, segment, low, n -> of each run of the segments: key, seg_hash, shift, child_key, segment, low, n."""
+    size = tb.BLOCK_BYTES * kind.width // (kind.size + kind.width)  # the runs overlap: together they are so much larger
+    for batch in batches:
+        for a, b, data, offsets in tb.blocks(batch.column(2), max(1, size)):
+            values, firsts, starts, ends = kind.units(data, offsets)
+            owner, first, count, keys, _ = kind.runs(values, firsts)
+            raw, rows = data.tobytes(), pa.array(owner)
+            low, high = starts[first].tolist(), ends[first + count + kind.size - 2].tolist()
+            key, seg_hash, least, n = (batch.column(i).slice(a, b - a).take(rows) for i in (0, 1, 3, 4))
+            segments = pa.array([raw[s:e] for s, e in zip(low, high, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([key, seg_hash, pa.array(first - firsts[owner]), pa.array(keys), segments, least, n], names=["key", "seg_hash", "shift", "child_key", "segment", "low", "n"])
+
+
+def _repeated_windows(kind: Windows, crowded: DataFrame) -> DataFrame:
+    """key, seg_hash, shift, child_key, segment, low, n: the parts of the segments whose windows occur again."""
+    windows = crowded.select("key", "seg_hash", "segment", "n").mapInArrow(lambda x: _window_hashes(kind, x), "key long, seg_hash long, n long, hashes array<long>")
+    windows = windows.select("key", "seg_hash", "n", F.posexplode("hashes").alias("at", "hash"))
+    twice = write_table(windows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
+    spots = windows.join(twice, "hash").groupBy("key", "seg_hash").agg(F.collect_list("at").alias("again"))
+    parts = crowded.join(spots, ["key", "seg_hash"]).select("key", "seg_hash", "segment", "low", "n", "again")
+    parts = parts.mapInArrow(lambda x: _cut(kind, x), "key long, seg_hash long, shift long, segment binary, low long, n long")
+    parts = write_table(parts.select("key", "seg_hash", "shift", F.col("key").alias("child_key"), "segment", "low", "n", F.xxhash64("segment").alias("child_hash")))
+    drop_table(twice)
+    return parts
+
+
+def _once(parts: DataFrame) -> DataFrame:
+    """Equal segments as one row."""
+    return write_table(parts.groupBy("key", "seg_hash", "segment").agg(F.min("low").alias("low"), F.sum("n").alias("n")))
+
+
+def _uncrowded(kind: Windows, unique: DataFrame, crowd: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Rows (key, segment, low, n) with at most `crowd` segments for each anchor; for each time that segments were cut, the parts; tables to drop."""
+    rows, cuts, made = [], [], [unique]
+    while True:
+        crowds = write_table(unique.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+        made.append(crowds)
+        whole = kind.gram == kind.size
+        if whole or crowds.isEmpty():
+            rows.append(unique)
+            break
+        rows.append(unique.join(crowds, "key", "left_anti"))
+        crowded = unique.join(crowds, "key", "left_semi")
+        if not cuts:
+            parts = _repeated_windows(kind, crowded)
+        else:
+            kind = kind.wider
+            parts = crowded.mapInArrow(lambda x, kind=kind: _split(kind, x), "key long, seg_hash long, shift long, child_key long, segment binary, low long, n long")
+            parts = write_table(parts.withColumn("child_hash", F.xxhash64("segment")))
+        cuts.append(parts)
+        unique = _once(parts.select(F.col("child_key").alias("key"), F.col("child_hash").alias("seg_hash"), "segment", "low", "n"))
+        made.append(unique)
+    return reduce(DataFrame.union, [x.select("key", "segment", "low", "n") for x in rows]), cuts, made
+
+
+def find_repeats(docs: DataFrame, kind: Windows, index: Callable[[Windows, pa.Table], pa.Table], shard_bytes: int = SHARD_BYTES, crowd: int = CROWD) -> tuple[DataFrame, list[DataFrame]]:
+    """docs: (doc long, not null; said) -> (doc, said_hash, start, found) for segments in which the index found something; and tables to drop after.
 
     start: the segment's first unit in the text; found: what index() gave for it, relative to that unit.
     index(kind, table of key, segment, low, n) returns key, segment, found (a list of longs), on one shard.
@@ -169,25 +234,17 @@ def find_repeats(docs: DataFrame, kind: Windows, index: Callable[[Windows, pa.Ta
     segments = write_table(segments.withColumn("seg_hash", F.xxhash64("segment")))
     drop_table(wanted)
     unique = write_table(segments.groupBy("key", "seg_hash", "segment").agg(F.min("doc").alias("low"), F.count("*").alias("n")))
-    crowds = write_table(unique.groupBy("key").count().where(F.col("count") > crowd).select("key"))
-    crowded = unique.join(crowds, "key", "left_semi")
-    windows = crowded.select("key", "seg_hash", "segment", "n").mapInArrow(lambda x: _window_hashes(kind, x), "key long, seg_hash long, n long, hashes array<long>")
-    windows = windows.select("key", "seg_hash", "n", F.posexplode("hashes").alias("at", "hash"))
-    twice = write_table(windows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
-    spots = windows.join(twice, "hash").groupBy("key", "seg_hash").agg(F.collect_list("at").alias("again"))
-    parts = crowded.join(spots, ["key", "seg_hash"]).select("key", "seg_hash", "segment", "low", "n", "again")
-    parts = write_table(parts.mapInArrow(lambda x: _cut(kind, x), "key long, seg_hash long, shift long, segment binary, low long, n long"))
-    merged = parts.groupBy("key", "segment").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    rows = unique.join(crowds, "key", "left_anti").select("key", "segment", "low", "n").union(merged.select("key", "segment", "low", "n"))
-    size = unique.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    rows, cuts, made = _uncrowded(kind, unique, crowd)
+    size = rows.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     sharded = rows.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard")
     found = sharded.applyInArrow(lambda x: index(kind, x), "key long, segment binary, found array<long>")
-    found = write_table(found.select("key", F.xxhash64("segment").alias("part_hash"), "found"))
-    moved = parts.select("key", "seg_hash", "shift", F.xxhash64("segment").alias("part_hash")).join(found, ["key", "part_hash"])
-    moved = moved.select("key", "seg_hash", "shift", "found")
-    plain = found.join(crowds, "key", "left_anti").select("key", F.col("part_hash").alias("seg_hash"), F.lit(0).cast("long").alias("shift"), "found")
-    all_found = write_table(plain.union(moved))
-    out = segments.select("doc", "said_hash", "start", "key", "seg_hash").join(all_found, ["key", "seg_hash"])
-    return out.select("doc", "said_hash", (F.col("start") + F.col("shift")).alias("start"), "found")
-
+    found = write_table(found.select("key", F.xxhash64("segment").alias("seg_hash"), F.lit(0).cast("long").alias("shift"), "found"))
+    drop_table(*made)
+    for parts in reversed(cuts):
+        mine = found.select(F.col("key").alias("child_key"), F.col("seg_hash").alias("child_hash"), F.col("shift").alias("child_shift"), "found")
+        moved = parts.select("key", "seg_hash", "shift", "child_key", "child_hash").join(mine, ["child_key", "child_hash"])
+        before, found = found, write_table(found.union(moved.select("key", "seg_hash", F.col("shift") + F.col("child_shift"), "found")))
+        drop_table(before, parts)
+    out = segments.select("doc", "said_hash", "start", "key", "seg_hash").join(found, ["key", "seg_hash"])
+    return out.select("doc", "said_hash", (F.col("start") + F.col("shift")).alias("start"), "found"), [segments, found]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from chronopanel.llm import textblocks as tb
 from chronopanel.llm.repeats import repeat_groups
 from chronopanel.llm.rows import free_name, with_verdict
-from chronopanel.llm.scratch import write_table
+from chronopanel.llm.scratch import drop_table, write_table
 from chronopanel.llm.segments import Windows, find_repeats
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("rest", T.BinaryType())])
@@ -76,10 +76,12 @@ def repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text: str = "
     """(doc, said_hash, spans): of each text with any, its repeats as structs start, length, name. Null ids have a stand-in."""
     doc = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
     chosen = docs.select(doc.alias("doc"), F.col(text).alias("said"))
-    found = find_repeats(chosen, Windows(n, max(1, n // GRAM_SHARE), False), repeats_in_shard)
+    found, made = find_repeats(chosen, Windows(n, max(1, n // GRAM_SHARE), False), repeats_in_shard)
     spans = F.expr("transform(sequence(0, size(found) - 1, 3), i -> named_struct('start', start + found[i], 'length', found[i + 1], 'name', found[i + 2]))")
     found = found.select("doc", "said_hash", spans.alias("spans"))
-    return write_table(found.groupBy("doc", "said_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    found = write_table(found.groupBy("doc", "said_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    drop_table(*made)
+    return found
 
 
 def _apply(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -100,6 +102,7 @@ def _apply(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, name: str = "result") -> DataFrame:
     """docs with a struct column `name`: n_bytes, n_removed, n_spans (maximal removed runs), rest (the remaining bytes)."""
+    name = free_name(docs, name)
     found = repeats(docs, n, doc_id, text)
     keep = list(docs.columns if keep is None else keep)
     mine = [free_name(docs, x) for x in ("found_spans", "found_doc", "found_hash")]

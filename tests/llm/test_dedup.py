@@ -1,15 +1,21 @@
+import hashlib
 import random
+from functools import partial
 
 import pytest
 from tests.llm import brute
 
-from chronopanel.llm import near_dedup, substring_dedup, suffix_dedup
+from chronopanel.llm import near_dedup, segments, substring_dedup, suffix_dedup
+
+
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(bytes(data)).hexdigest()
 
 
 def _texts(seed: int = 0, groups: int = 12):
     """Groups of near and exact copies with edits of all sizes, documents that share passages, odd rows."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    word = lambda: "".join(rng.choice("abcdeé\0") for _ in range(rng.randint(1, 6)))
     texts = ["", " \n ", None, "one", "one", "one two three", "Ä ö", "One two three"]
     shared = [word() for _ in range(60)]
     for _ in range(groups):
@@ -54,41 +60,68 @@ def test_near_duplicates_of_odd_rows(spark):
 def test_repeated_words_match_brute_force(spark, rows):
     out = substring_dedup.without_repeats(_frame(spark, rows)).selectExpr("doc_id", "result.*").collect()
     expected = brute.repeated_words(rows)
-    import hashlib
-
-    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in out} == expected
+    assert {r.doc_id: (r.n_words, r.n_removed, _digest(r.text.encode())) for r in out} == expected
     assert sum(n for _, n, _ in expected.values()) > 1000
 
 
-def test_repeated_words_of_crowded_anchors(spark):
+def _crowd(rng, n, unit, low, high):
+    """Rows around one passage of which each has another part, some of them twice in other company."""
+    passage = [unit() for _ in range(high)]
+    parts = [passage[rng.randrange(3) : rng.randint(low, high)] for _ in range(n // 2)] * 2
+    return [[*(unit() for _ in range(15)), *part, *(unit() for _ in range(15))] for part in parts]
+
+
+def test_repeated_words_of_crowded_anchors(spark, monkeypatch):
     rng = random.Random(3)
-    passage = [f"p{i}" for i in range(16)]
-    rows = [(i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(15)), *passage[: rng.randint(8, 16)], *(f"w{rng.randrange(10**6)}" for _ in range(15))])) for i in range(300)]
-    docs = _frame(spark, rows).select("doc_id", "text")
-    from pyspark.sql import functions as F
-
-    from chronopanel.llm.segments import Windows, find_repeats
-
-    found = find_repeats(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("said")), Windows(13, 5, True), substring_dedup.first_documents, shard_bytes=2000, crowd=20)
-    starts = {}
-    for r in found.collect():
-        starts.setdefault(r.doc, set()).update(r.start + i for i, low in enumerate(r.found) if low < r.doc)
-    split = {d: t.split() for d, t in rows}
-    first = {}
-    for d, w in split.items():
-        for i in range(len(w) - 12):
-            first.setdefault(tuple(w[i : i + 13]), d)
-    expected = {d: {i for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d} for d, w in split.items()}
-    assert {d: s for d, s in starts.items() if s} == {d: s for d, s in expected.items() if s}
+    rows = [(i, " ".join(x)) for i, x in enumerate(_crowd(rng, 300, lambda: f"w{rng.randrange(10**6)}", 8, 18))]
+    for crowd in (20, 2):
+        monkeypatch.setattr(substring_dedup, "find_repeats", partial(segments.find_repeats, shard_bytes=2000, crowd=crowd))
+        out = substring_dedup.without_repeats(_frame(spark, rows)).selectExpr("doc_id", "result.*").collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, _digest(r.text.encode())) for r in out} == brute.repeated_words(rows)
 
 
-def test_repeated_bytes_match_brute_force(spark, rows):
-    import hashlib
+def test_repeated_bytes_of_crowded_anchors(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(x)) for i, x in enumerate(_crowd(rng, 60, lambda: chr(rng.randrange(0, 200)), 20, 60))]
+    for crowd in (10, 1):
+        monkeypatch.setattr(suffix_dedup, "find_repeats", partial(segments.find_repeats, shard_bytes=2000, crowd=crowd))
+        out = suffix_dedup.without_repeats(_frame(spark, rows), n=30).selectExpr("doc_id", "result.*").collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, _digest(r.rest)) for r in out} == brute.repeated_bytes(rows, 30)
+
+
+def test_no_shard_has_more_than_the_crowd_of_an_anchor(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(x)) for i, x in enumerate(_crowd(rng, 400, lambda: f"w{rng.randrange(10**6)}", 8, 18))]
+    seen = spark.sparkContext.accumulator(0)
 
+    def index(kind, shard):
+        from collections import Counter
+
+        if max(Counter(shard.column("key").to_pylist()).values()) > 5:
+            seen.add(1)
+        return substring_dedup.earlier_matches(kind, shard)
+
+    docs = _frame(spark, rows).selectExpr("doc_id AS doc", "text AS said")
+    found, made = segments.find_repeats(docs, segments.Windows(13, 5, True), index, shard_bytes=1000, crowd=5)
+    assert found.count() > 100 and len(made) == 2 and seen.value == 0
+
+
+def test_removed_bytes_may_be_zero_bytes(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(120):
+        base = rng.choice(texts) if texts and rng.random() < 0.5 else ""
+        texts.append(base[rng.randrange(len(base) // 2 + 1) :] + "".join(rng.choice(["\0" * rng.randint(1, 250), "ab", "\0x"]) for _ in range(rng.randint(1, 6))))
+    rows = list(enumerate(texts))
+    out = suffix_dedup.without_repeats(_frame(spark, rows)).selectExpr("doc_id", "result.*").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, _digest(r.rest)) for r in out} == brute.repeated_bytes(rows)
+
+
+def test_repeated_bytes_match_brute_force(spark, rows):
     doubled = [*rows, (-1, "xy" * 300), (-2, "é" * 150)]
     out = suffix_dedup.without_repeats(_frame(spark, doubled)).selectExpr("doc_id", "result.*").collect()
     expected = brute.repeated_bytes(doubled)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.rest)).hexdigest()) for r in out} == expected
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, _digest(r.rest)) for r in out} == expected
     assert sum(n for _, n, _, _ in expected.values()) > 1000
 
 

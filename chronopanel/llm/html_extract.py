@@ -1,30 +1,33 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors, in full to the parent, half to the next and less
-beyond; a container's points are discounted by the share of its text that is in links. The best container is kept,
-with those of its siblings that score near it or read like paragraphs of it. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are cut before, by element, role and the words of class
-and id; link lists within what is kept are cut after.
+beyond; a container's points are discounted by the share of its text that is in links. The best container is kept, or
+the article element that it lies in; where there is none, those of its siblings stay too that score near it or read like
+paragraphs of it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+cut before, by element, role and the words of class and id. Nothing in an article element is cut for its links; in other
+containers, lists of short links are.
 
 Blocks are what block elements bound. Within a block white space (and a line break element) is one space; blocks are
 trimmed, and joined in page order by one newline.
 
 Cases: null, empty or markup-only html gives an empty text; html without tags is one block; unclosed and crossed
-elements are closed where an ancestor ends; a null url passes through; repeated rows get equal results; an empty table
-gives no rows; other columns pass through.
+elements are closed where an ancestor ends, an end tag without its start is passed over; pages may be of any length and
+depth, in linear time; a null url passes through; repeated rows get equal results; an empty table gives no rows; other
+columns pass through, and where one has the name of the result, the result's name gets underscores.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chronopanel.llm.rows import with_verdict
+from chronopanel.llm.rows import free_name, with_verdict
 
 # Fixed values of HTML: element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,18 +39,30 @@ BLOCK = {
 }
 #: A start tag of the key closes open elements of the value, up to the stop elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
+CLOSED = set().union(*CLOSES.values())
 STOPS = {"ul", "ol", "dl", "table", "select", "menu", "dir"}
 
 # Elements, roles, and words of class or id that mark what isn't the main text.
-CUT = {"nav", "aside", "footer", "form", "button", "select", "svg", "canvas", "template", "dialog", "object", "embed", "math", "menu", "head", "input", "label", "fieldset", "audio", "video", "search"} | RAW
+CUT = {"nav", "aside", "footer", "form", "button", "select", "svg", "canvas", "template", "dialog", "object", "embed", "menu", "head", "input", "label", "fieldset", "audio", "video", "search"} | RAW
 CUT_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form", "status", "tablist"}
+#: Words that say so wherever they stand.
 CUT_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "promoted", "cookie", "cookies", "consent", "gdpr",
-    "notice", "notices", "notification", "alert", "disclaimer", "sidebar", "aside", "rail", "related", "recommended", "recommendations", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "respond",
-    "replies", "reply", "footer", "foot", "masthead", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "subscription", "signup", "login",
-    "popup", "modal", "overlay", "widget", "widgets", "toolbar", "toc", "skip", "hidden", "copyright", "legal", "discussion", "feedback", "paywall", "outbrain", "taboola", "print", "search", "topbar", "header",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsored", "promo", "promoted", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "sidebar", "related", "recommended", "recommendations", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation",
+    "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "paywall", "outbrain", "taboola", "widget", "widgets", "toolbar",
 }
+#: Words that may name a part of an article, and say so outside of one.
+CUT_WORDS_OUTSIDE = CUT_WORDS | {
+    "banner", "sponsor", "promotion", "notification", "alert", "disclaimer", "aside", "rail", "respond", "replies", "reply", "foot", "overlay", "toc", "skip", "hidden", "copyright", "legal", "discussion",
+    "feedback", "print", "search", "topbar", "header",
+}
+#: Names made of these alone mark the main text.
+MAIN_WORDS = {"article", "main", "content", "body", "post", "entry", "story", "text"}
+#: Elements of running text; what is inline in them isn't cut for its class.
+PROSE = {"p", "li", "td", "th", "pre", "code", "blockquote", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "span", "a", "em", "strong", "b", "i"}
 LEAST_PARAGRAPH = 25
+#: Mean characters of a link's text in a list of short links.
+SHORT_LINK = 25
 
 _TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -56,12 +71,21 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element; items are texts and elements in page order."""
+    """An element; items are texts and elements in page order.
+
+    block: the nearest block element, itself included. tops: of each tag that a start tag may close, the outermost open
+    element up to the nearest stop element, with its depth.
+    """
 
-    __slots__ = ("attributes", "items", "parent", "tag")
+    __slots__ = ("attributes", "block", "depth", "items", "parent", "tag", "tops")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]) -> None:
         self.tag, self.parent, self.attributes, self.items = tag, parent, attributes, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.tops: dict[str, tuple[int, Node]] = {} if parent is None or tag in STOPS else parent.tops
+        if tag in CLOSED and tag not in self.tops:
+            self.tops = {**self.tops, tag: (self.depth, self)}
 
     def elements(self) -> Iterator[Node]:
         return (x for x in self.items if isinstance(x, Node))
@@ -70,7 +94,15 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page; text is decoded, raw text elements and comments stay empty."""
     root = now = Node("#root", None, {})
+    n_open: Counter[str] = Counter()
     at, size = 0, len(page)
+
+    def close_to(parent: Node) -> None:
+        nonlocal now
+        while now is not parent:
+            n_open[now.tag] -= 1
+            now = now.parent
+
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
@@ -85,24 +117,17 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            x = now
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                now = x.parent
+            if n_open[tag]:
+                while now.tag != tag:
+                    close_to(now.parent)
+                close_to(now.parent)
             continue
-        if tag in BLOCK:
-            x = now
-            while x.parent and x.tag not in BLOCK:
-                x = x.parent
-            if x.tag == "p":
-                now = x.parent
+        if tag in BLOCK and now.block.tag == "p":
+            close_to(now.block.parent)
         if tag in CLOSES:
-            x, top = now, None
-            while x.parent and x.tag not in STOPS:
-                top = x if x.tag in CLOSES[tag] else top
-                x = x.parent
-            now = top.parent if top else now
+            tops = [now.tops[t] for t in CLOSES[tag] if t in now.tops]
+            if tops:
+                close_to(min(tops, key=lambda x: x[0])[1].parent)
         raw = m[3].strip()
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)} if raw.strip("/") else {}
         made = Node(tag, now, attributes)
@@ -112,12 +137,12 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not (raw.endswith("/") and tag in ("path", "circle", "rect", "use")):
             now = made
+            n_open[tag] += 1
     return root
 
 
-def _words(node: Node) -> set[str]:
-    said = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    return {w.lower() for w in _WORD.findall(said)} if said != " " else set()
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(name)}
 
 
 def _hides(node: Node) -> bool:
@@ -130,14 +155,17 @@ def is_boilerplate(node: Node, within_article: bool) -> bool:
         return True
     if node.tag == "header":
         return not within_article
+    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split()
     if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and bool(_words(node) & {"comment", "comments", "reply"})
+        return node.tag == "article" and any(_words(x) & {"comment", "comments", "reply"} for x in names)
     if not node.attributes:
         return False
     if _hides(node) or node.attributes.get("role", "").lower() in CUT_ROLES:
         return True
-    words = _words(node)
-    return bool(words & (CUT_WORDS - {"header"} if within_article else CUT_WORDS)) and not words & {"article", "main", "content", "body"}
+    if within_article and node.tag not in BLOCK and node.parent.tag in PROSE:
+        return False
+    words = [_words(x) for x in names]
+    return any(w & (CUT_WORDS if within_article else CUT_WORDS_OUTSIDE) for w in words) and not any(w and w <= MAIN_WORDS for w in words)
 
 
 def prune(root: Node) -> None:
@@ -146,7 +174,7 @@ def prune(root: Node) -> None:
     while todo:
         node, within = todo.pop()
         within = within or node.tag in ("article", "main")
-        if node.attributes or any(isinstance(x, Node) for x in node.items):
+        if any(isinstance(x, Node) for x in node.items):
             node.items = [x for x in node.items if not isinstance(x, Node) or not is_boilerplate(x, within)]
         todo += [(x, within) for x in node.elements()]
 
@@ -212,9 +240,19 @@ def main_nodes(root: Node) -> list[Node]:
     if best.tag in ("p", "pre", "blockquote", "td", "dd", "tr", "tbody", "li", "ul", "ol", "span", "b", "i", "em", "strong", "font") and best.parent:
         while best.parent and best.tag not in ("div", "section", "article", "main", "body", "#root", "center"):
             best = best.parent
-    while best.parent and best.parent.tag not in ("#root", "html") and chars[best.parent] == chars[best]:
+    while best not in articles and best.parent and best.parent.tag not in ("#root", "html") and chars[best.parent] == chars[best]:
         best = best.parent
-    if not best.parent or best.tag in ("body", "html", "article", "main") and not [x for x in articles if x is not best and x.parent is best.parent]:
+    if not best.parent or best.tag in ("body", "html"):
+        return [best]
+    inside = best
+    while inside and inside.tag != "article":
+        inside = inside.parent
+    if inside is None:
+        inside = best
+        while inside and inside.tag != "main" and inside.attributes.get("role") != "main":
+            inside = inside.parent
+    best = inside or best
+    if inside and not [x for x in articles if x is not best and x.parent is best.parent]:
         return [best]
     least = max(10.0, 0.2 * score.get(best, 0.0))
     kept = []
@@ -226,13 +264,23 @@ def main_nodes(root: Node) -> list[Node]:
     return kept
 
 
-def _is_link_list(node: Node, chars: dict[Node, int], links: dict[Node, int]) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl", "p") and links[node] > 0.6 * chars[node] and (node.tag != "p" or links[node] == chars[node] and chars[node] < 60) and sum(1 for x in _in_order(node) if x.tag == "a") >= (1 if node.tag == "p" else 2)
+def _link_lists(node: Node) -> set[Node]:
+    """Lists and groups below node that are short links for the most part; none in articles."""
+    nodes = _in_order(node)
+    chars, links, _ = measure(nodes)
+    n_links: dict[Node, int] = {}
+    for x in reversed(nodes):
+        n_links[x] = (x.tag == "a") + sum(n_links[y] for y in x.elements())
+    is_list = lambda x: x.tag in ("ul", "ol", "div", "section", "table", "dl") and n_links[x] > 1 and links[x] > 0.6 * chars[x] and links[x] <= SHORT_LINK * n_links[x]
+    return {x for x in nodes if x is not node and is_list(x)}
 
 
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below node."""
-    chars, links, _ = measure(_in_order(node))
+    inside = node
+    while inside and inside.tag not in ("article", "main") and inside.attributes.get("role") != "main":
+        inside = inside.parent
+    left_out = set() if inside else _link_lists(node)
     out: list[str] = []
     run: list[str] = []
 
@@ -251,7 +299,7 @@ def blocks(node: Node) -> list[str]:
             close()
         elif x.tag == "br":
             run.append(" ")
-        elif x is node or not _is_link_list(x, chars, links):
+        elif x not in left_out:
             if x.tag in BLOCK or x is node:
                 close()
                 todo.append((x, True))
@@ -269,5 +317,7 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, column: str = "html", keep: Sequence[str] | None = None, name: str = "text") -> DataFrame:
-    """pages with a column `name`, the main text of each page; name must be free among the kept columns."""
+    """pages with a column `name`, the main text of each page."""
+    keep = list(pages.columns if keep is None else keep)
+    name = free_name(pages.select(*(f"`{c}`" for c in keep)), name)
     return with_verdict(pages, lambda x: pa.array([main_text(p) for p in x.to_pylist()], pa.string()), [column], T.StringType(), name, keep=keep, rows=200)

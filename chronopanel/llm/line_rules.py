@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space as one space) and hashed. For each host the distinct
-documents of each line are counted, copies of one text once unless the column of document ids is given; lines above the limit are removed, and a document of
+documents of each line are counted, by document id; lines above the limit are removed, and a document of
 which too few words are left is rejected. Rules on the text alone (too few words, too many words in repeated 3-word
 windows) come with it, and their counts.
 
@@ -9,7 +9,7 @@ Counts are summed before they are shuffled. Lines above the limit are at most li
 to all executors only up to `MOST_SENT` of them; beyond that the join deals each line's rows by a salt as well.
 
 Cases: null, empty or blank text has no words and fails; a null host is one host; repeated rows are judged alike, each
-by itself, and count once; a null doc_id is carried; lines without words count nowhere; an empty table gives no rows;
+by itself, and rows of one doc_id count once; a row with a null doc_id is a document of its own; lines without words count nowhere; an empty table gives no rows;
 other columns pass through in remove_frequent_lines().
 """
 
@@ -107,23 +107,23 @@ def _host(column: Column) -> Column:
 
 
 def frequent_lines(table: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
-    """(host, line, n_documents) of lines above the limit, from a table of host, text_hash, lines."""
-    once = table.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line", "text_hash").agg(F.count("*").alias("rows"))
+    """(host, line, n_documents) of lines above the limit, from a table of host, document, lines."""
+    once = table.select("host", "document", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line", "document").agg(F.count("*").alias("rows"))
     return once.groupBy("host", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > most)
 
 
-def with_line_counts(docs: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] | None = None, most: int = MOST_DOCUMENTS, name: str = "rules", document: str | None = None) -> DataFrame:
-    """docs with a struct column `name`: the counts of COUNTS, n_frequent_words, frequent (places of frequent lines among the lines with words).
-
-    document: the column whose distinct values are counted as documents; without it each distinct text is one.
-    """
+def with_line_counts(docs: DataFrame, host: str = "source", text: str = "text", keep: Sequence[str] | None = None, most: int = MOST_DOCUMENTS, name: str = "rules", doc_id: str = "doc_id") -> DataFrame:
+    """docs with a struct column `name` (with underscores after it where docs has one): the counts of COUNTS, n_frequent_words, frequent (places of frequent lines among the lines with words)."""
     keep = list(docs.columns if keep is None else keep)
-    mine = {w: free_name(docs, w) for w in ("row", "host", "text_hash", "numbers")}
-    said = F.xxhash64(docs[text]) if document is None else F.when(docs[document].isNotNull(), F.xxhash64(docs[document]))
-    wide = docs.select(*(docs[f"`{c}`"] for c in dict.fromkeys([*keep, text])), _host(docs[host]).alias(mine["host"]), said.alias(mine["text_hash"]))
-    table = with_verdict(wide, _numbers, [text], NUMBERS, mine["numbers"], keep=[*keep, mine["host"], mine["text_hash"]])
+    name = free_name(docs, name)
+    mine = {w: free_name(docs, w) for w in ("row", "host", "document", "numbers")}
+    document = F.when(docs[f"`{doc_id}`"].isNotNull(), F.xxhash64(docs[f"`{doc_id}`"]))
+    wide = docs.select(*(docs[f"`{c}`"] for c in dict.fromkeys([*keep, text])), _host(docs[host]).alias(mine["host"]), document.alias(mine["document"]))
+    table = with_verdict(wide, _numbers, [text], NUMBERS, mine["numbers"], keep=[*keep, mine["host"], mine["document"]])
     table = write_table(table.withColumn(mine["row"], F.monotonically_increasing_id()))
-    lean = table.select(F.col(mine["row"]).alias("row"), F.col(mine["host"]).alias("host"), F.coalesce(mine["text_hash"], F.xxhash64(F.lit("row"), mine["row"])).alias("text_hash"), F.col(mine["numbers"])["lines"].alias("lines"), F.col(mine["numbers"])["line_words"].alias("line_words"))
+    numbers = F.col(mine["numbers"])
+    of_row = F.coalesce(mine["document"], F.xxhash64(F.lit("row"), mine["row"]))
+    lean = table.select(F.col(mine["row"]).alias("row"), F.col(mine["host"]).alias("host"), of_row.alias("document"), numbers["lines"].alias("lines"), numbers["line_words"].alias("line_words"))
     frequent = write_table(frequent_lines(lean, most).select("host", "line"))
     spots = lean.select("row", "host", F.posexplode(F.arrays_zip("lines", "line_words")).alias("place", "x")).select("row", "host", "place", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     if frequent.count() <= MOST_SENT:
@@ -134,7 +134,7 @@ def with_line_counts(docs: DataFrame, host: str = "source", text: str = "text",
     gone = found.groupBy("row").agg(F.sum("words").alias("n_frequent_words"), F.sort_array(F.collect_list("place")).alias("frequent"))
     gone = gone.select(F.col("row").alias(free_name(table, "of_row")), "n_frequent_words", "frequent")
     joined = table.join(gone, table[mine["row"]] == gone[gone.columns[0]], "left")
-    made = F.struct(*(F.col(mine["numbers"])[c].alias(c) for c in COUNTS), F.coalesce(gone["n_frequent_words"], F.lit(0)).alias("n_frequent_words"), gone["frequent"].alias("frequent"))
+    made = F.struct(*(numbers[c].alias(c) for c in COUNTS), F.coalesce(gone["n_frequent_words"], F.lit(0)).alias("n_frequent_words"), gone["frequent"].alias("frequent"))
     return joined.select(*(table[f"`{c}`"] for c in keep), made.alias(name))
 
 
@@ -162,10 +162,10 @@ def _without_lines(texts: pa.Array, places: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", most: int = MOST_DOCUMENTS, document: str | None = None) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", most: int = MOST_DOCUMENTS, doc_id: str = "doc_id") -> DataFrame:
     """docs that pass, each text without the lines above the limit."""
     name = free_name(docs, "rules")
-    found = with_line_counts(docs, host, text, most=most, name=name, document=document)
+    found = with_line_counts(docs, host, text, most=most, name=name, doc_id=doc_id)
     found = found.where(~base_failed(F.col(name)) & ~is_depleted(F.col(name)))
     places, fresh = free_name(found, "places"), free_name(found, "cleaned")
     out = with_verdict(found.withColumn(places, F.col(name)["frequent"]), _without_lines, [text, places], T.StringType(), fresh)

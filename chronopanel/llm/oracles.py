@@ -42,12 +42,12 @@ windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (S
 often AS (SELECT r, i FROM windows SEMI JOIN (SELECT r, k FROM windows GROUP BY ALL HAVING count(*) > 1) AS twice USING (r, k)),
 repeated AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM often) GROUP BY r),
 lines AS (
-  SELECT r, coalesce('h' || source, '') AS host, md5(text) AS whole, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT r, coalesce('h' || source, '') AS host, document, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
-  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  FROM (SELECT r, source, coalesce(doc_id::VARCHAR, '#' || r) AS document, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 again AS (SELECT r, (count(*) - count(DISTINCT line)) AS n FROM lines GROUP BY r),
-frequent AS (SELECT host, k FROM lines GROUP BY ALL HAVING count(DISTINCT whole) > 50),
+frequent AS (SELECT host, k FROM lines GROUP BY ALL HAVING count(DISTINCT document) > 50),
 gone AS (SELECT r, sum(n) AS n FROM lines SEMI JOIN frequent USING (host, k) GROUP BY r),
 counts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
@@ -95,6 +95,4 @@ SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n
 FROM texts LEFT JOIN lists USING (r)
 """
 
-OP10_ALL_COPIES = OP10.replace("md5(text) AS whole", "document AS whole").replace("SELECT r, source, text, unnest", "SELECT r, source, text, coalesce(doc_id::VARCHAR, '#' || r) AS document, unnest")
-
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10, "op10_line_rules_all_copies": OP10_ALL_COPIES}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10}

@@ -88,17 +88,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_rules(spark, sf_dir, None)
-
-
-def op10_line_rules_all_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where each copy of a text is a document."""
-    return _line_rules(spark, sf_dir, "doc_id")
-
-
-def _line_rules(spark: SparkSession, sf_dir: str, document: str | None) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = line_rules.with_line_counts(docs, keep=["doc_id"], document=document)
+    found = line_rules.with_line_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     rules = F.col("rules")
     failed = line_rules.base_failed(rules)
     kept = ~failed & ~line_rules.is_depleted(rules)
@@ -116,5 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_line_rules": op10_line_rules,
-    "op10_line_rules_all_copies": op10_line_rules_all_copies,
 }

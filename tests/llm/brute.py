@@ -106,7 +106,7 @@ def line_rules(rows, most: int):
     for _, host, text in rows:
         for line in (text or "").split("\n"):
             if words(line):
-                seen.setdefault((host, plain(line)), set()).add(text)
+                seen.setdefault((host, plain(line)), set()).add(d)
     out = {}
     for d, host, text in rows:
         w = words(text)

@@ -1,18 +1,20 @@
 """Document likelihood by a subword lattice.
 
-A word is spelled by pieces of an existing vocabulary behind a word mark; its probability is the sum over all
-segmentations, by forward recursion in log space. The vocabulary's scores are the first weights; expected counts over
-the training words (a few rounds of forward-backward, words counted over the whole corpus) fit them to the text. Each
-training word has one more arc from end to end, with its count less a discount; the lattice has what the discounts
-leave. So a text's probability is a product over its words and one end, and sums to at most one over all texts.
+A text is its words (A-Z lower-cased, each behind a word mark) and one end. Pieces of an existing vocabulary and the end
+are drawn one after another; the probability of a text is the sum over all segmentations into pieces, by forward
+recursion in log space. No piece crosses a word mark, so the sum is a product over the words and the end.
+
+Weights: the vocabulary's own scores stand for `strength` pieces, seen before any text; to these are added the expected
+counts over all training words (some rounds of forward-backward, each distinct word once with its count in the whole
+corpus). So weights sum to one over pieces and end, and probabilities to at most one over all texts.
 
 Texts are held once in encoded blocks (word numbers and the block's own word list), so that counts and probabilities
 go by block and word, not by document and word. All words of all training documents count; the result of a fit is as
 large as the vocabulary file, whatever the corpus.
 
-Cases: null or empty text is the end alone; without training documents the lattice stands alone, and words and end
-have even odds; a null doc_id is training text; repeated rows count as often as they stand; an empty table gives no
-rows; other columns are not read.
+Cases: null or empty text is the end alone; without training documents the vocabulary's scores stand alone; a null
+doc_id is training text; repeated rows count as often as they stand; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from chronopanel.llm.scratch import drop_table, write_table
 #: Bytes of text in one encoded block; the arrays made of it take some thirty times as much.
 BLOCK_BYTES = 9 << 20
 ROUNDS = 3
-#: Added to each piece's expected count.
-PIECE_PRIOR = 0.1
+#: Pieces of text for which the vocabulary's own scores stand; the end stands for one.
+STRENGTH = 10_000.0
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +74,12 @@ def _decoded(words: pa.Array) -> list[str]:
     return [w.decode("utf-8", "replace") for w in words.to_pylist()]
 
 
-def fit_pieces(words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of the pieces, fitted to words (word, c). Each round brings one number for each piece to the driver."""
-    p, n = vocabulary.weights, len(vocabulary.pieces)
+def fit_pieces(words: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int = ROUNDS, strength: float = STRENGTH) -> tuple[np.ndarray, float]:
+    """Probabilities of the pieces and of the end, fitted to words (word, c). Each round brings one number for each piece to the driver."""
+    n, prior = len(vocabulary.pieces), strength * vocabulary.weights
+    pieces, end = prior / (strength + 1), 1 / (strength + 1)
     for _ in range(rounds):
-        sent = words.sparkSession.sparkContext.broadcast((vocabulary, np.log(p)))
+        sent = words.sparkSession.sparkContext.broadcast((vocabulary, np.log(pieces)))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*sent.value), np.zeros(n)
@@ -86,15 +89,16 @@ def fit_pieces(words: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
 
         found = words.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        counts = np.full(n, PIECE_PRIOR)
+        counts = prior.copy()
         for r in found:
             counts[r.piece] += r.n
-        p = counts / counts.sum()
+        whole = counts.sum() + ends + 1
+        pieces, end = counts / whole, (ends + 1) / whole
         sent.unpersist()
-    return p
+    return pieces, end
 
 
-def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = ROUNDS, strength: float = STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column; other rows train.
 
     vocabulary: path of a sentencepiece file, read on the driver. Scores are base-10 logarithms.
@@ -105,33 +109,23 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = RO
     words = write_table(lists.groupBy("word").agg(F.sum("n_train").alias("c")))
     known = words.where("c > 0")
     ends = texts.where("NOT held_out").count()
-    s = known.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
+    s = known.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, types = s.n + ends, s.types + (ends > 0)
-    discount = min(0.9, max(0.1, s.once / max(1, s.once + 2 * s.twice)))
-    pieces = read_vocabulary(vocabulary)
-    p = fit_pieces(known, pieces, rounds)
-    begins = pieces.starts_word
-    # a word begins with one of the pieces with the mark, and ends where another could begin
-    more = float(p[~begins].sum())
-    stop = np.log1p(-more) - np.log(p[begins].sum())
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, np.log(p)))
+    vocabulary = read_vocabulary(vocabulary)
+    pieces, end = fit_pieces(known, ends, vocabulary, rounds, strength)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, np.log(pieces)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
         for batch in batches:
-            c = np.asarray(batch.column(1)).astype(float)
-            log_p = lattice.log_marginals(_decoded(batch.column(0))) + stop + np.log(discount * s.types / n if s.types else 0.5)
-            if n:
-                with np.errstate(divide="ignore"):
-                    log_p = np.logaddexp(log_p, np.log(np.maximum(c - discount, 0) / n))
-            log_p /= np.log(10)
+            log_p = lattice.log_marginals(_decoded(batch.column(0))) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_p)], names=["word", "c", "log_p"])
 
     weighed = write_table(words.mapInArrow(weigh, "word binary, c long, log_p double"))
     drop_table(words)
     found = lists.select("block", "code", "word").join(weighed, "word").select(F.col("block").alias("of_block"), "code", "c", "log_p")
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (types + 1)))
-    end = np.log10(ends / n) if ends else np.log10(0.5)
+    log_end = float(np.log10(end))
 
     def sum_up(texts: pa.Table, words: pa.Table) -> pa.Table:
         code = np.asarray(words.column("code"))
@@ -144,7 +138,7 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = RO
             rows["n_tokens"].append(len(mine) + 1)
             rows["n_known"].append(int((c[mine] > 0).sum()) + (ends > 0))
             rows["base_score"].append(float(base[mine].sum() + base_of(ends)))
-            rows["score"].append(float(log_p[mine].sum() + end))
+            rows["score"].append(float(log_p[mine].sum() + log_end))
         made = [pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["n_known"], pa.int64()), pa.array([n] * len(texts), pa.int64()), pa.array(rows["base_score"], pa.float64()), pa.array(rows["score"], pa.float64())]
         return pa.table([texts.column("doc"), texts.column("held_out"), *made], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -2,19 +2,22 @@
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and bytes beyond ASCII. A window is `n` consecutive words
 of an item; an item of fewer words, but not none, is one window. The set goes to executors in blocks of bounded size:
-the benchmark is measured first, and where it is larger than one block, each block is one more pass over the same
-rows, without a shuffle. A hash only proposes a hit; the words themselves confirm it.
+the benchmark is measured first, and where it is larger than one block, the rows are written with a number each, every
+block is a job of its own that writes the hits of the rows that have any, and the hits of a row are put together at the
+end. So an executor holds one block at a time, however large the benchmark. A hash only proposes a hit; the words
+themselves confirm it.
 
 Cases: null or empty text has no words and no hits; an item without words occurs nowhere; repeated rows are judged
 alike, each by itself; a null item_id counts hits but is named nowhere; empty tables give no rows or no hits; columns
-beside the text pass through, whatever their names.
+beside the text pass through, whatever their names; where one has the name of the result, the result's name gets
+underscores.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 
 from chronopanel.llm import textblocks as tb
 from chronopanel.llm.rows import free_name, with_verdict
+from chronopanel.llm.scratch import write_table
 
 #: UTF-8 bytes of benchmark texts in one broadcast block.
 SET_BYTES = 16 << 20
@@ -94,37 +98,53 @@ def _scan(found: NgramSet, texts: pa.Array) -> tuple[list[int], list[np.ndarray]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Sequence[str] | None = None, name: str = "found") -> DataFrame:
-    """docs with a struct column `name`: n_words, n_hit, hits (a bit for each word, big-endian in each byte), items (sorted as strings).
-
-    `name` must be free among the columns that are kept.
-    """
+    """docs with a struct column `name`: n_words, n_hit, hits (a bit for each word, big-endian in each byte), items (sorted as strings)."""
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     parts = max(1, -(-size // SET_BYTES))
     chosen = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("said"))
     keep = list(docs.columns if keep is None else keep)
-    out, before = docs, None
-    for k in range(parts):
+    name = free_name(docs.select(*(f"`{c}`" for c in keep)), name)
+
+    def sent(k: int):
         block = [tuple(r) for r in chosen.where(F.pmod(F.xxhash64("said"), F.lit(parts)) == k).collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
-        last = k == parts - 1
-        column = name if last else free_name(out, f"{name}{k}")
-        out = with_verdict(out, partial(_verdicts, sent, before is not None), [text] if before is None else [text, before], FOUND, column, keep=keep if last else [c for c in dict.fromkeys([*keep, text]) if c != before])
-        before = column
-    return out
-
-
-def _verdicts(sent, chained: bool, texts: pa.Array, earlier: pa.Array | None = None) -> pa.Array:
-    n_words, hits, items = _scan(sent.value, texts)
-    if chained:
-        for i, was in enumerate(earlier.to_pylist()):
-            hits[i] = hits[i] | np.unpackbits(np.frombuffer(was["hits"], np.uint8), count=n_words[i]).astype(bool)
-            items[i] = items[i] | set(was["items"])
+        return docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
+
+    if parts == 1:
+        return with_verdict(docs, partial(_verdicts, sent(0)), [text], FOUND, name, keep=keep)
+    row, of_row, gathered = (free_name(docs, x) for x in ("row", "of_row", "gathered"))
+    table = write_table(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).withColumn(row, F.monotonically_increasing_id()))
+    found = []
+    for k in range(parts):
+        block = sent(k)
+        hits = with_verdict(table.select(row, text), partial(_verdicts, block), [text], FOUND, "found_", keep=[row])
+        found.append(write_table(hits.where("found_.n_hit > 0")))
+        block.destroy()
+    hits = reduce(DataFrame.union, found).groupBy(F.col(row).alias(of_row)).agg(F.collect_list("found_").alias(gathered))
+    joined = table.join(hits, F.col(row) == F.col(of_row), "left")
+    return with_verdict(joined, _put_together, [text, gathered], FOUND, name, keep=keep)
+
+
+def _struct(n_words: Sequence[int], hits: Sequence[np.ndarray], items: Sequence[set[str]]) -> pa.Array:
     return pa.StructArray.from_arrays(
         [pa.array(n_words, pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()), pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
         names=["n_words", "n_hit", "hits", "items"],
     )
 
 
+def _verdicts(sent, texts: pa.Array) -> pa.Array:
+    return _struct(*_scan(sent.value, texts))
+
+
+def _put_together(texts: pa.Array, gathered: pa.Array) -> pa.Array:
+    """What each text has in any of the blocks; gathered: its hits in those where it has some."""
+    n_words, hits, items = _scan(NgramSet([], 1), texts)
+    for i, blocks in enumerate(gathered.to_pylist()):
+        for found in blocks or []:
+            hits[i] = hits[i] | np.unpackbits(np.frombuffer(found["hits"], np.uint8), count=n_words[i]).astype(bool)
+            items[i] |= set(found["items"])
+    return _struct(n_words, hits, items)
+
+
 def n_hit(found: str = "found"):
     """Hit words, as a column."""
     return F.col(f"{found}.n_hit")

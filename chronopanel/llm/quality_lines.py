@@ -6,11 +6,13 @@ the scale of the labels by a logistic curve.
 
 Labels are of documents only. At first every line has its document's label; then, twice, lines of bad documents that
 the field takes for good become good, unless none would be left bad. At most `most` labelled documents train the
-field, those whose ids have the least hashes; their lines' numbers, not their texts, come to the driver.
+field, those whose ids have the least hashes, and of these, in that order, as many as have `most_lines` lines together;
+their lines' numbers, not their texts, come to the driver.
 
 Cases: null, empty or blank text has no lines and scores as the mean of training labels; without labels of both kinds every
 document scores that mean, and 0.5 without any; repeated rows get equal scores; a null doc_id is scored and never
-trains; of several labels for one doc_id the least counts; an empty table gives no rows; other columns pass through.
+trains; of several labels for one doc_id the least counts; an empty table gives no rows; other columns pass through,
+and where one has the name of the result, the result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +31,12 @@ from chronopanel.llm import chain_field
 from chronopanel.llm.chain_field import ChainField
 from chronopanel.llm.line_features import NAMES, lines_of
 from chronopanel.llm.rows import free_name, with_verdict
+from chronopanel.llm.scratch import drop_table, write_table
 
 #: Labelled documents that train the field, at most.
 MOST_TRAINED = 2000
+#: Lines that these have together, at most: each is some 90 bytes on the driver.
+MOST_LINES = 400_000
 #: Score from which a document is kept.
 LEAST_SCORE = 0.3
 NUMBERS = T.StructType([T.StructField("lines", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
@@ -113,13 +118,17 @@ def _numbers(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(lines, pa.binary()), pa.array(sizes, pa.binary())], names=["lines", "sizes"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Fit on the documents that labels (doc_id, label) name, at most `most`."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, most_lines: int = MOST_LINES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+    """Fit on the documents that labels (doc_id, label) name, at most `most`, and `most_lines` lines."""
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("of_doc")).agg((F.min(label) > 0).cast("int").alias("y"))
     chosen = F.broadcast(marked.orderBy(F.xxhash64("of_doc"), "of_doc").limit(most))  # `most` rows of two numbers
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("said")).join(chosen, F.col("doc") == F.col("of_doc"))
     found = with_verdict(texts, _numbers, ["said"], NUMBERS, "k", keep=["doc", "y"]).groupBy("doc").agg(F.min("y").alias("y"), F.min("k").alias("k"))
-    rows = sorted(found.select("doc", "y", "k.*").collect())
+    found = write_table(found.select("doc", "y", "k.*", (F.octet_length("k.sizes") / 8).alias("n_lines")))
+    until = Window.orderBy(F.xxhash64("doc"), "doc").rowsBetween(Window.unboundedPreceding, 0)  # over `most` rows
+    fit = found.select("doc", F.sum("n_lines").over(until).alias("so_far")).where(F.col("so_far") <= most_lines).select("doc")
+    rows = sorted(found.join(F.broadcast(fit), "doc", "left_semi").select("doc", "y", "lines", "sizes").collect())
+    drop_table(found)
     return fit_model([(np.frombuffer(r.lines, np.float32).reshape(-1, len(NAMES)), np.frombuffer(r.sizes, float), r.y) for r in rows])
 
 
@@ -130,6 +139,8 @@ def _scores(sent, texts: pa.Array) -> pa.Array:
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] | None = None, name: str = "score") -> DataFrame:
     """docs with a double column `name`: the higher, the likelier label 1."""
+    keep = list(docs.columns if keep is None else keep)
+    name = free_name(docs.select(*(f"`{c}`" for c in keep)), name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return with_verdict(docs, partial(_scores, sent), [text], T.DoubleType(), name, keep=keep)
 

@@ -2,8 +2,8 @@
 
 A document's tokens are cut into full windows and a rest. The rest goes to the fill level that makes the sum of
 squared counts of partially filled windows least; a level array has the count of each fill. Each partition packs by
-itself in one pass. At most `most_open` windows stay open: beyond that, the next rest first fills the gap of the
-fullest open window and is cut there. When the partition ends, the emptiest windows are poured into the gaps of the
+itself in one pass. At most `most_open` windows stay open, for bounded memory (4 bytes a token): once there are as many,
+only fills of open windows are chosen from, and a rest that fits into none first fills the fullest and is cut there. When the partition ends, the emptiest windows are poured into the gaps of the
 fullest, and what is left in the last window is cut into sequences of power-of-two lengths, which need no padding.
 
 Cases: null or empty text is the end token alone; repeated rows are packed each by itself; a null id is carried as
@@ -119,21 +119,26 @@ class SumOfSquaresPacker:
         while total - at >= self.size:
             yield [(doc, at, ids[at : at + self.size], total)]
             at += self.size
-        if at < total and self.n_open >= self.most_open:
-            fill = int(np.flatnonzero(self.levels)[-1])
-            take = min(self.size - fill, total - at)
-            yield from self._put(fill, (doc, at, ids[at : at + take], total))
-            at += take
         if at < total:
-            yield from self._put(self._level(total - at), (doc, at, ids[at:], total))
-
-    def _level(self, length: int) -> int:
-        """The fill, 0 for a new window, from which a piece of this length makes the sum of squares least."""
+            fill = self._level(total - at)
+            if fill is None:
+                fill = int(np.flatnonzero(self.levels)[-1])
+                yield from self._put(fill, (doc, at, ids[at : at + self.size - fill], total))
+                at += self.size - fill
+                fill = self._level(total - at)
+            yield from self._put(fill, (doc, at, ids[at:], total))
+
+    def _level(self, length: int) -> int | None:
+        """The fill, 0 for a new window, from which a piece of this length makes the sum of squares least; None if it fits nowhere and no window may be opened."""
         after = 2 * self.levels[length : self.size + 1] + 1
         after[-1] = 0
         before = 1 - 2 * self.levels[: self.size + 1 - length]
         before[0] = 0
-        change = np.where((self.levels[: self.size + 1 - length] > 0) | (np.arange(len(before)) == 0), after + before, np.iinfo(np.int64).max)
+        may = self.levels[: self.size + 1 - length] > 0
+        may[0] = self.n_open < self.most_open
+        if not may.any():
+            return None
+        change = np.where(may, after + before, np.iinfo(np.int64).max)
         return len(change) - 1 - int(np.argmin(change[::-1]))
 
     def _put(self, fill: int, piece: Piece) -> Iterator[list[Piece]]:

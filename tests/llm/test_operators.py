@@ -249,9 +249,9 @@ def test_each_copy_of_a_text_is_a_document_by_its_id(spark):
     text = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz")
     rows = [(k, "a", text) for k in range(9)] + [(100 + k, "b", text) for k in range(8)] + [(None, "c", text)] * 9 + [(200, "d", text)] * 9
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
-    out = line_rules.with_line_counts(docs, keep=["source"], most=8, document="doc_id").collect()
+    out = line_rules.with_line_counts(docs, keep=["source"], most=8).collect()
     assert {(r.source, r.rules["n_frequent_words"]) for r in out} == {("a", 64), ("b", 0), ("c", 64), ("d", 0)} and len(out) == len(rows)
-    assert {r.source for r in line_rules.remove_frequent_lines(docs, most=8, document="doc_id").collect()} == {"b", "d"}
+    assert {r.source for r in line_rules.remove_frequent_lines(docs, most=8).collect()} == {"b", "d"}
 
 
 # ---- lattice

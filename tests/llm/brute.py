@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from html.parser import HTMLParser
 
 
 def lower(text: str | None) -> str:
@@ -103,7 +105,7 @@ def line_rules(rows, most: int):
     """doc_id -> (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, frequent words). rows: id, host, text."""
     plain = lambda line: " ".join(words(re.sub("[1-9]", "0", lower(line))))
     seen: dict[tuple, set] = {}
-    for _, host, text in rows:
+    for d, host, text in rows:
         for line in (text or "").split("\n"):
             if words(line):
                 seen.setdefault((host, plain(line)), set()).add(d)
@@ -116,3 +118,67 @@ def line_rules(rows, most: int):
         frequent = sum(len(words(x)) for x in lines if len(seen[(host, plain(x))]) > most)
         out[d] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), frequent)
     return out
+
+
+class _Reader(HTMLParser):
+    """Blocks of text outside of what marks boilerplate, by open elements alone."""
+
+    BLOCKS = {"p", "div", "section", "article", "main", "body", "h1", "h2", "h3", "li", "ul", "ol", "td", "tr", "table", "blockquote", "pre", "header", "figure", "figcaption"}
+    OUT = {"nav", "footer", "aside", "form", "script", "style", "head", "button", "noscript"}
+    WORDS = {"ad", "ads", "sidebar", "related", "share", "comments", "cookie", "newsletter", "menu", "notice", "promo"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out, self.run = [], [], []
+
+    def close_block(self):
+        text = " ".join("".join(self.run).split())
+        self.run = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.close_block()
+        if tag == "br":
+            self.run.append(" ")
+        elif tag not in ("img", "meta", "link", "hr", "input"):
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            page_header = tag == "header" and not any(t == "article" for t, _ in self.open)
+            self.open.append((tag, tag in self.OUT or page_header or bool(set(re.split(r"[\s_-]+", names)) & self.WORDS)))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.close_block()
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(cut for _, cut in self.open):
+            self.run.append(data)
+
+
+def main_text(page: str) -> str:
+    reader = _Reader()
+    reader.feed(page)
+    reader.close()
+    reader.close_block()
+    return "\n".join(reader.out)
+
+
+def segmentations(word: str, weights: dict[str, float], of_byte: dict[int, float]) -> list[tuple[list[str], float]]:
+    """All ways to spell a word by pieces, with their weights; a character without a piece is spelled by its bytes."""
+    if not word:
+        return [([], 1.0)]
+    out = []
+    for n in range(1, len(word) + 1):
+        piece = word[:n]
+        w = weights.get(piece)
+        if w is None and n == 1:
+            w = math.prod(of_byte[b] for b in piece.encode())
+        if w is not None:
+            out += [([piece, *rest], w * v) for rest, v in segmentations(word[n:], weights, of_byte)]
+    return out

@@ -80,6 +80,20 @@ def test_sum_of_squares_takes_the_level_that_is_best():
         list(packer.add(0, np.zeros(length, np.uint32)))
 
 
+def test_as_many_windows_as_may_be_open_by_default():
+    packer = packing.SumOfSquaresPacker(4096, 1024)
+    rng = random.Random(13)
+    sizes = [rng.randint(2100, 4000) for _ in range(3000)]
+    out = [w for i, n in enumerate(sizes) for w in packer.add(i, np.full(n, i, np.uint32))]
+    assert packer.n_open == 1024
+    out += list(packer.finish())
+    assert sum(len(p[2]) for w in out for p in w) == sum(sizes)
+    assert all(sum(len(p[2]) for p in w) == 4096 for w in out[:-13])
+    packer.levels[:], packer.n_open = 0, 1024
+    packer.levels[3000] = 1024
+    assert packer._level(1000) == 3000 and packer._level(1200) is None
+
+
 # ---- chats
 
 
@@ -88,6 +102,10 @@ def test_chats_read_back_whatever_the_texts_hold(spark):
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     chats = chat_format.format_chats(messages.withColumn("parts", chat_format.text_parts(messages.text)))
     out = chats.withColumn("turns", chat_format.read_turns(chats.formatted)).withColumn("learned", chat_format.read_loss(chats.formatted, chats.loss_spans)).collect()
+    odd = [(None, 0, "user", "a"), (None, 0, "user", "a"), (3, 5, "user", "b"), (3, 5, "assistant", "b"), (3, 5, "user", "b")]
+    found = chat_format.format_chats(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumn("parts", chat_format.text_parts(chat_format.F.col("text"))))
+    found = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in found.select("conv_id", chat_format.read_turns(found.formatted).alias("turns")).collect()}
+    assert found == {None: [("user", "a")] * 2, 3: [("assistant", "b"), ("user", "b"), ("user", "b")]}
     for r in out:
         mine = [(role or "", text or "") for c, _, role, text, _ in rows if c == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == mine
@@ -131,6 +149,11 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "SET_BYTES", block)
         out = decontaminate.find_contamination(docs, bench, keep=["doc_id"]).collect()
         assert {r.doc_id: (r.found.n_words, r.found.n_hit, list(r.found.items), r.found.n_hit > 0 and 20 * r.found.n_hit >= r.found.n_words) for r in out} == expected
+    size = sum(len((t or "").encode()) for _, t in items)
+    monkeypatch.setattr(decontaminate, "SET_BYTES", -(-size // 8))
+    eight = decontaminate.find_contamination(docs, bench)  # each block was a job of its own: the plan has the last step alone
+    assert eight.columns == ["doc_id", "text", "found", "found_"] and eight._jdf.queryExecution().toString().count("MapInArrow") <= 4
+    assert {r.doc_id: r.found_.n_hit for r in eight.collect()} == {d: x[1] for d, x in expected.items()}
     kept = decontaminate.remove_documents(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, x in expected.items() if not x[3]}
     spans = decontaminate.remove_spans(docs, bench)
@@ -160,6 +183,64 @@ def test_odd_pages(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def _page(rng):
+    """A page and the blocks of its article."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n)) + rng.choice([".", ", " + word() + "."])
+    blocks, body = [], []
+    for _ in range(rng.randint(3, 12)):
+        kind, text = rng.choice(["p", "p", "p", "h2", "li", "link", "section", "legal", "pre"]), said(rng.randint(4, 50))
+        blocks.append(text)
+        body.append({"li": f"<ul><li>{text}</li></ul>", "link": f'<p><a href="x">{text}</a></p>', "section": f'<section class="discussion"><p>{text}</p></section>', "legal": f'<p class="legal">{text}</p>'}.get(kind, f"<{kind}>{text}</{kind}>"))
+        if rng.random() < 0.2:
+            body.append(rng.choice([f'<div class="related"><a href="y">{said(3)}</a></div>', f"<aside>{said(9)}</aside>", f'<div class="share">{said(2)}</div>']))
+    menu = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(6))
+    rest = [f"<footer><p>{said(12)}</p></footer>", f'<div id="comments"><p>{said(30)}</p></div>', f'<div class="ad">{said(15)}</div>', f"<form>{said(4)}<input></form>"]
+    rng.shuffle(rest)
+    return f"<html><head><title>{word()}</title><style>p{{}}</style></head><body><header><p>{said(8)}</p></header><nav><ul>{menu}</ul></nav><article>{''.join(body)}</article>{''.join(rest)}</body></html>", blocks
+
+
+def test_generated_pages_against_their_text_and_a_plain_reader():
+    rng = random.Random(12)
+    found = kept = known = 0
+    for _ in range(200):
+        page, blocks = _page(rng)
+        text = html_extract.main_text(page)
+        assert text == brute.main_text(page)
+        mine = text.split("\n")
+        found, kept, known = found + len(set(mine) & set(blocks)), kept + len(mine), known + len(blocks)
+    assert found == kept == known
+
+
+@pytest.mark.parametrize("n", [99_000, 100_100])
+def test_an_advert_is_cut_however_long_the_page(n):
+    text = html_extract.main_text("<article>" + "<p>para, one</p>" * n + '<div class="ad">ADVERT</div></article>')
+    assert text == "\n".join(["para, one"] * n)
+
+
+def test_what_an_article_keeps_and_loses():
+    lead = "Some long enough text, with commas, and more words to be read here."
+    keeps = ["<p><a href=x>See the full report</a></p>", "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>", '<section class="discussion"><h2>Discussion</h2></section>', '<p class="legal">Law</p>', '<div class="search-results">Results</div>', "<p>f <math><mi>x</mi></math></p>"]
+    loses = ['<div class="related-content">no</div>', '<div class="main-nav">no</div>', "<aside>no</aside>", '<div class="comments">no</div>', "<form>no</form>", '<div role="navigation">no</div>']
+    page = f"<body><article><p>{lead}</p>{''.join(keeps)}{''.join(loses)}</article></body>"
+    assert html_extract.main_text(page).split("\n") == [lead, "See the full report", "One", "Two", "Discussion", "Law", "Results", "f x"]
+
+
+def test_extraction_takes_linear_time_and_keeps_columns(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.time()
+        html_extract.main_text("<div>" * n + "<p>hello</i></b></p>" * n)
+        html_extract.main_text("<b>" * n + "<div></div>" * n)
+        html_extract.main_text("<ul><li><ul>" + "<div>" * n + "<li></li>" * n)
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0]
+    pages = spark.createDataFrame([(1, "<p>a</p>", "x")] * 2, "page_id long, html string, text string")
+    assert [(r.text, r.text_) for r in html_extract.extract(pages).collect()] == [("x", "a")] * 2
+
+
 def test_elements_late_in_a_very_long_page():
     lines = [f"Paragraph {i}, with commas, and enough words to be kept." for i in range(60_000)]
     body = "".join(f"<p><b>{x}</b></p>" for x in lines)
@@ -194,6 +275,8 @@ def test_field_tells_good_from_bad(spark):
     held = [(out[i], y) for i, _, y in rows if i >= 250]
     assert sum((s >= 0.3) == bool(y) for s, y in held) >= 0.95 * len(held)
     assert out[1000] == out[1001] == out[1002] == model.mean
+    assert quality_lines.train(docs, labels, most=150, most_lines=0).field is None
+    assert quality_lines.score(docs, model).columns == ["doc_id", "text", "score", "score_"]
     kept = quality_lines.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(s >= 0.3 for s in out.values())
     for none in (labels.limit(0), labels.where("quality = 1")):
@@ -277,6 +360,42 @@ def test_lattice_sums_over_all_segmentations():
     assert np.allclose(lattice.log_marginals(words), [total(w) for w in words])
 
 
+def _weights(vocabulary, pieces):
+    """Of pieces by name, and of bytes."""
+    return dict(zip(vocabulary.pieces, pieces.tolist(), strict=True)), {b: pieces[i] for b, i in enumerate(vocabulary.spelled)}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_scores_are_sums_over_all_segmentations(spark, rounds):
+    texts = ["tree stones", "tree tree río", None, "Tre estone", "žx", "tree stones", "never seen"]
+    docs = spark.createDataFrame([(i if i < 6 else None, t) for i, t in enumerate(texts)] + [(9, "held out trees")] * 2, "doc_id long, text string")
+    path, held = _vocabulary("piece_bpe_32k.model"), docs.doc_id == 9
+    vocabulary = read_vocabulary(path)
+    train = [w for t in texts for w in brute.words(brute.lower(t))]
+    prior = lm_score.STRENGTH * vocabulary.weights
+    pieces, end = prior / (lm_score.STRENGTH + 1), 1 / (lm_score.STRENGTH + 1)
+    for _ in range(rounds):
+        weights, of_byte = _weights(vocabulary, pieces)
+        counts, index = prior.copy(), {p: i for i, p in enumerate(vocabulary.pieces)}
+        for word in train:
+            ways = brute.segmentations("▁" + word, weights, of_byte)
+            whole = sum(w for _, w in ways)
+            for way, w in ways:
+                for piece in way:
+                    for i in [index[piece]] if piece in index else [vocabulary.spelled[b] for b in piece.encode()]:
+                        counts[i] += w / whole
+        total = counts.sum() + len(texts) + 1
+        pieces, end = counts / total, (len(texts) + 1) / total
+    weights, of_byte = _weights(vocabulary, pieces)
+    assert abs(pieces.sum() + end - 1) < 1e-9
+    out = lm_score.score_documents(docs, path, held, rounds=rounds).collect()
+    assert len(out) == len(texts) + 2
+    score = lambda t: np.log10(end) + sum(np.log10(sum(w for _, w in brute.segmentations("▁" + x, weights, of_byte))) for x in brute.words(brute.lower(t)))
+    of = {**dict(enumerate(texts)), None: texts[6], 9: "held out trees"}
+    for r in out:
+        assert abs(r.score - score(of[r.doc_id])) < 1e-6, r
+
+
 def test_scores_of_documents(spark):
     rng = random.Random(9)
     texts = ODD + [" ".join(rng.choice(["tree", "stone", "River", "été"]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["zzqx unseen wordless"]

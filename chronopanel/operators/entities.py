@@ -11,14 +11,26 @@ from chronopanel.functions import text as tx
 def name_candidates(names: DataFrame, lookup: DataFrame, least: float = 0.5) -> DataFrame:
     """(sid, cik, score, is_exact): entries of lookup (cik, name) with the same normalised name, or with the same first and last word and enough words in common.
 
-    Pairs are made within blocks of equal first and last words, never across; an exact match makes no others for a sid.
+    Pairs are made within blocks of equal first and last words and one of a name's rarest words, never across: two names
+    with a share of `least` of their words in common have one of the first n - ceil(least * n) + 1 by rarity in common. An
+    exact match makes no others for a sid.
     """
     mine = names.select("sid", tx.normalized_name(F.col("name")).alias("a")).where("a <> ''")
     theirs = lookup.select("cik", tx.normalized_name(F.col("name")).alias("b")).where("b <> ''").distinct()
     exact = mine.join(theirs, F.col("a") == F.col("b")).select("sid", "cik", F.lit(1.0).alias("score"), F.lit(True).alias("is_exact"))
-    block = lambda c: F.concat_ws(" ", F.split(c, " ")[0], F.element_at(F.split(c, " "), -1))
-    open_ = mine.join(exact.select("sid").distinct(), "sid", "left_anti").withColumn("block", block("a"))
-    near = open_.join(theirs.withColumn("block", block("b")), "block").select("sid", "cik", tx.token_jaccard(F.col("a"), F.col("b")).alias("score"), F.lit(False).alias("is_exact"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    times = mine.select(F.explode(words("a")).alias("word")).union(theirs.select(F.explode(words("b")))).groupBy("word").agg(F.count("*").alias("times"))
+
+    def blocks(rows: DataFrame, id_: str, name: str) -> DataFrame:
+        ends = F.concat_ws(" ", F.split(name, " ")[0], F.element_at(F.split(name, " "), -1))
+        spread = rows.select(id_, name, F.explode(words(name)).alias("word")).join(times, "word")
+        first = F.count("*").cast("int") - F.ceil(F.count("*") * least).cast("int") + 1
+        rare = F.slice(F.sort_array(F.collect_list(F.struct("times", "word"))), F.lit(1), first)
+        return spread.groupBy(id_, name).agg(rare.alias("rare")).select(id_, name, ends.alias("ends"), F.explode("rare.word").alias("word"))
+
+    open_ = mine.join(exact.select("sid").distinct(), "sid", "left_anti")
+    pairs = blocks(open_, "sid", "a").join(blocks(theirs, "cik", "b"), ["ends", "word"]).select("sid", "cik", "a", "b").distinct()
+    near = pairs.select("sid", "cik", tx.token_jaccard(F.col("a"), F.col("b")).alias("score"), F.lit(False).alias("is_exact"))
     return exact.unionByName(near.where(F.col("score") >= least))
 
 

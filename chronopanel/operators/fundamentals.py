@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators import point_in_time as pit
+
 
 def unit_matches(unit: Column, family: Column) -> Column:
     said = F.upper(F.trim(unit))
@@ -96,8 +98,9 @@ def market_equity_as_of(equity: DataFrame, signals: DataFrame, most_stale: int =
 
     equity: entity, measured, available, market_equity, is_audited. signals: a stated set of dates.
     """
-    seen = equity.join(F.broadcast(signals.select("signal_date").distinct()), (F.col("measured") <= F.col("signal_date")) & (F.col("available") <= F.col("signal_date")))
-    last = seen.groupBy("signal_date", "entity").agg(F.max_by(F.struct("measured", "market_equity", "is_audited"), F.struct("measured", "available", "market_equity")).alias("m"))
+    known = pit.known_intervals(equity, ["entity"], F.greatest("measured", "available"), F.struct("measured", "available", "market_equity", "is_audited"))
+    here = pit.active(F.col("signal_date"), F.col("known_from"), F.col("known_until"))
+    last = known.join(F.broadcast(signals.select("signal_date").distinct()), here).select("signal_date", "entity", F.col("v").alias("m"))
     stale = F.datediff("signal_date", "m.measured") > most_stale
     reason = F.when(stale, "stale").when(~F.col("m.is_audited"), "share_classes_not_audited").when(F.col("m.market_equity") <= 0, "nonpositive")
     return last.select("signal_date", "entity", F.when(reason.isNull(), F.col("m.market_equity")).alias("market_equity"), reason.alias("reason"))

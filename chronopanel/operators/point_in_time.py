@@ -30,16 +30,18 @@ def snapshot_members_on(snapshots: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def interval_faults(intervals: DataFrame) -> DataFrame:
-    """(sid, effective_from, fault) of rows that break the rules: empty, repeated, overlapping, or open but not last."""
+    """(sid, effective_from, fault) of rows that break the rules: empty, repeated, after an open one, or overlapping any before."""
     over = Window.partitionBy("sid").orderBy("effective_from", F.col("effective_to").asc_nulls_last())
-    before = F.lag(F.struct("effective_from", "effective_to")).over(over)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    rows = intervals.withColumn("was", F.lag(F.struct("effective_from", "effective_to")).over(over))
+    rows = rows.withColumn("reach", F.max("effective_to").over(earlier)).withColumn("open_before", F.max(F.col("effective_to").isNull()).over(earlier))
     fault = (
         F.when(F.col("effective_to") <= F.col("effective_from"), "empty")
         .when(F.col("was").isNotNull() & (F.col("was.effective_from") == F.col("effective_from")) & F.col("was.effective_to").eqNullSafe(F.col("effective_to")), "repeated")
-        .when(F.col("was").isNotNull() & F.col("was.effective_to").isNull(), "open_not_last")
-        .when(F.col("was.effective_to") > F.col("effective_from"), "overlap")
+        .when(F.col("open_before"), "open_not_last")
+        .when(F.col("reach") > F.col("effective_from"), "overlap")
     )
-    return intervals.withColumn("was", before).select("sid", "effective_from", fault.alias("fault")).where("fault IS NOT NULL")
+    return rows.select("sid", "effective_from", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def snapshots_to_intervals(snapshots: DataFrame) -> DataFrame:
@@ -59,14 +61,15 @@ def overlapping(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def merged(intervals: DataFrame) -> DataFrame:
     """Per sid, overlapping and touching intervals as one."""
-    over = Window.partitionBy("sid").orderBy("effective_from", "end")
-    far = F.to_date(F.lit("9999-12-31"))
-    closed = intervals.select("sid", "effective_from", F.coalesce("effective_to", far).alias("end"))
-    reach = F.max("end").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    new = closed.withColumn("is_new", F.coalesce(F.col("effective_from") > reach, F.lit(True)).cast("int"))
+    over = Window.partitionBy("sid").orderBy("effective_from", F.col("effective_to").asc_nulls_last())
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    is_open = F.col("effective_to").isNull()
+    apart = (F.col("effective_from") > F.max("effective_to").over(earlier)) & ~F.max(is_open).over(earlier)
+    first = F.row_number().over(over) == 1
+    new = intervals.withColumn("is_new", (first | F.coalesce(apart, F.lit(False))).cast("int"))
     island = F.sum("is_new").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    out = new.withColumn("island", island).groupBy("sid", "island").agg(F.min("effective_from").alias("effective_from"), F.max("end").alias("end"))
-    return out.select("sid", "effective_from", F.when(F.col("end") < far, F.col("end")).alias("effective_to"))
+    out = new.withColumn("island", island).groupBy("sid", "island").agg(F.min("effective_from").alias("effective_from"), F.max("effective_to").alias("end"), F.max(is_open).alias("is_open"))
+    return out.select("sid", "effective_from", F.when(~F.col("is_open"), F.col("end")).alias("effective_to"))
 
 
 def split_at(intervals: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -102,6 +105,8 @@ def facts_as_of(facts: DataFrame, cutoff: Column, keys: Sequence[str], at: str,
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
     """left with the last row of right (keys, at, values) at or before its own time, and that row's time as matched_at.
 
+    Of rows of one time the one with the greatest values counts.
+
     One shuffle deals rows of both sides by key and bucket (a coarse time, by default the month of `at`); each bucket
     then starts from the last value before it, which comes from a table of one row for each key and bucket.
     """
@@ -111,9 +116,9 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
     mine = left.withColumn("is_left", F.lit(1 if inclusive else 0)).withColumn("payload", F.struct(*left.columns)).select(*keys, at, "is_left", "payload", F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("v"))
     theirs = right.withColumn("is_left", F.lit(0 if inclusive else 1)).select(*keys, at, "is_left", F.lit(None).cast(mine.schema["payload"].dataType).alias("payload"), value.alias("v"))
     both = mine.unionByName(theirs).withColumn("bucket", bucket)
-    within = Window.partitionBy(*keys, "bucket").orderBy(at, "is_left").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "bucket").orderBy(at, "is_left", "v").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("here", F.last("v", True).over(within)).where("payload IS NOT NULL")
-    ends = theirs.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.max_by("v", at).alias("last_here"))
+    ends = theirs.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.max("v").alias("last_here"))
     marks = found.select(*keys, "bucket").distinct().join(ends, [*keys, "bucket"], "full")
     carried = marks.withColumn("before", F.last("last_here", True).over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     out = found.join(carried.select(*keys, "bucket", "before"), [*keys, "bucket"], "left").withColumn("m", F.coalesce("here", "before"))
@@ -128,23 +133,53 @@ def first_session_after(events: DataFrame, calendar: DataFrame, at: str, buffer_
     return events.withColumn("ready", ready).join(F.broadcast(instants), (F.col("ready") <= F.col("closes")) & (F.col("closed_before").isNull() | (F.col("ready") > F.col("closed_before"))), "left").drop("ready", "closes", "closed_before")
 
 
+def known_intervals(rows: DataFrame, keys: Sequence[str], at: Column, version: Column) -> DataFrame:
+    """(keys, v, known_from, known_until): of each key the greatest version known from each time `at` on, until a row more is known.
+
+    Rows of a key are sorted once; no row is copied to the dates that ask for it.
+    """
+    over = Window.partitionBy(*keys).orderBy("known_from", "version")
+    timed = rows.select(*keys, at.alias("known_from"), version.alias("version"))
+    best = F.max("version").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    timed = timed.select(*keys, best.alias("v"), "known_from", F.lead("known_from").over(over).alias("known_until"))
+    return timed.where("known_until IS NULL OR known_from < known_until")
+
+
 def latest_filings(filings: DataFrame, signals: DataFrame) -> DataFrame:
     """(signal_date, entity, current, prior): per signal the newest revision of the latest fiscal year that was available, and of the year before.
 
-    Two stages: the newest revision of each year first, then the years; an old year that is revised late doesn't become current.
+    Two stages: the newest revision of each year first, then the years; an old year that is revised late doesn't become
+    current. Fiscal years of an entity end in their order, so a year is of use until one is known that ends two years later.
     """
-    seen = filings.join(F.broadcast(signals.select("signal_date").distinct()), F.col("available") <= F.col("signal_date"))
-    revision = F.max_by(F.struct("accession", "value", "period_end"), F.struct("accepted_at", "accession"))
-    years = seen.groupBy("signal_date", "entity", "fiscal_year").agg(revision.alias("r"))
-    years = years.withColumn("rank", F.row_number().over(Window.partitionBy("signal_date", "entity").orderBy(F.col("r.period_end").desc(), F.col("fiscal_year").desc())))
-    current = years.where("rank = 1").select("signal_date", "entity", F.col("fiscal_year").alias("current_year"), F.col("r.accession").alias("current_accession"), F.col("r.value").alias("current_value"))
-    prior = years.select("signal_date", "entity", (F.col("fiscal_year") + 1).alias("current_year"), F.col("r.accession").alias("prior_accession"), F.col("r.value").alias("prior_value"))
+    revisions = known_intervals(filings, ["entity", "fiscal_year"], F.col("available"), F.struct("accepted_at", "accession", "value", "period_end"))
+    years = filings.groupBy("entity", "fiscal_year").agg(F.min("available").alias("first"))
+    later = Window.partitionBy("entity").orderBy("fiscal_year").rangeBetween(2, Window.unboundedFollowing)
+    years = years.withColumn("gone", F.min("first").over(later)).drop("first")
+    of_use = revisions.join(years, ["entity", "fiscal_year"]).withColumn("until", F.least("known_until", "gone"))
+    here = active(F.col("signal_date"), F.col("known_from"), F.col("until"))
+    seen = of_use.join(F.broadcast(signals.select("signal_date").distinct()), here)
+    seen = seen.withColumn("rank", F.row_number().over(Window.partitionBy("signal_date", "entity").orderBy(F.col("v.period_end").desc(), F.col("fiscal_year").desc())))
+    current = seen.where("rank = 1").select("signal_date", "entity", F.col("fiscal_year").alias("current_year"), F.col("v.accession").alias("current_accession"), F.col("v.value").alias("current_value"))
+    prior = seen.select("signal_date", "entity", (F.col("fiscal_year") + 1).alias("current_year"), F.col("v.accession").alias("prior_accession"), F.col("v.value").alias("prior_value"))
     return current.join(prior, ["signal_date", "entity", "current_year"], "left")
 
 
-def held(schedule: DataFrame, calendar: DataFrame, value: str, default: float | None = None) -> DataFrame:
-    """(date, value): a step function of the schedule (date, value) on all sessions, carried forward; the last row of a date counts."""
-    steps = schedule.groupBy("date").agg(F.last(value).alias(value))
+def with_previous(rows: DataFrame, order: str, value: Column, bucket: Column, name: str) -> DataFrame:
+    """rows with the value of the row before by `order`, a unique column; bucket: a coarse form of it, ascending, by which rows are dealt."""
+    mine = rows.withColumn("bucket_", bucket).withColumn("value_", F.struct(value.alias("x")))
+    within = Window.partitionBy("bucket_").orderBy(order)
+    last = mine.groupBy("bucket_").agg(F.max_by("value_", order).alias("last_"))
+    last = last.select("bucket_", F.lag("last_").over(Window.orderBy("bucket_")).alias("before_"))  # one row for each bucket
+    found = mine.withColumn("here_", F.lag("value_").over(within)).join(last, "bucket_", "left")
+    return found.select(*rows.columns, F.coalesce("here_", "before_")["x"].alias(name))
+
+
+def held(schedule: DataFrame, calendar: DataFrame, value: str, default: float | None = None, order: str | None = None) -> DataFrame:
+    """(date, value): a step function of the schedule (date, value) on all sessions, carried forward.
+
+    Of several rows of a date the one with the greatest `order` counts, by default the greatest value.
+    """
+    steps = schedule.groupBy("date").agg((F.max(value) if order is None else F.max_by(value, order)).alias(value))
     over = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     carried = F.last(value, True).over(over)
     return calendar.select("date").join(F.broadcast(steps), "date", "left").select("date", (carried if default is None else F.coalesce(carried, F.lit(default))).alias(value))

@@ -43,7 +43,9 @@ def book_values(targets: DataFrame, spine: DataFrame, market: DataFrame, cost_bp
     days = _with_period(days, targets, keys)
     opens = spine.select("sid", F.col("idx").alias("execution_idx"), F.col("open").alias("bought"))
     held = targets.join(opens, ["sid", "execution_idx"]).where("bought > 0").select(*keys, "sid", F.col("execution_idx").alias("r"), "weight", "bought")
-    marked = spine.select("sid", "idx", "open", "close").join(F.broadcast(days.select(*keys, "idx", "r")), "idx").join(held, name)
+    lasts = days.groupBy(*period).agg(F.max("idx").alias("until"))
+    sessions = held.join(lasts, period).withColumn("idx", F.explode(F.sequence("r", "until"))).drop("until")
+    marked = sessions.join(spine.select("sid", "idx", "open", "close"), ["sid", "idx"])
     in_period = Window.partitionBy(*name).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     value = F.col("weight") * F.coalesce(F.last("close", True).over(in_period), F.col("bought")) / F.col("bought")
     daily = marked.withColumn("value", value)

@@ -13,6 +13,17 @@ def best_donors(candidates: DataFrame, spine: DataFrame, least: int = 60) -> Dat
     return joined.withColumn("place", F.row_number().over(Window.partitionBy("sid").orderBy("priority", "donor"))).where("place = 1").select("sid", "donor", "priority", "n_valid")
 
 
+def nearest_donors(names: DataFrame, spine: DataFrame, least: int = 60) -> DataFrame:
+    """(sid, donor, priority): of names (sid, number, both unique) the nearest on either side by number with enough closes; priority is the distance. Names are a stated set."""
+    valid = spine.groupBy("sid").agg((F.count("close") >= least).alias("is_valid"))
+    over = Window.orderBy("number")
+    mark = F.when(F.col("is_valid"), F.struct(F.col("sid").alias("donor"), "number"))
+    rows = names.join(valid, "sid").withColumn("mark", mark)
+    near = F.array(F.last("mark", True).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.first("mark", True).over(over.rowsBetween(1, Window.unboundedFollowing)))
+    pairs = rows.withColumn("near", near).select("sid", "number", F.explode("near").alias("d")).where("d IS NOT NULL")
+    return pairs.select("sid", "d.donor", F.abs(F.col("number") - F.col("d.number")).alias("priority"))
+
+
 def remapped(rows: DataFrame, mapping: DataFrame, column: str = "sid") -> DataFrame:
     """rows with the column's sids replaced by mapping (source_sid, canonical_sid), others as they are."""
     m = mapping.select(F.col("source_sid").alias("from_"), F.col("canonical_sid").alias("to_"))

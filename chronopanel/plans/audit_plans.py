@@ -55,21 +55,12 @@ def pending(spark, sf_dir):
     return ac.pending(held, _actions(spark, sf_dir))
 
 
-@query("sim_13_borrow_rates", f"WITH {R.px()} SELECT date, sid, CASE WHEN sid = 'Brand#2' AND DAY(date) % 2 = 0 THEN 0.03::DOUBLE WHEN DAY(date) % 5 = 0 THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END AS rate FROM px WHERE sid LIKE '%2'")
+@query("sim_13_borrow_rates", f"WITH {R.px()} SELECT date, sid, CASE WHEN sid = 'Brand#2' AND DAY(date) % 2 = 0 THEN 0.03::DOUBLE WHEN DAY(date) % 5 = 0 THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END AS rate FROM px")
 def borrow(spark, sf_dir):
-    return _borrow(spark, sf_dir, "sid LIKE '%2'")
-
-
-@query("sim_13_borrow_rates_all", R.ORACLES["sim_13_borrow_rates"].replace(" WHERE sid LIKE '%2'", ""))
-def borrow_all(spark, sf_dir):
-    return _borrow(spark, sf_dir, "true")
-
-
-def _borrow(spark, sf_dir, shorts):
     p = panel.prices(spark, sf_dir).select("date", "sid")
     by_name = p.where("sid = 'Brand#2' AND DAY(date) % 2 = 0").withColumn("rate", F.lit(0.03))
     by_date = p.select("date").distinct().where("DAY(date) % 5 = 0").withColumn("rate", F.lit(0.02))
-    return ac.borrow_rates(p.where(shorts), by_name, by_date, 0.01)
+    return ac.borrow_rates(p, by_name, by_date, 0.01)
 
 
 @query("sim_32_pnl_bridge")
@@ -86,19 +77,10 @@ def net_periods(spark, sf_dir):
     return rounded(po.holding_periods(_book(spark, sf_dir, 10.0)[1]).withColumnRenamed("period_return", "net_return"), 7)
 
 
-@query("val_07_action_sessions", f"WITH {R.px()}, a AS (SELECT o_orderkey AS action_id, CAST(o_orderdate AS DATE) AS apply_session FROM orders WHERE o_orderkey < 3000), s AS (SELECT MIN(date) AS a, MAX(date) AS b FROM px WHERE DAY(date) <> 13) SELECT apply_session, action_id FROM a, s WHERE apply_session BETWEEN s.a AND s.b AND apply_session NOT IN (SELECT date FROM px WHERE DAY(date) <> 13)")
+@query("val_07_action_sessions", f"WITH {R.px()}, a AS (SELECT o_orderkey AS action_id, CAST(o_orderdate AS DATE) AS apply_session FROM orders), s AS (SELECT MIN(date) AS a, MAX(date) AS b FROM px WHERE DAY(date) <> 13) SELECT apply_session, action_id FROM a, s WHERE apply_session BETWEEN s.a AND s.b AND apply_session NOT IN (SELECT date FROM px WHERE DAY(date) <> 13)")
 def action_sessions(spark, sf_dir):
-    return _action_sessions(spark, sf_dir, "o_orderkey < 3000")
-
-
-@query("val_07_action_sessions_all", R.ORACLES["val_07_action_sessions"].replace(" WHERE o_orderkey < 3000", ""))
-def action_sessions_all(spark, sf_dir):
-    return _action_sessions(spark, sf_dir, "true")
-
-
-def _action_sessions(spark, sf_dir, orders):
     days = cal.session_calendar(panel.table(spark, sf_dir, "lineitem"), "l_shipdate").where("DAY(date) <> 13")
-    acts = panel.table(spark, sf_dir, "orders").where(orders).select(F.col("o_orderkey").alias("action_id"), F.to_date("o_orderdate").alias("apply_session"))
+    acts = panel.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("action_id"), F.to_date("o_orderdate").alias("apply_session"))
     return ac.session_faults(acts, days)
 
 

@@ -10,6 +10,7 @@ from chronopanel.operators import factor_database as db
 from chronopanel.operators import fundamentals as fu
 from chronopanel.operators import inference as inf
 from chronopanel.operators import models as mo
+from chronopanel.operators import point_in_time as pit
 from chronopanel.plans import registry as R
 from chronopanel.plans.factor_plans import _LONG, _long
 from chronopanel.plans.portfolio_plans import rounded
@@ -50,19 +51,11 @@ def calibration(spark, sf_dir):
     return rounded(inf.calibration(_so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL").withColumn("p", F.least(F.col("score") / 6, F.lit(1.0))), "p", "y"))
 
 
-_TESTS = "t AS (SELECT o_orderpriority AS family, o_orderkey AS test, ROUND((o_totalprice % 1000) / 1000, 6) AS p FROM orders WHERE o_orderkey < 200)"
-
-
-#: The same of every order.
-_ALL_TESTS = _TESTS.replace(" WHERE o_orderkey < 200", "")
-
-
-def _all_tests(spark, sf_dir):
-    return panel.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("p"))
+_TESTS = "t AS (SELECT o_orderpriority AS family, o_orderkey AS test, ROUND((o_totalprice % 1000) / 1000, 6) AS p FROM orders)"
 
 
 def _tests(spark, sf_dir):
-    return _all_tests(spark, sf_dir).where("test < 200")
+    return panel.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("family"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") % 1000 / 1000, 6).alias("p"))
 
 
 @query(
@@ -74,11 +67,6 @@ def false_discovery(spark, sf_dir):
     return rounded(inf.with_false_discovery_rate(_tests(spark, sf_dir), "p", "test", ["family"]))
 
 
-@query("sta_10_false_discovery_rate_all", R.ORACLES["sta_10_false_discovery_rate"].replace(_TESTS, _ALL_TESTS))
-def false_discovery_all(spark, sf_dir):
-    return rounded(inf.with_false_discovery_rate(_all_tests(spark, sf_dir), "p", "test", ["family"]))
-
-
 @query(
     "sta_12_holm",
     f"""WITH {_TESTS}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, test) AS r, COUNT(*) OVER (PARTITION BY family) AS m FROM t)
@@ -88,11 +76,6 @@ def holm(spark, sf_dir):
     return rounded(inf.with_holm(_tests(spark, sf_dir), "p", "test", ["family"]))
 
 
-@query("sta_12_holm_all", R.ORACLES["sta_12_holm"].replace(_TESTS, _ALL_TESTS))
-def holm_all(spark, sf_dir):
-    return rounded(inf.with_holm(_all_tests(spark, sf_dir), "p", "test", ["family"]))
-
-
 def _draws(block: int, reps: int, circular: bool) -> str:
     room = "n" if circular else f"(n - {block} + 1)"
     return f"""{_SO}, se AS (SELECT ROW_NUMBER() OVER (ORDER BY idx) - 1 AS place, score, x FROM sh), nn AS (SELECT COUNT(*) AS n FROM se),
@@ -317,7 +300,7 @@ def normalized(spark, sf_dir):
 
 @query("str_04_token_jaccard", "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(LAG(p_name) OVER (ORDER BY p_partkey), ' ') AS b FROM part) SELECT p_partkey, ROUND(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 8) AS jaccard FROM p WHERE b IS NOT NULL")
 def jaccard(spark, sf_dir):
-    p = panel.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lag("p_name").over(Window.orderBy("p_partkey")).alias("b")).where("b IS NOT NULL")
+    p = pit.with_previous(panel.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", F.col("p_name"), F.floor(F.col("p_partkey") / 10_000), "b").where("b IS NOT NULL")
     return p.select("p_partkey", F.round(tx.token_jaccard(F.col("p_name"), F.col("b")), 8).alias("jaccard"))
 
 

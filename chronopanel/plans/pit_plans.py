@@ -62,8 +62,8 @@ _FAULTY = f"""{INTERVALS}, fv AS (SELECT sid, effective_from, effective_to FROM
 
 @query(
     "pit_02_interval_faults",
-    f"""WITH {_FAULTY}, w AS (SELECT *, ROW_NUMBER() OVER o AS k, LAG(effective_from) OVER o AS wf, LAG(effective_to) OVER o AS wt FROM fv WINDOW o AS (PARTITION BY sid ORDER BY effective_from, effective_to NULLS LAST))
-SELECT * FROM (SELECT sid, effective_from, CASE WHEN effective_to <= effective_from THEN 'empty' WHEN k > 1 AND wf = effective_from AND wt IS NOT DISTINCT FROM effective_to THEN 'repeated' WHEN k > 1 AND wt IS NULL THEN 'open_not_last' WHEN wt > effective_from THEN 'overlap' END AS fault FROM w) AS q WHERE fault IS NOT NULL""",
+    f"""WITH {_FAULTY}, w AS (SELECT *, ROW_NUMBER() OVER o AS k, LAG(effective_from) OVER o AS wf, LAG(effective_to) OVER o AS wt, MAX(effective_to) OVER b AS reach, BOOL_OR(effective_to IS NULL) OVER b AS open_before FROM fv WINDOW o AS (PARTITION BY sid ORDER BY effective_from, effective_to NULLS LAST), b AS (PARTITION BY sid ORDER BY effective_from, effective_to NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT * FROM (SELECT sid, effective_from, CASE WHEN effective_to <= effective_from THEN 'empty' WHEN k > 1 AND wf = effective_from AND wt IS NOT DISTINCT FROM effective_to THEN 'repeated' WHEN open_before THEN 'open_not_last' WHEN reach > effective_from THEN 'overlap' END AS fault FROM w) AS q WHERE fault IS NOT NULL""",
 )
 def interval_faults(spark, sf_dir):
     iv = intervals(spark, sf_dir)

@@ -152,20 +152,12 @@ def mask_audit(spark, sf_dir):
 
 @query(
     "val_06_action_faults",
-    """WITH a AS (SELECT o_orderkey AS action_id, ['cash', 'stock', 'mixed', 'worthless', 'other'][o_orderkey % 5 + 1] AS t, CASE WHEN o_orderkey % 5 IN (0, 2) THEN o_totalprice END AS cash, CASE WHEN o_orderkey % 5 IN (1, 2) OR o_orderkey % 11 = 0 THEN 0.5 END AS ratio, CAST(o_orderdate AS DATE) AS legal_date, CAST(o_orderdate + (o_orderkey % 4 - 1) * INTERVAL 1 DAY AS DATE) AS apply_session, o_custkey % 700 AS source_sid FROM orders WHERE o_orderkey < 900),
+    """WITH a AS (SELECT o_orderkey AS action_id, ['cash', 'stock', 'mixed', 'worthless', 'other'][o_orderkey % 5 + 1] AS t, CASE WHEN o_orderkey % 5 IN (0, 2) THEN o_totalprice END AS cash, CASE WHEN o_orderkey % 5 IN (1, 2) OR o_orderkey % 11 = 0 THEN 0.5 END AS ratio, CAST(o_orderdate AS DATE) AS legal_date, CAST(o_orderdate + (o_orderkey % 4 - 1) * INTERVAL 1 DAY AS DATE) AS apply_session, o_custkey % 700 AS source_sid FROM orders),
 f AS (SELECT action_id, CASE WHEN NOT (CASE t WHEN 'cash' THEN COALESCE(cash, 0) > 0 AND COALESCE(ratio, 0) = 0 WHEN 'stock' THEN COALESCE(cash, 0) = 0 AND COALESCE(ratio, 0) > 0 WHEN 'mixed' THEN COALESCE(cash, 0) > 0 AND COALESCE(ratio, 0) > 0 WHEN 'worthless' THEN COALESCE(cash, 0) = 0 AND COALESCE(ratio, 0) = 0 ELSE false END) THEN 'wrong_terms' WHEN apply_session < legal_date THEN 'applied_early' WHEN COUNT(*) OVER (PARTITION BY source_sid) > 1 THEN 'source_repeated' END AS fault FROM a)
 SELECT * FROM f WHERE fault IS NOT NULL""",
 )
 def action_faults(spark, sf_dir):
-    return _action_faults(panel.table(spark, sf_dir, "orders").where("o_orderkey < 900"))
-
-
-@query("val_06_action_faults_all", R.ORACLES["val_06_action_faults"].replace(" WHERE o_orderkey < 900", ""))
-def action_faults_all(spark, sf_dir):
-    return _action_faults(panel.table(spark, sf_dir, "orders"))
-
-
-def _action_faults(o):
+    o = panel.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey") % 5
     kinds = F.array(*(F.lit(x) for x in ("cash", "stock", "mixed", "worthless", "other")))
     ledger = o.select(
@@ -228,8 +220,7 @@ def donors(spark, sf_dir):
     p = panel.prices(spark, sf_dir)
     names = p.select("sid").distinct()
     number = lambda c: F.substring(c, 7, 9).cast("int")
-    pairs = names.crossJoin(F.broadcast(names.withColumnRenamed("sid", "donor"))).where("sid <> donor").withColumn("priority", F.abs(number("sid") - number("donor")))
-    return rp.best_donors(pairs, p, 1530)
+    return rp.best_donors(rp.nearest_donors(names.withColumn("number", number("sid")), p, 1530), p, 1530)
 
 
 @query("rep_04_remapped", f"WITH {R.px()} SELECT CASE WHEN sid = 'Brand#1' THEN 'Brand#2' ELSE sid END AS sid, COUNT(*) AS n FROM px GROUP BY 1")

@@ -236,26 +236,17 @@ def readiness(spark, sf_dir):
 _NORM = "lower(trim(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')))"
 
 
-@query("jon_08_name_candidates", f"WITH a AS (SELECT s_suppkey AS sid, {_NORM.format('s_name')} AS a FROM supplier WHERE s_suppkey < 80), b AS (SELECT s_suppkey AS cik, {_NORM.format('s_name')} AS b FROM supplier WHERE s_suppkey >= 20 UNION ALL SELECT 1000 + s_suppkey, 'supplier east ' || split_part({_NORM.format('s_name')}, ' ', 2) FROM supplier WHERE s_suppkey < 30) SELECT sid, cik, 1.0::DOUBLE AS score, true AS is_exact FROM a JOIN b ON a = b UNION ALL SELECT sid, cik, ROUND(2 / 3, 8), false FROM a JOIN b ON b LIKE 'supplier east %' AND split_part(a, ' ', 2) = split_part(b, ' ', 3) WHERE sid < 20")
-def name_candidates(spark, sf_dir):
-    s = panel.table(spark, sf_dir, "supplier")
-    names = s.where("s_suppkey < 80").select(F.col("s_suppkey").alias("sid"), F.col("s_name").alias("name"))
-    lookup = s.where("s_suppkey >= 20").select(F.col("s_suppkey").alias("cik"), F.col("s_name").alias("name"))
-    more = s.where("s_suppkey < 30").select((F.col("s_suppkey") + 1000).alias("cik"), F.regexp_replace("s_name", "#", " East ").alias("name"))
-    return rounded(en.name_candidates(names, lookup.unionByName(more)))
-
-
 _TOKENS = "string_split({}, ' ')"
 
 
 @query(
-    "jon_08_name_candidates_all",
+    "jon_08_name_candidates",
     f"""WITH a AS (SELECT s_suppkey AS sid, {_NORM.format('s_name')} AS a FROM supplier), b AS (SELECT s_suppkey AS cik, {_NORM.format("CASE WHEN s_suppkey % 4 = 0 THEN replace(s_name, '#', ' East ') ELSE upper(replace(s_name, '#', ' - ')) END")} AS b FROM supplier),
 ex AS (SELECT sid, cik FROM a JOIN b ON a = b), x AS (SELECT sid, {_TOKENS.format('a')} AS a FROM a WHERE sid NOT IN (SELECT sid FROM ex)), y AS (SELECT cik, {_TOKENS.format('b')} AS b FROM b),
 near AS (SELECT sid, cik, ROUND(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 8) AS score FROM x JOIN y ON a[1] = b[1] AND a[-1] = b[-1])
 SELECT sid, cik, 1.0::DOUBLE AS score, true AS is_exact FROM ex UNION ALL SELECT sid, cik, score, false FROM near WHERE score >= 0.5""",
 )
-def name_candidates_all(spark, sf_dir):
+def name_candidates(spark, sf_dir):
     """Every supplier, against a register of all of them in other spellings; each fourth has a word more."""
     s = panel.table(spark, sf_dir, "supplier")
     names = s.select(F.col("s_suppkey").alias("sid"), F.col("s_name").alias("name"))

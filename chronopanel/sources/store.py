@@ -75,11 +75,13 @@ def reconciliation(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str,
 def materialized(df: DataFrame) -> DataFrame:
     """df written to the folder that all of the cluster shares and read back, for what several branches of a plan read.
 
-    The folder is that of spark.checkpoint.dir; where it is unset, as in tests, one of this machine.
+    The folder is that of spark.checkpoint.dir; where it is unset, one of this machine for a local session, an error on a cluster.
     """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="chronopanel-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/tables/{uuid.uuid4().hex}"

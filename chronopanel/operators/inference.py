@@ -140,3 +140,36 @@ def robust_slope(series: DataFrame, y: str, x: str, lags: int) -> DataFrame:
 def text_seed(text: Column) -> Column:
     """A seed below 2**32 from a text's SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+
+
+def bootstrap_rank_correlation(series: DataFrame, x: str, y: str, replicates: int = 200, block: int = 20, seed: int = 7) -> DataFrame:
+    """(replicate, value): rank correlation over block draws; ranks are taken anew in each replicate. series: place from 0, x, y."""
+    drawn = block_draws(series.agg(F.count("*").alias("n")), replicates, block, seed).join(F.broadcast(series), "place")
+    ranked = drawn.select("replicate", C.average_rank(F.col(x), ["replicate"]).alias("a"), C.average_rank(F.col(y), ["replicate"]).alias("b"))
+    return ranked.groupBy("replicate").agg(F.corr("a", "b").alias("value"))
+
+
+def state_contrast(rows: DataFrame, score: Column, outcome: str, lags: int, least: int = 60, least_t: float = 1.96) -> DataFrame:
+    """(n, contrast, standard_error, t, passes): the outcome in the upper third of the score over that in the lower, with robust errors; passes with enough rows and t. rows: one series, idx."""
+    third = rows.withColumn("third", F.ntile(3).over(Window.orderBy(score))).where("third <> 2")
+    out = robust_slope(third.withColumn("is_high", (F.col("third") == 3).cast("double")), outcome, "is_high", lags)
+    passes = (F.col("n") >= least) & (F.abs("t") > least_t)
+    return out.select("n", F.col("slope").alias("contrast"), "standard_error", "t", passes.alias("passes"))
+
+
+def interaction(rows: DataFrame, outcome: str, a: str, b: str, lags: int) -> DataFrame:
+    """(n, did, standard_error, t): difference in differences of two booleans, with errors robust to `lags` neighbours. rows: one series, idx.
+
+    In a model of all four cells the interaction is a weighted sum of the outcomes, and its errors are those of the weighted residuals.
+    """
+    cell = Window.partitionBy(a, b)
+    y = F.col(outcome)
+    sign = F.when(F.col(a) == F.col(b), 1.0).otherwise(-1.0) / F.count("*").over(cell)
+    scored = rows.select("idx", (sign * y).alias("part"), (sign * (y - F.avg(y).over(cell))).alias("u"))
+    over = Window.orderBy("idx")
+    lagged = scored.select("*", *(F.lag("u", k).over(over).alias(f"u{k}") for k in range(1, lags + 1)))
+    total = F.sum(F.col("u") ** 2)
+    for k in range(1, lags + 1):
+        total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("u") * F.col(f"u{k}")), F.lit(0.0))
+    out = lagged.agg(F.count("*").alias("n"), F.sum("part").alias("did"), F.sqrt(total).alias("standard_error"))
+    return out.withColumn("t", F.try_divide("did", "standard_error"))

@@ -259,7 +259,7 @@ def test_every_order_has_an_adjusted_p_value(spark, name):
 def test_ids_beyond_the_first_have_verdicts(spark, name, table, by, key):
     """Some of the upper half of the ids are found, and of the suppliers all."""
     whole = spark.read.parquet(f"{SF}/{table}.parquet")
-    ids = {r[by] for r in plans.QUERIES[f"{name}_all"](spark, SF).select(by).collect()}
+    ids = {r[by] for r in plans.QUERIES[name](spark, SF).select(by).collect()}
     assert max(ids) > whole.agg(F.max(key)).first()[0] / 2
     assert table != "supplier" or len(ids) == whole.count()
 
@@ -267,4 +267,40 @@ def test_ids_beyond_the_first_have_verdicts(spark, name, table, by, key):
 def test_every_name_has_a_borrow_rate(spark):
     from chronopanel.sources import panel
 
-    assert plans.QUERIES["sim_13_borrow_rates_all"](spark, SF).count() == panel.prices(spark, SF).count()
+    assert plans.QUERIES["sim_13_borrow_rates"](spark, SF).count() == panel.prices(spark, SF).count()
+
+
+def test_rows_of_one_time_are_put_in_order(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 50, 2)], "k string, ts int, n int")
+    right = spark.createDataFrame([("a", 5, v) for v in (3, 9, 1)], "k string, ts int, v int")
+    for parts in (1, 3):
+        found = pit.asof_backward(left, right.repartition(parts), ["k"], "ts", ["v"], F.floor(F.col("ts") / 10))
+        assert {r.n: r.v for r in found.collect()} == {1: 9, 2: 9}
+    days = _dates(spark, [("2020-01-01",), ("2020-01-02",)], "date")
+    steps = _dates(spark, [("2020-01-01", 0.5, 2), ("2020-01-01", 0.9, 1)], "date", "w", "o")
+    assert [r.w for r in pit.held(steps, days, "w").collect()] == [0.9, 0.9]
+    assert [r.w for r in pit.held(steps, days, "w", order="o").collect()] == [0.5, 0.5]
+
+
+def test_an_overlap_with_any_earlier_interval_is_a_fault(spark):
+    iv = _dates(spark, [("A", "2020-01-01", "2020-12-31"), ("A", "2020-02-01", "2020-02-10"), ("A", "2020-03-01", "2020-03-05"), ("B", "2020-01-01", None), ("B", "2020-02-01", "2020-02-02"), ("B", "2020-03-01", "2020-03-02")], "sid", "effective_from", "effective_to")
+    found = sorted((r.sid, str(r.effective_from), r.fault) for r in pit.interval_faults(iv).collect())
+    assert found == [("A", "2020-02-01", "overlap"), ("A", "2020-03-01", "overlap"), ("B", "2020-02-01", "open_not_last"), ("B", "2020-03-01", "open_not_last")]
+    ends = _dates(spark, [("A", "2020-01-01", "9999-12-31"), ("B", "2020-01-01", None)], "sid", "effective_from", "effective_to")
+    assert sorted((r.sid, str(r.effective_to)) for r in pit.merged(ends).collect()) == [("A", "9999-12-31"), ("B", "None")]
+
+
+def test_the_row_before_across_buckets(spark):
+    rows = spark.createDataFrame([(i, f"v{i}" if i != 7 else None) for i in (1, 2, 7, 25, 26, 60)], "id int, v string").repartition(3)
+    found = {r.id: r.b for r in pit.with_previous(rows, "id", F.col("v"), F.floor(F.col("id") / 10), "b").collect()}
+    assert found == {1: None, 2: "v1", 7: "v2", 25: None, 26: "v25", 60: "v26"}
+
+
+def test_joins_hold_to_their_cardinality(spark):
+    from chronopanel.operators import contracts as ct
+
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    two = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "k int, y int")
+    assert ct.checked_join(two, one, ["k"], "n:1").count() == 2
+    with pytest.raises(Exception, match="right: more than one row for 1"):
+        ct.checked_join(one, two, ["k"], "1:1").collect()

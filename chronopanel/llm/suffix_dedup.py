@@ -33,6 +33,8 @@ from chronopanel.llm.segments import Windows, find_repeats
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("rest", T.BinaryType())])
 GRAM_SHARE = 2
+#: Bytes of segments in one shard; the arrays made of it take some 150 times as much.
+SHARD_BYTES = 1 << 20
 
 
 def _name(text: bytes) -> int:
@@ -76,7 +78,7 @@ def repeats(docs: DataFrame, n: int = 200, doc_id: str = "doc_id", text: str = "
     """(doc, said_hash, spans): of each text with any, its repeats as structs start, length, name. Null ids have a stand-in."""
     doc = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
     chosen = docs.select(doc.alias("doc"), F.col(text).alias("said"))
-    found, made = find_repeats(chosen, Windows(n, max(1, n // GRAM_SHARE), False), repeats_in_shard)
+    found, made = find_repeats(chosen, Windows(n, max(1, n // GRAM_SHARE), False), repeats_in_shard, SHARD_BYTES)
     spans = F.expr("transform(sequence(0, size(found) - 1, 3), i -> named_struct('start', start + found[i], 'length', found[i + 1], 'name', found[i + 2]))")
     found = found.select("doc", "said_hash", spans.alias("spans"))
     found = write_table(found.groupBy("doc", "said_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")))

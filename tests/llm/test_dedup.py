@@ -84,7 +84,7 @@ def test_repeated_bytes_of_crowded_anchors(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, "".join(x)) for i, x in enumerate(_crowd(rng, 60, lambda: chr(rng.randrange(0, 200)), 20, 60))]
     for crowd in (10, 1):
-        monkeypatch.setattr(suffix_dedup, "find_repeats", partial(segments.find_repeats, shard_bytes=2000, crowd=crowd))
+        monkeypatch.setattr(suffix_dedup, "find_repeats", lambda docs, kind, index, _, crowd=crowd: segments.find_repeats(docs, kind, index, 2000, crowd))
         out = suffix_dedup.without_repeats(_frame(spark, rows), n=30).selectExpr("doc_id", "result.*").collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, _digest(r.rest)) for r in out} == brute.repeated_bytes(rows, 30)
 

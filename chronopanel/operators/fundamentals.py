@@ -119,3 +119,83 @@ def readiness(database: DataFrame, least_coverage: float, least_names: int, leas
     whole = daily.groupBy("factor_id").agg((F.sum("e") / F.sum("n")).alias("coverage"), F.sum((F.col("e") >= least_names).cast("long")).alias("n_covered_dates"))
     status = F.when(F.col("coverage") < least_coverage, "low_coverage").when(F.col("n_covered_dates") < least_dates, "too_few_dates").otherwise("ready")
     return whole.withColumn("status", status)
+
+
+def required(facts: DataFrame, metrics: list[str], flows: list[str]) -> DataFrame:
+    """(entity, fiscal_year, one column for each metric, reason): what a ratio needs of a filing, and why it can't have it, joined by semicolons.
+
+    facts: entity, fiscal_year, metric_id, value, unit, period_start. A metric may be missing, ambiguous (several values),
+    invalid (not a finite number) or without a unit; flow metrics must share one start of their period.
+    """
+    keys = ["entity", "fiscal_year"]
+    here = facts.where(F.col("metric_id").isin(*metrics))
+    invalid = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    one = here.groupBy(*keys, "metric_id").agg(F.countDistinct(F.coalesce("value", F.lit(float("nan")))).alias("n"), F.max("value").alias("value"), F.max(invalid).alias("invalid"), F.max(F.col("unit").isNull()).alias("no_unit"), F.max("period_start").alias("start"))
+    state = F.when(F.col("n") > 1, "ambiguous").when(F.col("invalid"), "invalid").when(F.col("no_unit"), "missing_unit")
+    wide = one.groupBy(*keys).agg(
+        *(F.max(F.when((F.col("metric_id") == m) & state.isNull(), F.col("value"))).alias(m) for m in metrics),
+        F.map_from_entries(F.collect_list(F.struct("metric_id", F.coalesce(state, F.lit("")).alias("state")))).alias("states"),
+        F.countDistinct(F.when(F.col("metric_id").isin(*flows), F.col("start"))).alias("n_starts"),
+    )
+    why = [F.when(~F.array_contains(F.map_keys("states"), m), f"missing_metric:{m}").otherwise(F.when(F.try_element_at("states", F.lit(m)) != "", F.concat(F.try_element_at("states", F.lit(m)), F.lit(f":{m}")))) for m in metrics]
+    reason = F.nullif(F.concat_ws(";", *why, F.when(F.col("n_starts") > 1, "different_periods")), F.lit(""))
+    return wide.select(*keys, *(F.when(reason.isNull(), F.col(m)).alias(m) for m in metrics), reason.alias("reason"))
+
+
+def sloan_accruals(both: DataFrame) -> DataFrame:
+    """(entity, fiscal_year, value, score, reason) of ((change of current assets - of cash) - (of current liabilities - of short debt - of taxes payable) - depreciation) / mean assets; low is good.
+
+    both: this year's and prior_ columns.
+    """
+    moved = ["current_assets", "cash", "current_liabilities", "short_debt", "taxes_payable"]
+    change = lambda c: F.col(c) - F.col(f"prior_{c}")
+    needed = [*moved, *(f"prior_{c}" for c in moved), "depreciation", "assets", "prior_assets"]
+    mean = (F.col("assets") + F.col("prior_assets")) / 2
+    reason = F.coalesce(_missing(needed), F.when(mean <= 0, "nonpositive_assets"))
+    total = change("current_assets") - change("cash") - (change("current_liabilities") - change("short_debt") - change("taxes_payable")) - F.col("depreciation")
+    value = F.when(reason.isNull(), total / F.nullif(mean, F.lit(0.0)))
+    return both.select("entity", "fiscal_year", value.alias("value"), (-value).alias("score"), reason.alias("reason"))
+
+
+def net_payout_yield(filings: DataFrame, equity: DataFrame) -> DataFrame:
+    """(signal_date, entity, value, reason) of (dividends + repurchases - issuance) / market equity; a flow that isn't reported counts as none, but not all three."""
+    flows = ["dividends", "repurchases", "issuance"]
+    both = filings.join(equity, ["signal_date", "entity"], "left")
+    none = F.coalesce(*(F.col(c) for c in flows)).isNull()
+    reason = F.when(none, "no_payout_reported").otherwise(F.coalesce("reason", F.when(F.col("market_equity").isNull(), "no_measurement")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    net = zero("dividends") + zero("repurchases") - zero("issuance")
+    return both.select("signal_date", "entity", F.when(reason.isNull(), net / F.nullif("market_equity", F.lit(0.0))).alias("value"), reason.alias("reason"))
+
+
+def coverage_checks(filings: DataFrame, facts: DataFrame, canonical: DataFrame, least: float) -> DataFrame:
+    """(check_id, group, numerator, denominator, coverage, status): how many filings have facts, how many facts a filing, and how many filings each canonical metric.
+
+    One row for each check and group: counts over the keys, never rows brought together.
+    """
+    known = filings.select("accession").distinct()
+    has = facts.select("accession").distinct().withColumn("has", F.lit(1))
+    by_filing = known.join(has, "accession", "left").agg(F.lit("filings_with_facts").alias("check_id"), F.lit("all").alias("group"), F.count("has").alias("numerator"), F.count("*").alias("denominator"))
+    by_fact = facts.join(known.withColumn("has", F.lit(1)), "accession", "left").agg(F.lit("facts_with_filing").alias("check_id"), F.lit("all").alias("group"), F.count("has").alias("numerator"), F.count("*").alias("denominator"))
+    n = known.agg(F.count("*").alias("denominator"))
+    by_metric = canonical.groupBy(F.col("metric_id").alias("group")).agg(F.countDistinct("accession").alias("numerator")).crossJoin(F.broadcast(n))  # one row
+    by_metric = by_metric.select(F.lit("metric_coverage").alias("check_id"), "group", "numerator", "denominator")
+    rows = by_filing.unionByName(by_fact).unionByName(by_metric)
+    share = F.try_divide("numerator", "denominator")
+    return rows.withColumn("coverage", share).withColumn("status", F.when(share.isNull(), "empty").when(share >= least, "pass").otherwise("fail"))
+
+
+def factor_panel(values: DataFrame, mappings: DataFrame, signals: DataFrame) -> DataFrame:
+    """(signal_date, sid, factor_id, value, entity, reason) for every name with an active mapping on each signal date (a stated set), and every factor.
+
+    values: signal_date, entity, factor_id, value, reason. mappings: sid, entity, effective_from, effective_to. A name with
+    two entities on a date has none (ambiguous_mapping); a factor without a row is no_value.
+    """
+    days = F.broadcast(signals.select("signal_date").distinct())
+    active = mappings.join(days, pit.active(F.col("signal_date"), F.col("effective_from"), F.col("effective_to")))
+    names = active.groupBy("signal_date", "sid").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("n"))
+    factors = values.select("factor_id").distinct()  # a registry of some dozen
+    keys = names.crossJoin(F.broadcast(factors))
+    met = keys.join(values.select("signal_date", "entity", "factor_id", "value", "reason", F.lit(True).alias("has")), ["signal_date", "entity", "factor_id"], "left")
+    reason = F.when(F.col("n") > 1, "ambiguous_mapping").when(F.col("has").isNull(), "no_value").otherwise(F.col("reason"))
+    return met.select("signal_date", "sid", "factor_id", F.when(reason.isNull(), F.col("value")).alias("value"), F.when(F.col("n") == 1, F.col("entity")).alias("entity"), reason.alias("reason"))

@@ -190,3 +190,10 @@ def mapping_coverage(members: DataFrame, mappings: DataFrame) -> DataFrame:
     hit = members.join(mappings.select("sid", "effective_from", "effective_to"), "sid", "left").withColumn("is_hit", F.coalesce(active(F.col("date"), F.col("effective_from"), F.col("effective_to")), F.lit(False)))
     one = hit.groupBy("date", "sid").agg(F.max("is_hit").alias("is_hit"))
     return one.groupBy("date").agg(F.count("*").alias("n_members"), F.sum(F.col("is_hit").cast("long")).alias("n_mapped"))
+
+
+def scoped_snapshots(snapshots: DataFrame, allowed: DataFrame, start: str, end: str) -> DataFrame:
+    """(date, sid) of the full snapshots from the last one on or before `start` to `end`, of the allowed sids."""
+    first = snapshots.where(F.col("date") <= F.lit(start).cast("date")).agg(F.max("date").alias("anchor"))
+    here = snapshots.where(F.col("date") <= F.lit(end).cast("date")).join(F.broadcast(first), F.col("date") >= F.col("anchor"))  # one row
+    return here.select("date", "sid").join(allowed.select("sid").distinct(), "sid", "left_semi").select("date", "sid").distinct()

@@ -64,7 +64,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def _dates(spark, rows, *names):
-    return spark.createDataFrame([tuple(datetime.date.fromisoformat(x) if isinstance(x, str) and x[:2] in ("19", "20") else x for x in r) for r in rows], ", ".join(f"{n} {'date' if n.startswith(('date', 'effective', 'at')) else 'string'}" for n in names))
+    return spark.createDataFrame([tuple(datetime.date.fromisoformat(x) if isinstance(x, str) and x[:2] in ("19", "20", "99") else x for x in r) for r in rows], ", ".join(f"{n} {'date' if n.startswith(('date', 'effective', 'at')) else 'string'}" for n in names))
 
 
 def test_membership_is_half_open(spark):
@@ -277,7 +277,8 @@ def test_rows_of_one_time_are_put_in_order(spark):
         found = pit.asof_backward(left, right.repartition(parts), ["k"], "ts", ["v"], F.floor(F.col("ts") / 10))
         assert {r.n: r.v for r in found.collect()} == {1: 9, 2: 9}
     days = _dates(spark, [("2020-01-01",), ("2020-01-02",)], "date")
-    steps = _dates(spark, [("2020-01-01", 0.5, 2), ("2020-01-01", 0.9, 1)], "date", "w", "o")
+    first = datetime.date(2020, 1, 1)
+    steps = spark.createDataFrame([(first, 0.5, 2), (first, 0.9, 1)], "date date, w double, o int")
     assert [r.w for r in pit.held(steps, days, "w").collect()] == [0.9, 0.9]
     assert [r.w for r in pit.held(steps, days, "w", order="o").collect()] == [0.5, 0.5]
 

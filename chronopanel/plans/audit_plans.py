@@ -63,7 +63,7 @@ def borrow(spark, sf_dir):
     return ac.borrow_rates(p, by_name, by_date, 0.01)
 
 
-@query("sim_32_pnl_bridge")
+@query("sim_32_pnl_bridge", f"{_bs('0.001')}, c AS (SELECT date, nav - COALESCE(LAG(nav) OVER (ORDER BY idx), 1.0) AS change FROM nav) SELECT YEAR(date)::INT AS year, COUNT(*) AS n, ROUND(LN(1 + ABS(SUM(change))), 5) AS log_change, 1 AS closes FROM c GROUP BY 1")
 def bridge(spark, sf_dir):
     nav, steps = _book(spark, sf_dir, 10.0)
     out = ac.pnl_bridge(nav, steps)
@@ -178,13 +178,18 @@ def interactions(spark, sf_dir):
     return rows.select("date", centred.alias("c")).select("date", F.round("c", 8).alias("main"), F.round(F.col("c") * F.col("c"), 7).alias("square"), F.round(F.col("c") * F.when(F.month("date") <= 6, 1).otherwise(-1), 8).alias("by_half"))
 
 
-@query("mod_14_ridge_of_two")
+@query(
+    "mod_14_ridge_of_two",
+    f"""{_SO}, q AS (SELECT score AS s, score * score AS q, x AS y FROM sh), c AS (SELECT AVG(s) AS ms, AVG(q) AS mq, AVG(y) AS my, COVAR_POP(s, s) * COUNT(*) + 1 AS ss, COVAR_POP(q, q) * COUNT(*) + 1 AS qq, COVAR_POP(s, q) * COUNT(*) AS sq, COVAR_POP(s, y) * COUNT(*) AS sy, COVAR_POP(q, y) * COUNT(*) AS qy FROM q),
+b AS (SELECT ms, mq, my, (sy * qq - qy * sq) / (ss * qq - sq * sq) AS bs, (qy * ss - sy * sq) / (ss * qq - sq * sq) AS bq FROM c)
+SELECT 'intercept' AS name, ROUND(my - bs * ms - bq * mq, 5) AS coefficient FROM b UNION ALL SELECT 'score', ROUND(bs, 5) FROM b UNION ALL SELECT 'square', ROUND(bq, 5) FROM b""",
+)
 def ridge_of_two(spark, sf_dir):
     """A ridge on two columns: one row of moments leaves Spark, the solution comes back."""
     rows = _so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL").withColumn("square", F.col("score") ** 2)
     names = ["score", "square"]
     found = mo.ridge_moments(rows, names, "x").first().asDict()
-    return spark.createDataFrame(list(zip(["intercept", *names], mo.solve_ridge(found, names, "x", 1.0), strict=True)), "name string, coefficient double")
+    return rounded(spark.createDataFrame(list(zip(["intercept", *names], mo.solve_ridge(found, names, "x", 1.0), strict=True)), "name string, coefficient double"), 5)
 
 
 @query(

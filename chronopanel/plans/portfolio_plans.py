@@ -212,7 +212,12 @@ def defence_states(spark, sf_dir):
     return po.defence_states(weekly)
 
 
-@query("sim_23_reentry_states")
+@query(
+    "sim_23_reentry_states",
+    f"""{VOL.replace('WITH', 'WITH RECURSIVE', 1)}, wk AS (SELECT ROW_NUMBER() OVER (ORDER BY idx) AS week, rv > 3.1 AS alert, close > before AS confirmed, rv < 2.8 AS calm FROM (SELECT *, LAG(close, 5) OVER (ORDER BY idx) AS before FROM v) AS q WHERE week_last AND rv IS NOT NULL),
+st AS (SELECT 0::BIGINT AS week, 'ARMED' AS state UNION ALL SELECT wk.week, CASE WHEN state = 'ARMED' AND alert THEN 'DEFENSE' WHEN state = 'DEFENSE' AND confirmed THEN 'RECOVERY' WHEN state = 'RECOVERY' AND alert THEN 'DEFENSE' WHEN state = 'RECOVERY' AND calm THEN 'ARMED' ELSE state END FROM st JOIN wk ON wk.week = st.week + 1)
+SELECT week::INT AS week, state FROM st WHERE week > 0""",
+)
 def reentry_states(spark, sf_dir):
     v = volatility(spark, sf_dir).withColumn("up", F.col("close") > F.lag("close", 5).over(Window.orderBy("idx"))).where("week_last AND rv IS NOT NULL")
     return po.reentry_states(v.select(F.row_number().over(Window.orderBy("idx")).alias("week"), (F.col("rv") > 3.1).alias("alert"), F.col("up").alias("confirmed"), (F.col("rv") < 2.8).alias("calm")))

@@ -19,7 +19,7 @@ from chronopanel.plans import registry as R
 from chronopanel.plans.factor_plans import _LONG, _long
 from chronopanel.plans.inference_plans import _DB, _SO, _database, _so
 from chronopanel.plans.pit_plans import INTERVALS, intervals
-from chronopanel.plans.portfolio_plans import rounded
+from chronopanel.plans.portfolio_plans import _bs, rounded
 from chronopanel.plans.regime_plans import _FC, _STATE, SERIES, VOL, series, states, volatility
 from chronopanel.plans.registry import query
 from chronopanel.sources import panel, store
@@ -63,7 +63,14 @@ def _grid(spark, sf_dir):
     return po.book_values(targets, spine, store.materialized(panel.market(spark, sf_dir)), 0.0, ["width"])
 
 
-@query("sim_36_path_grid")
+def _width(k: int) -> str:
+    """Ends of the path of the k best, for each cost."""
+    book = _bs("0.0").replace("0.4 AS weight FROM k WHERE n <= 2", f"0.9::DOUBLE / {k} AS weight FROM k WHERE n <= {k}")
+    paths = f"{book}, c AS (SELECT UNNEST([0.0, 10.0]::DOUBLE[]) AS cost_bps) SELECT cost_bps, idx, LN(nav) + SUM(LN(1 - cost_bps / 1e4 * COALESCE(turnover, 0.0))) OVER (PARTITION BY cost_bps ORDER BY idx ROWS UNBOUNDED PRECEDING) AS ln FROM nav CROSS JOIN c LEFT JOIN bs ON bs.r = idx"
+    return f"SELECT {k} AS width, cost_bps, COUNT(*) AS n, ROUND(ARG_MAX(ln, idx), 7) AS log_final FROM ({paths}) AS p GROUP BY cost_bps"
+
+
+@query("sim_36_path_grid", " UNION ALL ".join(map(_width, (1, 2, 3))))
 def grid(spark, sf_dir):
     nav, steps = _grid(spark, sf_dir)
     out = po.replay_linear_cost(nav, steps, [0.0, 10.0], ["width"])

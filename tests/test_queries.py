@@ -305,3 +305,43 @@ def test_joins_hold_to_their_cardinality(spark):
     assert ct.checked_join(two, one, ["k"], "n:1").count() == 2
     with pytest.raises(Exception, match="right: more than one row for 1"):
         ct.checked_join(one, two, ["k"], "1:1").collect()
+
+
+def test_logistic_fit_is_where_the_gradient_is_zero(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=300)
+    y = rng.random(300) < 1 / (1 + np.exp(-(0.4 - 1.3 * x)))
+    from chronopanel.operators import models as mo
+
+    rows = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, y, strict=True)] + [(None, True)], "x double, y boolean")
+    found = mo.logistic(rows, "x", "y").first()
+    p = 1 / (1 + np.exp(-(found.intercept + found.slope * x)))
+    assert found.n == 300 and abs((y - p).sum()) < 1e-6 and abs(((y - p) * x).sum()) < 1e-6
+
+
+def test_price_delay_against_two_fits(spark):
+    import numpy as np
+
+    from chronopanel.operators import market_factors as mf
+
+    rng = np.random.default_rng(4)
+    n = 70
+    first = datetime.date(2020, 1, 1)
+    market = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+    name = 50 * np.exp(np.cumsum(np.r_[0, 0.6 * np.diff(np.log(market))] + rng.normal(0, 0.01, n)))
+    days = [first + datetime.timedelta(7 * i) for i in range(n)]
+    m = spark.createDataFrame([(d, i, True, float(c)) for i, (d, c) in enumerate(zip(days, market, strict=True))], "date date, idx int, week_last boolean, close double")
+    s = spark.createDataFrame([(d, "A", i, True, float(c)) for i, (d, c) in enumerate(zip(days, name, strict=True))], "date date, sid string, idx int, week_last boolean, close double")
+    found = {r.date: r.delay for r in mf.price_delay(s, m).collect()}
+    x, y = market[1:] / market[:-1] - 1, name[1:] / name[:-1] - 1
+    for end in (50, 60, n - 1):
+        rows = [t for t in range(max(0, end - 51), end + 1) if t >= 5]
+        fits = []
+        for lags in (1, 5):
+            a = np.array([[1, *(x[t - 1 - k] for k in range(lags))] for t in rows])
+            b = np.array([y[t - 1] for t in rows])
+            rest = b - a @ np.linalg.solve(a.T @ a, a.T @ b)
+            fits.append(1 - (rest @ rest) / ((b - b.mean()) @ (b - b.mean())))
+        assert abs(found[days[end]] - (1 - fits[0] / fits[1])) < 1e-9

@@ -67,3 +67,9 @@ def without_orphan_copies(facts: DataFrame, ledger: DataFrame, keys: list[str])
     counted = marked.withColumn("n_known", F.sum(F.col("known").cast("int")).over(part))
     gone = ~F.col("known") & (F.col("n_known") == 1)
     return counted.where(~gone).drop("n_known"), counted.agg(F.sum(gone.cast("long")).alias("n_dropped"), F.sum((~F.col("known") & ~gone).cast("long")).alias("n_orphans_left"))
+
+
+def rekeyed(history: DataFrame, mappings: DataFrame) -> DataFrame:
+    """history (symbol, date, ...) with the sid to which its symbol belonged on the date; mappings: sid, symbol, effective_from, effective_to (half-open)."""
+    active = (F.col("effective_from") <= F.col("date")) & (F.col("effective_to").isNull() | (F.col("date") < F.col("effective_to")))
+    return history.join(mappings, "symbol").where(active).drop("effective_from", "effective_to")

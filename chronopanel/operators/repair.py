@@ -57,3 +57,15 @@ def gap_returns(spine: DataFrame, least_gap: int = 2) -> DataFrame:
     known = F.last(F.when(F.col("close").isNotNull(), F.struct("idx", "close")), True).over(over)
     rows = spine.withColumn("k", known).where("close IS NOT NULL AND k IS NOT NULL").withColumn("gap", F.col("idx") - F.col("k.idx"))
     return rows.where(F.col("gap") >= least_gap).select("sid", "idx", "gap", F.try_divide("close", "k.close").alias("ratio")).select("sid", "idx", "gap", (F.col("ratio") - 1).alias("gap_return"))
+
+
+def identities(sources: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(source_sid, canonical_sid, status): the override's sid, or the source's own."""
+    met = sources.join(overrides.select("source_sid", F.col("canonical_sid").alias("fixed")), "source_sid", "left")
+    return met.select("source_sid", F.coalesce("fixed", "source_sid").alias("canonical_sid"), F.when(F.col("fixed").isNotNull(), "override").otherwise("own").alias("status"))
+
+
+def ordered_donors(pairs: DataFrame) -> DataFrame:
+    """(sid, donors): the few donors of each name in order of priority, joined by bars."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("priority", "donor"))), lambda x: x["donor"])
+    return pairs.groupBy("sid").agg(F.array_join(ordered, "|").alias("donors"))

@@ -100,3 +100,38 @@ def metric_identity(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Seq
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by the order."""
     return df.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place_ = 1").drop("place_")
+
+
+def calendar_faults(calendar: DataFrame, flags: list[str]) -> DataFrame:
+    """(fault, n): sessions that stand more than once, and flags that are null."""
+    repeated = calendar.groupBy("date").agg(F.count("*").alias("n")).where("n > 1").agg(F.lit("repeated").alias("fault"), F.count("*").alias("n"))
+    for c in flags:
+        repeated = repeated.unionByName(calendar.agg(F.lit(f"null:{c}").alias("fault"), F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias("n")))
+    return repeated
+
+
+def benchmark_faults(rows: DataFrame, calendar: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(date, fault) of a benchmark that may name its close either way: both or neither given, repeated, or no session."""
+    a, b = (F.col(c).isNotNull() for c in names)
+    counted = rows.withColumn("n_", F.count("*").over(Window.partitionBy("date"))).join(F.broadcast(calendar.select("date", F.lit(True).alias("open_"))), "date", "left")
+    fault = F.when(a & b, "both_closes").when(~a & ~b, "no_close").when(F.col("n_") > 1, "repeated").when(F.col("open_").isNull(), "no_session")
+    return counted.select("date", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def missing_execution_prices(targets: DataFrame, spine: DataFrame) -> DataFrame:
+    """(execution_idx, sid) of targets without an open on their execution session."""
+    opens = spine.select("sid", F.col("idx").alias("execution_idx"), "open").where("open > 0")
+    return targets.select("execution_idx", "sid").join(opens, ["execution_idx", "sid"], "left_anti")
+
+
+def mapping_faults(mappings: DataFrame, start: str, end: str) -> DataFrame:
+    """(sid, symbol, fault) of mappings (sid, symbol, effective_from, effective_to) within a range: empty in it, of several symbols for a sid, or a symbol of several sids."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    clipped = mappings.withColumn("a_", F.greatest("effective_from", first)).withColumn("z_", F.least(F.coalesce("effective_to", last), last))
+    inside = clipped.withColumn("out_", F.col("a_") >= F.col("z_"))
+    kept = inside.where("NOT out_")
+    by_sid = kept.groupBy("sid").agg(F.countDistinct("symbol").alias("n_symbols"))
+    by_symbol = kept.groupBy("symbol").agg(F.countDistinct("sid").alias("n_sids"))
+    met = inside.join(by_sid, "sid", "left").join(by_symbol, "symbol", "left")
+    fault = F.when(F.col("out_"), "outside").when(F.col("n_symbols") > 1, "several_symbols").when(F.col("n_sids") > 1, "symbol_reused")
+    return met.select("sid", "symbol", fault.alias("fault")).where("fault IS NOT NULL")

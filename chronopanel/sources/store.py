@@ -87,3 +87,9 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{at.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hashed_rows(rows: DataFrame, columns: Sequence[str], snapshot: str, hour: int) -> DataFrame:
+    """(date, available_at, record_hash): when each session's row is known, and a hash of what it says, with the snapshot that it is of."""
+    said = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(snapshot))
+    return rows.select("date", F.timestamp_add("HOUR", F.lit(hour), F.col("date").cast("timestamp")).alias("available_at"), F.sha2(said, 256).alias("record_hash"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _SLICE = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLES: dict[str, np.ndarray] = {}

@@ -95,4 +95,72 @@ SELECT doc_id, octet_length(raw)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n
 FROM texts LEFT JOIN lists USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10}
+OP11 = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+low AS (SELECT t, min(doc_id) AS low FROM texts GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > low, false)] AS fails
+  FROM texts JOIN low USING (t) LEFT JOIN marks USING (doc_id)
+),
+counted AS (SELECT part, fails, good, toxic, count(*) AS n FROM masked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, list_transform(['A', 'B', 'C', 'D', 'E'], lambda x: instr(filter_order, x)) AS place FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+seen AS (
+  SELECT part, filter_order, step, n, good, toxic, substr(filter_order, step, 1) AS f,
+    list_bool_or(list_transform(range(1, 6), lambda i: fails[i] AND place[i] < step)) AS gone,
+    fails[list_position(place, step)] AS failed, len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM counted, steps
+),
+made AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER (WHERE NOT gone AND NOT failed) AS kept, sum(n) FILTER (WHERE NOT gone AND failed) AS removed, sum(n) FILTER (WHERE gone AND failed) AS redundant,
+    sum(n) FILTER (WHERE failed AND n_fails = 1) AS unique_fails, sum(n) FILTER (WHERE NOT gone AND failed AND good) AS good_lost, sum(n) FILTER (WHERE NOT gone AND failed AND toxic) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM made
+"""
+
+OP12 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce('s' || source, '') AS tree, text,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS said,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, tree, sha256(said || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 5 = 0 AND text IS NOT NULL THEN sha256(said || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS changed
+  FROM texts
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, rank, n, leaf FROM ranked
+  UNION ALL SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 16, n
+),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, idx, n, digest) AS (
+  SELECT 0, rank, n, digest FROM subroots
+  UNION ALL SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 16, n
+),
+sides AS (
+  SELECT tree, level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS "left", coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS "right"
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, idx // 16 ORDER BY idx)
+), top_sides AS (
+  SELECT level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS "left", coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS "right"
+  FROM tops WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 16 ORDER BY idx)
+),
+upper AS (SELECT tree, any_value(s.digest) AS subroot, list({'left': "left", 'cur': '', 'right': "right"} ORDER BY level) FILTER (WHERE level IS NOT NULL) AS above FROM subroots s LEFT JOIN top_sides t ON t.idx = s.rank // (16 ** t.level)::BIGINT GROUP BY tree),
+lower AS (SELECT r.tree, r.rank, list({'left': "left", 'cur': '', 'right': "right"} ORDER BY level) FILTER (WHERE level IS NOT NULL) AS above FROM ranked r LEFT JOIN sides s ON s.tree = r.tree AND s.idx = r.rank // (16 ** s.level)::BIGINT GROUP BY r.tree, r.rank),
+paths AS (SELECT r.*, subroot, coalesce(l.above, []) || coalesce(u.above, []) AS above FROM ranked r JOIN lower l USING (tree, rank) JOIN upper u USING (tree)),
+folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(array_to_string(list_transform(above, lambda x: x['left'] || x['right']), '')) AS proof_sha256,
+    list_reduce(above, lambda x, y: {'left': '', 'cur': sha256(y['left'] || x['cur'] || y['right']), 'right': ''}, {'left': '', 'cur': coalesce(changed, leaf), 'right': ''})['cur'] AS folded_root
+  FROM paths
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": OP2, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op5_near_duplicates": OP5, "op8_suffix_dedup": OP8, "op10_line_rules": OP10, "op11_filter_audit": OP11, "op12_merkle_manifest": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import chat_format, decontaminate, html_extract, line_rules, lm_score, near_dedup, packing, quality_lines, substring_dedup, suffix_dedup
+from chronopanel.llm import best_fit, chat_format, decontaminate, filter_audit, html_extract, line_rules, lm_score, merkle, near_dedup, packing, quality_lines, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,19 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(rules[c].alias(c) for c in line_rules.COUNTS), failed.alias("base_failed"), kept.alias("kept"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=F.when(_of_remainder(0), F.translate("text", letters.upper(), letters)))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_format": op2_chat_format,
@@ -106,4 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_line_rules": op10_line_rules,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_best_fit": op13_best_fit,
 }

@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators.fundamentals import unit_matches
+
 
 def unique_on(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """df; the job fails with a message where two rows share their keys. Rows are dealt by the keys, as a join on them deals them too."""
-    n = F.count("*").over(Window.partitionBy(*keys))
+    """df; the job fails with a message where two rows share their keys. Rows with a null among their keys share them with none, as no join lets them meet.
+
+    Rows are dealt by the keys, as a join on them deals them too.
+    """
+    whole = F.when(F.concat(*(F.col(k).isNotNull().cast("string") for k in keys)).contains("false"), None).otherwise(1)
+    n = F.count(whole).over(Window.partitionBy(*keys))
     at = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in keys))
     fault = F.raise_error(F.concat(F.lit(f"{what}: more than one row for "), at))
     return df.withColumn("n_", n).where(F.when(F.col("n_") > 1, fault.cast("boolean")).otherwise(F.lit(True))).drop("n_")
@@ -57,10 +63,14 @@ def source_panel(rows: DataFrame, source: str, signals: DataFrame) -> DataFrame:
 
 
 def tagged_facts(facts: DataFrame, tags: DataFrame, shortest: int = 300, longest: int = 430) -> DataFrame:
-    """Facts with each metric of their tag, n:m; durations must be a year long, instants have none. tags: tag, metric_id, period_type; a stated set."""
-    days = F.datediff("period_end", "period_start") + 1
-    met = facts.join(F.broadcast(tags), "tag").withColumn("duration_days", days)
-    return met.where(F.when(F.col("period_type") == "instant", F.col("period_start").isNull()).otherwise(days.between(shortest, longest)))
+    """Facts with each metric of their tag, n:m; durations must be a year long, instants have none; values must be finite, units of the metric's family.
+
+    A duration's days are those between its ends. tags: tag, metric_id, period_type, unit_family; a stated set.
+    """
+    met = facts.join(F.broadcast(tags), "tag").withColumn("duration_days", F.datediff("period_end", "period_start"))
+    period = F.when(F.col("period_type") == "instant", F.col("period_start").isNull()).otherwise(F.col("duration_days").between(shortest, longest))
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")) & F.col("period_end").isNotNull()
+    return met.where(period & finite & unit_matches(F.col("unit"), F.col("unit_family")))
 
 
 def with_filing(facts: DataFrame, filings: DataFrame) -> DataFrame:

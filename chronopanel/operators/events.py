@@ -64,11 +64,14 @@ def metric_deltas(metrics: DataFrame, parents: DataFrame, keys: Sequence[str], n
 
 
 def path_differences(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, n_only_a, n_only_b, max_difference, is_same) of two paths (keys, idx, nav): the same index, and values within the tolerance."""
+    """(keys, n, n_only_a, n_only_b, max_difference, is_same) of two paths (keys, idx, nav): the same index, and values within the tolerance.
+
+    Differences are parts of the larger of the two values, so that a path that has grown far is held to no finer than its own digits; two zeros don't differ.
+    """
     both = a.select(*keys, "idx", F.col("nav").alias("a")).join(b.select(*keys, "idx", F.col("nav").alias("b")), [*keys, "idx"], "full")
     count = lambda c: F.sum(c.cast("long"))
-    made = both.groupBy(*keys).agg(F.count("*").alias("n"), count(F.col("b").isNull()).alias("n_only_a"), count(F.col("a").isNull()).alias("n_only_b"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_difference"))
-    return made.withColumn("is_same", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0) & (F.col("max_difference") <= tolerance))
+    made = both.groupBy(*keys).agg(F.count("*").alias("n"), count(F.col("b").isNull()).alias("n_only_a"), count(F.col("a").isNull()).alias("n_only_b"), F.max(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.abs(F.col("a") - F.col("b")) / F.greatest(F.abs("a"), F.abs("b")))).alias("max_difference"))
+    return made.withColumn("is_same", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0) & (F.coalesce("max_difference", F.lit(0.0)) <= tolerance))
 
 
 def monthly_refits(calendar: DataFrame, horizon: int, least: int) -> DataFrame:

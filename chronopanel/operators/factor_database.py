@@ -55,6 +55,12 @@ def faults(database: DataFrame) -> DataFrame:
     return counts.unpivot([], list(kinds), "fault", "n")
 
 
+def different_past(a: DataFrame, b: DataFrame, cutoff: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The keys up to the cutoff at which two databases don't agree, or that one of them hasn't."""
+    past = lambda df, k: df.where(F.col("signal_date") <= F.to_date(F.lit(cutoff))).select(*keys, F.struct(*values).alias(k))
+    return past(a, "va").join(past(b, "vb"), list(keys), "full").where(~F.col("va").eqNullSafe(F.col("vb"))).select(*keys)
+
+
 def same_past(a: DataFrame, b: DataFrame, cutoff: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """(n_a, n_b, n_different): whether two databases agree on all signal dates up to the cutoff."""
     past = lambda df, k: df.where(F.col("signal_date") <= F.to_date(F.lit(cutoff))).select(*keys, F.struct(*values).alias(k))

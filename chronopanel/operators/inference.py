@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import columns as C
+from chronopanel.operators import order_statistics as od
 from chronopanel.sources import store
 
 
 def auc(rows: DataFrame, score: str, outcome: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n, n_positive, auc) by average ranks."""
-    have = rows.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).select(*keys, F.col(outcome).cast("int").alias("y"), C.average_rank(F.col(score), keys).alias("rank"))
-    n1, n = F.sum("y"), F.count("*")
-    return have.groupBy(*keys).agg(n.alias("n"), n1.alias("n_positive"), F.try_divide(F.sum(F.col("rank") * F.col("y")) - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias("auc"))
+    return od.area_under_curve(rows, score, outcome, keys)
 
 
 def average_precision(rows: DataFrame, score: str, outcome: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,8 +30,8 @@ def average_precision(rows: DataFrame, score: str, outcome: str, tie: str, keys:
 
 
 def spearman(rows: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    have = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, C.average_rank(F.col(a), keys).alias("ra"), C.average_rank(F.col(b), keys).alias("rb"))
-    return have.groupBy(*keys).agg(F.count("*").alias("n"), C.finite(F.corr("ra", "rb")).alias("spearman"))
+    """(keys, n, spearman): correlation of average ranks."""
+    return od.spearman(rows, a, b, keys)
 
 
 def calibration(rows: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFrame:
@@ -149,9 +148,12 @@ def bootstrap_rank_correlation(series: DataFrame, x: str, y: str, replicates: in
     return ranked.groupBy("replicate").agg(F.corr("a", "b").alias("value"))
 
 
-def state_contrast(rows: DataFrame, score: Column, outcome: str, lags: int, least: int = 60, least_t: float = 1.96) -> DataFrame:
-    """(n, contrast, standard_error, t, passes): the outcome in the upper third of the score over that in the lower, with robust errors; passes with enough rows and t. rows: one series, idx."""
-    third = rows.withColumn("third", F.ntile(3).over(Window.orderBy(score))).where("third <> 2")
+def state_contrast(rows: DataFrame, score: str, outcome: str, lags: int, least: int = 60, least_t: float = 1.96) -> DataFrame:
+    """(n, contrast, standard_error, t, passes): the outcome in the upper third of the score over that in the lower, with robust errors; passes with enough rows and t.
+
+    rows: one series, idx. Equal scores go to thirds by idx, the earlier one first.
+    """
+    third = od.with_tile(rows, [score, "idx"], 3, "third").where("third <> 2")
     out = robust_slope(third.withColumn("is_high", (F.col("third") == 3).cast("double")), outcome, "is_high", lags)
     passes = (F.col("n") >= least) & (F.abs("t") > least_t)
     return out.select("n", F.col("slope").alias("contrast"), "standard_error", "t", passes.alias("passes"))

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import columns as C
+from chronopanel.operators import order_statistics as od
 
 
 def train_limits(rows: DataFrame, names: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: low, high, median, mean and deviation of each column after cutting at low and high, all from training rows."""
-    cuts = rows.where("is_train").agg(*(F.percentile(n, F.lit(p)).alias(f"{n}_{k}") for n in names for k, p in (("low", low), ("mid", 0.5), ("high", high))))
+    cuts = od.quantiles(rows.where("is_train"), names, {"low": low, "mid": 0.5, "high": high})
     filled = rows.where("is_train").crossJoin(F.broadcast(cuts)).select(*(F.greatest(F.least(F.coalesce(n, f"{n}_mid"), f"{n}_high"), f"{n}_low").alias(n) for n in names))
     spread = filled.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("dev", F.stddev_samp))))
     return cuts.crossJoin(spread)

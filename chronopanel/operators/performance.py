@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import columns as C
+from chronopanel.operators import order_statistics as od
 
 
 def _drawdowns(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -139,19 +142,17 @@ def ic_summary(ic: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ic.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n_dates"), F.percentile("ic", F.lit(0.5)).alias("median_ic"), F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"))
 
 
-def quantile_groups(x: Column, n: int) -> Column:
-    """1 to n by linear quantiles of the whole column, right-closed; use over an ungrouped window of one series."""
-    everything = Window.partitionBy()
-    level = F.lit(1)
-    for k in range(1, n):
-        level = level + F.when(x > F.percentile(x, F.lit(k / n)).over(everything), 1).otherwise(0)
-    return F.when(x.isNotNull(), level)
+def with_quantile_group(rows: DataFrame, value: str, n: int, name: str) -> DataFrame:
+    """rows with 1 to n by linear quantiles of the whole column, right-closed; null where there is no value."""
+    cuts = od.quantiles(rows, [value], {f"q{k}": k / n for k in range(1, n)})
+    group = reduce(add, (F.when(F.col(value) > F.col(f"{value}_q{k}"), 1).otherwise(0) for k in range(1, n)), F.lit(1))
+    return rows.crossJoin(F.broadcast(cuts)).select(*rows.columns, F.when(F.col(value).isNotNull(), group).alias(name))
 
 
 def alert_quality(panel: DataFrame, score: str, outcome: str, share: float = 0.75) -> DataFrame:
     """(n, n_alerts, precision, recall, lift) of scores above their quantile against a boolean outcome."""
     rows = panel.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
-    cut = rows.agg(F.percentile(score, F.lit(share)).alias("cut"))
+    cut = od.quantiles(rows, [score], {"cut": share}).withColumnRenamed(f"{score}_cut", "cut")
     rows = rows.crossJoin(F.broadcast(cut)).select((F.col(score) > F.col("cut")).alias("a"), F.col(outcome).alias("y"))
     hit = F.sum((F.col("a") & F.col("y")).cast("long"))
     alerts, events = F.sum(F.col("a").cast("long")), F.sum(F.col("y").cast("long"))

@@ -10,6 +10,7 @@ from chronopanel.operators import actions as ac
 from chronopanel.operators import calendar as cal
 from chronopanel.operators import factor_database as db
 from chronopanel.operators import models as mo
+from chronopanel.operators import order_statistics as od
 from chronopanel.operators import performance as pf
 from chronopanel.plans import registry as R
 from chronopanel.plans.factor_plans import _LONG, _long
@@ -84,6 +85,25 @@ def action_sessions(spark, sf_dir):
     return ac.session_faults(acts, days)
 
 
+_AHEAD = "CASE WHEN factor_id = 'reversal_21' THEN LEAD(score) OVER (PARTITION BY sid, factor_id ORDER BY date) ELSE score END"
+
+
+@query("val_23_lookahead_found", f"{_LONG}, d AS (SELECT factor_id, COUNT(*) AS n_different FROM (SELECT s.date, s.sid, s.factor_id, s.b, c.a FROM (SELECT date, sid, factor_id, {_AHEAD} AS b FROM long) AS s JOIN (SELECT date, sid, factor_id, {_AHEAD} AS a FROM (SELECT date, sid, factor_id, CASE WHEN date > DATE '1998-06-30' THEN score + 1 ELSE score END AS score FROM long)) AS c USING (date, sid, factor_id) WHERE date <= DATE '1998-06-30' AND a IS DISTINCT FROM b) GROUP BY 1) SELECT factor_id, n_different FROM d")
+def lookahead_found(spark, sf_dir):
+    """A factor that takes the next signal's value is found out when what comes after a date is changed; the others aren't named."""
+    from pyspark.sql import Window
+
+    from chronopanel.plans.factor_plans import _long
+
+    def leaky(rows):
+        ahead = F.lead("score").over(Window.partitionBy("sid", "factor_id").orderBy("signal_date"))
+        return rows.withColumn("score", F.when(F.col("factor_id") == "reversal_21", ahead).otherwise(F.col("score")))
+
+    rows = _long(spark, sf_dir).select(F.col("date").alias("signal_date"), "sid", "factor_id", "score")
+    changed = rows.withColumn("score", F.when(F.col("signal_date") > "1998-06-30", F.col("score") + 1).otherwise(F.col("score")))
+    return db.different_past(leaky(rows), leaky(changed), "1998-06-30", ["signal_date", "sid", "factor_id"], ["score"]).groupBy("factor_id").agg(F.count("*").alias("n_different"))
+
+
 @query("val_23_causality_audit", f"{_LONG} SELECT COUNT(*) AS n_a, COUNT(*) AS n_b, 0::BIGINT AS n_different FROM long WHERE date <= DATE '1998-06-30'")
 def causality(spark, sf_dir):
     """Factors of prices that are cut off after a date, and the rest doubled, against those of all prices, up to that date."""
@@ -130,9 +150,10 @@ def state_grid(spark, sf_dir):
 )
 def top_and_rest(spark, sf_dir):
     rows = _so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL")
-    cut = rows.agg(F.percentile("score", F.lit(0.75)).alias("cut"))
-    parts = rows.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("score") > F.col("cut"), "top").otherwise("rest"))
-    return rounded(parts.groupBy("part").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.avg(F.col("y").cast("double")).alias("hit_rate")))
+    cut = od.quantiles(rows, ["score"], {"cut": 0.75})
+    parts = rows.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("score") > F.col("score_cut"), "top").otherwise("rest"))
+    means = parts.groupBy("part").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("y").cast("double")).alias("hit_rate"))
+    return rounded(means.join(od.quantiles(parts, ["x"], {"median": 0.5}, ["part"]).withColumnRenamed("x_median", "median"), "part"))
 
 
 @query(
@@ -141,19 +162,15 @@ def top_and_rest(spark, sf_dir):
 )
 def quintiles(spark, sf_dir):
     rows = _so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL")
-    return rounded(rows.withColumn("quintile", pf.quantile_groups(F.col("score"), 5)).groupBy("quintile").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
+    return rounded(pf.with_quantile_group(rows, "score", 5, "quintile").groupBy("quintile").agg(F.count("*").alias("n"), F.avg("x").alias("mean")))
 
 
 @query(
     "agg_54_pooled_rank_correlation",
-    f"{_LONG}, p AS (SELECT a.factor_id AS a, b.factor_id AS b, a.date, a.sid, a.score AS x, b.score AS y FROM long a JOIN long b USING (date, sid) WHERE a.factor_id < b.factor_id AND a.score IS NOT NULL AND b.score IS NOT NULL), k AS (SELECT a, b, {R.avg_rank('x', 'a, b')} AS rx, {R.avg_rank('y', 'a, b')} AS ry FROM p) SELECT a, b, COUNT(*) AS n, CASE WHEN NOT isnan(CORR(rx, ry)) THEN ROUND(CORR(rx, ry), 8) END AS spearman FROM k GROUP BY a, b",
+    f"{_LONG}, p AS (SELECT a.factor_id AS a, b.factor_id AS b, a.date, a.sid, a.score AS x, b.score AS y FROM long a JOIN long b USING (date, sid) WHERE a.factor_id < b.factor_id AND a.score IS NOT NULL AND b.score IS NOT NULL), k AS (SELECT a, b, {R.avg_rank('x', 'a, b')} AS rx, {R.avg_rank('y', 'a, b')} AS ry FROM p) SELECT a, b, COUNT(*) AS n, CASE WHEN COUNT(*) >= 100 AND NOT isnan(CORR(rx, ry)) THEN ROUND(CORR(rx, ry), 8) END AS spearman FROM k GROUP BY a, b",
 )
 def pooled(spark, sf_dir):
-    from chronopanel.operators import inference as inf
-
-    long = _long(spark, sf_dir).where("score IS NOT NULL")
-    mine = lambda k, v: long.select("date", "sid", F.col("factor_id").alias(k), F.col("score").alias(v))
-    return rounded(inf.spearman(mine("a", "x").join(mine("b", "y"), ["date", "sid"]).where("a < b"), "x", "y", ["a", "b"]))
+    return rounded(od.pairwise_spearman(_long(spark, sf_dir), "factor_id", "score", ["date", "sid"], 100))
 
 
 @query(

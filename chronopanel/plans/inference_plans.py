@@ -265,18 +265,32 @@ def reasons(spark, sf_dir):
     return rounded(db.missing_reason_summary(_database(spark, sf_dir)))
 
 
-@query("val_09_database_faults", f"{_DB} SELECT UNNEST(['repeated_key', 'eligible_without_score', 'missing_without_reason', 'wrong_rank']) AS fault, 0::BIGINT AS n")
-def database_faults(spark, sf_dir):
-    rows = _database(spark, sf_dir)
+#: Faults by name and month: scores taken away from eligible rows, reasons from missing ones, ranks that are one too high, rows that stand twice.
+_FAULTY = f"""{_LONG}, nm AS (SELECT date AS signal_date, factor_id, sid, score, CAST(right(sid, 2) AS INT) AS k, CAST(MONTH(date) AS INT) AS m FROM long), rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY signal_date, factor_id ORDER BY score DESC NULLS LAST, sid) AS rank FROM nm),
+ft AS (SELECT signal_date, factor_id, sid, CASE WHEN (k + m) % 11 = 0 THEN NULL ELSE score END AS score, score IS NOT NULL AS eligible, CASE WHEN score IS NULL AND (k + m) % 7 <> 0 THEN 'insufficient_history' END AS missing_reason, CASE WHEN score IS NOT NULL THEN rank + (k % 12 = 3)::INT END AS rank, k, m FROM rk),
+tw AS (SELECT * FROM ft UNION ALL SELECT * FROM ft WHERE k = 11 AND m = 5), ex AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY signal_date, factor_id ORDER BY score DESC NULLS LAST, sid) AS expected, COUNT(*) OVER (PARTITION BY signal_date, sid, factor_id) AS again FROM tw)"""
+
+
+def _faulty(spark, sf_dir):
+    rows = _database(spark, sf_dir).withColumns({"k": F.substring("sid", -2, 2).cast("int"), "m": F.month("signal_date")})
     part = Window.partitionBy("signal_date", "factor_id").orderBy(F.col("score").desc_nulls_last(), "sid")
-    return db.faults(rows.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(part))))
+    rows = rows.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(part) + (F.col("k") % 12 == 3).cast("int")))
+    rows = rows.withColumn("missing_reason", F.when((F.col("k") + F.col("m")) % 7 != 0, F.col("missing_reason"))).withColumn("score", F.when((F.col("k") + F.col("m")) % 11 != 0, F.col("score")))
+    return rows.unionByName(rows.where("k = 11 AND m = 5"))
+
+
+@query("val_09_database_faults", f"{_FAULTY} SELECT 'repeated_key' AS fault, SUM((again > 1)::INT)::BIGINT AS n FROM ex UNION ALL SELECT 'eligible_without_score', SUM((eligible AND score IS NULL)::INT)::BIGINT FROM ex UNION ALL SELECT 'missing_without_reason', SUM((NOT eligible AND missing_reason IS NULL)::INT)::BIGINT FROM ex UNION ALL SELECT 'wrong_rank', SUM((eligible AND rank <> expected)::INT)::BIGINT FROM ex")
+def database_faults(spark, sf_dir):
+    return db.faults(_faulty(spark, sf_dir))
 
 
-@query("val_10_same_past", f"{_DB}, p AS (SELECT COUNT(*) AS n FROM fd WHERE signal_date <= DATE '1998-06-30') SELECT n AS n_a, n AS n_b, 0::BIGINT AS n_different FROM p")
+@query("val_10_same_past", f"{_LONG}, a AS (SELECT date, sid, factor_id, score FROM long WHERE date <= DATE '1998-06-30'), b AS (SELECT date, sid, factor_id, CASE WHEN date >= DATE '1998-06-01' AND sid < 'Brand#3' THEN score * 2 ELSE score END AS score FROM a WHERE NOT (MONTH(date) = 2 AND sid > 'Brand#5')) SELECT COUNT(a.date) AS n_a, COUNT(b.date) AS n_b, SUM((b.date IS NULL OR a.score IS DISTINCT FROM b.score)::INT)::BIGINT AS n_different FROM a LEFT JOIN b USING (date, sid, factor_id)")
 def same_past(spark, sf_dir):
-    """The database with all prices of the last years cut off has the same past."""
+    """The database against one in which the last month before the cutoff, and all after it, is doubled for some names, and some names' Februaries are lost."""
     a = _database(spark, sf_dir)
-    return db.same_past(a, a.where("signal_date <= DATE '1999-12-31'"), "1998-06-30", ["signal_date", "sid", "factor_id"], ["score", "eligible"])
+    changed = a.withColumn("score", F.when((F.col("signal_date") >= "1998-06-01") & (F.col("sid") < "Brand#3"), F.col("score") * 2).otherwise(F.col("score")))
+    b = changed.where(~((F.month("signal_date") == 2) & (F.col("sid") > "Brand#5")))
+    return db.same_past(a, b, "1998-06-30", ["signal_date", "sid", "factor_id"], ["score", "eligible"])
 
 
 # ---- names

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators import contracts as ct
 from chronopanel.operators import inference as inf
+from chronopanel.operators import order_statistics as od
 from chronopanel.operators import summaries as sm
 from chronopanel.plans import registry as R
 from chronopanel.plans.inference_plans import _SO, _draws, _places, _so
@@ -173,18 +174,18 @@ def source_panel(spark, sf_dir):
     return ct.source_panel(rows, "orders", rows.where("DAY(signal_date) = 1").select("signal_date"))
 
 
-_TAGGED = "fc AS (SELECT o_orderkey AS accession, 'T' || (o_orderkey % 6) AS tag, CAST(o_orderdate AS DATE) AS period_end, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(CAST(o_orderdate AS DATE) - (250 + (o_orderkey % 250))::INT AS DATE) END AS period_start, o_totalprice AS value FROM orders)"
+_TAGGED = "fc AS (SELECT o_orderkey AS accession, 'T' || (o_orderkey % 6) AS tag, CAST(o_orderdate AS DATE) AS period_end, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(CAST(o_orderdate AS DATE) - (250 + (o_orderkey % 250))::INT AS DATE) END AS period_start, CASE WHEN o_orderkey % 13 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS value, CASE WHEN o_orderkey % 11 = 0 THEN 'EUR' WHEN o_orderkey % 6 = 2 THEN ' share ' ELSE 'usd' END AS unit FROM orders)"
 
 
 def _tagged(spark, sf_dir):
     o, k = panel.table(spark, sf_dir, "orders"), F.col("o_orderkey")
     end = F.to_date("o_orderdate")
-    return o.select(k.alias("accession"), F.concat(F.lit("T"), (k % 6).cast("string")).alias("tag"), end.alias("period_end"), F.when(k % 6 != 0, F.date_sub(end, (250 + k % 250).cast("int"))).alias("period_start"), F.col("o_totalprice").alias("value"))
+    return o.select(k.alias("accession"), F.concat(F.lit("T"), (k % 6).cast("string")).alias("tag"), end.alias("period_end"), F.when(k % 6 != 0, F.date_sub(end, (250 + k % 250).cast("int"))).alias("period_start"), F.when(k % 13 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("value"), F.when(k % 11 == 0, "EUR").when(k % 6 == 2, " share ").otherwise("usd").alias("unit"))
 
 
-@query("jon_03_tagged_facts", f"WITH {_TAGGED}, tg AS (SELECT * FROM (VALUES ('T0', 'assets', 'instant'), ('T1', 'revenue', 'duration'), ('T1', 'sales', 'duration'), ('T2', 'cost', 'duration'), ('T9', 'none', 'instant')) AS t(tag, metric_id, period_type)) SELECT accession, metric_id, value, date_diff('day', period_start, period_end) + 1 AS duration_days FROM fc JOIN tg USING (tag) WHERE CASE WHEN period_type = 'instant' THEN period_start IS NULL ELSE date_diff('day', period_start, period_end) + 1 BETWEEN 300 AND 430 END")
+@query("jon_03_tagged_facts", f"WITH {_TAGGED}, tg AS (SELECT * FROM (VALUES ('T0', 'assets', 'instant', 'USD'), ('T1', 'revenue', 'duration', 'USD'), ('T1', 'sales', 'duration', 'EUR'), ('T2', 'cost', 'duration', 'SHARES'), ('T9', 'none', 'instant', 'USD')) AS t(tag, metric_id, period_type, unit_family)) SELECT accession, metric_id, value, date_diff('day', period_start, period_end) AS duration_days FROM fc JOIN tg USING (tag) WHERE CASE WHEN period_type = 'instant' THEN period_start IS NULL ELSE date_diff('day', period_start, period_end) BETWEEN 300 AND 430 END AND NOT isnan(value) AND CASE WHEN unit_family = 'SHARES' THEN UPPER(trim(unit)) IN ('SHARE', 'SHARES') ELSE UPPER(trim(unit)) = unit_family END")
 def tagged_facts(spark, sf_dir):
-    tags = spark.createDataFrame([("T0", "assets", "instant"), ("T1", "revenue", "duration"), ("T1", "sales", "duration"), ("T2", "cost", "duration"), ("T9", "none", "instant")], "tag string, metric_id string, period_type string")
+    tags = spark.createDataFrame([("T0", "assets", "instant", "USD"), ("T1", "revenue", "duration", "USD"), ("T1", "sales", "duration", "EUR"), ("T2", "cost", "duration", "SHARES"), ("T9", "none", "instant", "USD")], "tag string, metric_id string, period_type string, unit_family string")
     return ct.tagged_facts(_tagged(spark, sf_dir), tags).select("accession", "metric_id", "value", "duration_days")
 
 
@@ -245,7 +246,7 @@ _HIGH = _draws(20, 100, True).replace("score, x FROM sh)", "score, x, score > (S
 
 def _marked(spark, sf_dir):
     rows = _places(spark, sf_dir)
-    middle = rows.agg(F.percentile("score", F.lit(0.5)).alias("middle"))
+    middle = od.quantiles(rows, ["score"], {"middle": 0.5}).withColumnRenamed("score_middle", "middle")
     return rows.crossJoin(F.broadcast(middle)).withColumn("high", F.col("score") > F.col("middle")).withColumn("up", F.col("x") > 0).drop("middle")
 
 
@@ -281,7 +282,7 @@ e AS (SELECT COUNT(*) AS n, MAX(s) AS slope, SQRT(SUM(u * u) + {' + '.join(f'2 *
 
 @query("sta_20_state_contrast", f"{_TERCILE}, {_HAC} SELECT n, ROUND(slope, 8) AS contrast, ROUND(se, 8) AS standard_error, ROUND(slope / se, 6) AS t, n >= 60 AND ABS(slope / se) > 1.96 AS passes FROM e")
 def state_contrast(spark, sf_dir):
-    out = inf.state_contrast(_so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL"), F.struct("score", "idx"), "x", 5)
+    out = inf.state_contrast(_so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL"), "score", "x", 5)
     return out.select("n", F.round("contrast", 8).alias("contrast"), F.round("standard_error", 8).alias("standard_error"), F.round("t", 6).alias("t"), "passes")
 
 
@@ -290,7 +291,7 @@ u AS (SELECT idx, s * y / k AS part, s * (y - m) / k AS u FROM ce), l AS (SELECT
 e AS (SELECT COUNT(*) AS n, SUM(part) AS did, SQRT(SUM(u * u) + {' + '.join(f'2 * (1 - {k} / 6.0) * COALESCE(SUM(u * u{k}), 0.0)' for k in range(1, 6))}) AS se FROM l) SELECT n, ROUND(did, 8) AS did, ROUND(se, 8) AS standard_error, ROUND(did / se, 6) AS t FROM e""")
 def interaction(spark, sf_dir):
     rows = _so(spark, sf_dir).where("score IS NOT NULL AND x IS NOT NULL")
-    middle = rows.agg(F.percentile("score", F.lit(0.5)).alias("middle"))
+    middle = od.quantiles(rows, ["score"], {"middle": 0.5}).withColumnRenamed("score_middle", "middle")
     rows = rows.crossJoin(F.broadcast(middle)).withColumn("a", F.col("score") > F.col("middle")).withColumn("b", F.month("date") <= 6)
     out = inf.interaction(rows, "x", "a", "b", 5)
     return out.select("n", F.round("did", 8).alias("did"), F.round("standard_error", 8).alias("standard_error"), F.round("t", 6).alias("t"))

@@ -12,8 +12,7 @@ A gap that may take many documents would need as many rounds. Documents below a
 average, less in each round) are therefore swept in bundles of neighbours of about its size; a bundle is matched as one, and if it isn't, its
 documents are free again. The share halves what is left every few rounds, so rounds grow with the logarithm of the documents in a sequence.
 
-Through the driver go, a round, two numbers for each range and the counts of sizes (at most two for each length up to a
-sequence's). A range's arrays are in one task: make ranges as many as needed with spark.sql.shuffle.partitions. What a
+Through the driver go, a round, two numbers for each range and the totals of what is left. A range's arrays are in one task: make ranges as many as needed with spark.sql.shuffle.partitions. What a
 round leaves, and what it has placed, is written to the shared folder; nothing else of it is kept.
 
 Cases: null or empty text is the end token alone; repeated rows are packed each by itself; a null id is carried; an empty
@@ -33,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.llm.packing import WordCachedTokenizer
-from chronopanel.llm.scratch import write_table
+from chronopanel.llm.scratch import drop_table, write_table
 
-#: What a row of a round is: a document or a gap still free, a document that has its place, a gap that is done for the round.
-DOC, GAP, PLACED, USED = range(4)
+#: What a row of a round is: a document or a gap still free, a document that has its place, a gap that is done for the round, what a range leaves (rank: gaps that want, within: bundles on the stack).
+DOC, GAP, PLACED, USED, ENDS = range(5)
 PIECE = ("doc_id", "piece", "start", "ids_crc32")
 ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("what", "range", "rank", "within", "total", "size", *PIECE, "bin", "offset")])
+#: Gaps that are broadcast to documents of other ranges, at most: four numbers each; beyond that the join is shuffled.
+MOST_SENT = 200_000
 #: Quantum of the first rounds and of later ones, as a part of what a gap takes on average; a sweep that places less than FEW of the documents has placed hardly anything.
 FIRST_SHARE, LATER_SHARE, FEW = 8, 1.3, 0.02
 
@@ -113,6 +114,8 @@ def _sweep(size: int, quantum: float):
         made = {"what": what, "range": number, "rank": rank, "within": within, "total": total, "size": left, "bin": bins, "offset": offsets}
         out = pa.table([pa.array(made[f.name]) if f.name in made else table.column(f.name).cast(pa.int64()) for f in ROW.fields], names=ROW.fieldNames()).filter(pa.array(keep))
         yield from out.to_batches(max_chunksize=10_000)
+        left_over = {"what": ENDS, "range": number[0], "rank": len(wanting), "within": len(stack)}
+        yield pa.RecordBatch.from_arrays([pa.array([left_over.get(f.name)], pa.int64()) for f in ROW.fields], names=ROW.fieldNames())
 
     return run
 
@@ -139,14 +142,15 @@ def matched_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 def _met(swept: DataFrame, size: int) -> DataFrame:
     """The round's rows after gaps have taken documents of earlier ranges too."""
     spark = swept.sparkSession
-    ends = swept.where(F.col("what") <= GAP).groupBy("range").agg(*(F.max(F.when(F.col("what") == k, F.col("rank")).otherwise(0)) for k in (GAP, DOC))).collect()
+    ends = swept.where(F.col("what") == ENDS).select("range", "rank", "within").collect()
     pairs = matched_ranges(sorted(tuple(r) for r in ends))
     schema = "in_range long, first long, last long, of_range long, top long"
     where = F.broadcast(spark.createDataFrame(pairs, schema))
     gaps = swept.where(F.col("what") == GAP)
     gaps = gaps.join(where, (F.col("range") == F.col("in_range")) & F.col("rank").between(F.col("first"), F.col("last")), "left")
     taking = gaps.where("of_range IS NOT NULL").select("of_range", (F.col("top") - F.col("rank") + F.col("first")).alias("of_rank"), F.col("bin").alias("of_bin"), F.col("size").alias("gap"))
-    docs = swept.where(F.col("what") == DOC).join(taking, (F.col("range") == F.col("of_range")) & (F.col("rank") == F.col("of_rank")), "left")
+    few = sum(last - first + 1 for _, first, last, _, _ in pairs) <= MOST_SENT
+    docs = swept.where(F.col("what") == DOC).join(F.broadcast(taking) if few else taking, (F.col("range") == F.col("of_range")) & (F.col("rank") == F.col("of_rank")), "left")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     took = F.col("of_bin").isNotNull()
     own = {"what": F.when(took, PLACED).otherwise(DOC).cast("long"), "bin": F.col("of_bin"), "offset": F.when(took, size - F.col("gap") + F.col("within")).otherwise(zero)}
@@ -155,7 +159,7 @@ def _met(swept: DataFrame, size: int) -> DataFrame:
     row = lambda new: F.struct(*(new.get(c, F.col(c)).alias(c) for c in ROW.fieldNames()))
     both = F.when(took & (F.col("within") == 0) & (rest > 0), F.array(row(own), row(gap))).otherwise(F.array(row(own)))
     still = gaps.where("of_range IS NULL").select(*ROW.fieldNames()).unionByName(swept.where(F.col("what") == USED).withColumn("what", F.lit(GAP).cast("long")))
-    return docs.select(F.inline(both)).unionByName(still)
+    return docs.select(F.inline(both)).unionByName(still).unionByName(swept.where(F.col("what") == PLACED))
 
 
 def _opened(spark: SparkSession, first: int, n: int, size: int) -> DataFrame:
@@ -173,28 +177,28 @@ def best_fit(pieces: DataFrame, size: int = 4096) -> DataFrame:
     tables: list[DataFrame] = []
     opened, share, stuck, single, alone, before = 0, FIRST_SHARE, True, False, False, None
     while True:
-        counts = state.where(F.col("what") <= GAP).groupBy("what", "size").count().collect()
-        docs, gaps = ({r["size"]: r["count"] for r in counts if r["what"] == k} for k in (DOC, GAP))
-        n, tokens = sum(docs.values()), sum(s * c for s, c in docs.items())
+        n, tokens, smallest = state.where(F.col("what") == DOC).agg(F.count("*"), F.sum("size"), F.min("size")).first()
         if not n:
             break
+        gaps = state.where((F.col("what") == GAP) & (F.col("size") >= smallest))
         if before is not None:
             few = before - n < FEW * before
             stuck, single = few and alone, single or few
-        n_gaps = sum(c for s, c in gaps.items() if s >= min(docs))
-        now = state.where((F.col("what") == DOC) | ((F.col("what") == GAP) & (F.col("size") >= min(docs))))
+        n_gaps = gaps.count()
+        now = state.where(F.col("what") == DOC).unionByName(gaps)
         if stuck or not n_gaps:
             more = -(-tokens // size)
             now = now.unionByName(_opened(spark, opened, more, size))
             share, single, n_gaps, opened = LATER_SHARE if opened else FIRST_SHARE, False, n_gaps + more, opened + more
         quantum = 0.0 if single else tokens / (share * n_gaps)
-        alone, before = quantum < 2 * min(docs), n
+        alone, before = quantum < 2 * smallest, n
         bundle = F.when(F.col("what") == DOC, F.greatest(F.lit(1), F.floor(F.lit(quantum) / F.col("size")))).otherwise(1)
         order = ("key", "what", "size", "doc_id", "piece")
         lean = now.select((F.col("size") * bundle).alias("key"), "what", "size", *PIECE, "bin").repartitionByRange(*order).sortWithinPartitions(*order)
         swept = write_table(lean.mapInArrow(_sweep(size, quantum), ROW))
         state = write_table(_met(swept, size))
-        tables += [swept, state]
+        drop_table(swept)
+        tables.append(state)
     placed = spark.read.schema(ROW).parquet(*(t.written_at for t in tables)).where(F.col("what") == PLACED) if tables else state
     rest = placed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", F.col("size").alias("length"), "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
     return full.unionByName(rest)

@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and bytes beyond ASCII. A window is `n` consecutive words
 of an item; an item of fewer words, but not none, is one window. The set goes to executors in blocks of bounded size:
-the benchmark is measured first, and where it is larger than one block, the rows are written with a number each, every
-block is a job of its own that writes the hits of the rows that have any, and the hits of a row are put together at the
-end. So an executor holds one block at a time, however large the benchmark. A hash only proposes a hit; the words
-themselves confirm it.
+long items are cut into pieces that overlap by a window less a word, pieces are dealt to blocks by running bytes, and
+where there are several blocks, the rows are written with a number each, every block is a job of its own that writes the
+hits of the rows that have any, and the hits of a row are put together at the end. So the driver and an executor hold one
+block at a time, however large the benchmark, whatever its items: the documents are scanned once for each block. A hash
+only proposes a hit; the words themselves confirm it.
 
 Cases: null or empty text has no words and no hits; an item without words occurs nowhere; repeated rows are judged
 alike, each by itself; a null item_id counts hits but is named nowhere; empty tables give no rows or no hits; columns
@@ -16,12 +17,12 @@ underscores.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,8 @@ from chronopanel.llm import textblocks as tb
 from chronopanel.llm.rows import free_name, with_verdict
 from chronopanel.llm.scratch import write_table
 
-#: UTF-8 bytes of benchmark texts in one broadcast block.
-SET_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark texts and item names in one broadcast block, and in one piece of an item; a block has at most a piece more.
+SET_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -97,19 +98,57 @@ def _scan(found: NgramSet, texts: pa.Array) -> tuple[list[int], list[np.ndarray]
     return n_words, hits, items
 
 
+def pieces_of(text: str | None, n: int, most: int) -> list[str]:
+    """A text's words in pieces of about `most` bytes, each window of n words in exactly one of them; none without words."""
+    data = tb.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+    starts, ends, _ = tb.word_spans(data, np.array([0, len(data)]), tb.NOT_ALNUM)
+    raw, out, first = data.tobytes(), [], 0
+    while first < len(starts):
+        last = max(int(np.searchsorted(ends, starts[first] + most, "right")), min(first + n, len(starts)))
+        out.append(raw[starts[first] : ends[last - 1]].decode("utf-8", "replace"))
+        if last == len(starts):
+            break
+        first = last - n + 1
+    return out
+
+
+def benchmark_blocks(benchmark: DataFrame, n: int, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, int]:
+    """(block, item, said) of the benchmark's pieces, equal ones of one item once, and how many blocks there are."""
+
+    most = PIECE_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                said = pieces_of(text, n, most)
+                if said:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(said), pa.string()), pa.array(said, pa.string())], names=["item", "said"])
+
+    pieces = benchmark.select(benchmark[f"`{item_id}`"].cast("string").alias("item"), benchmark[f"`{item_text}`"].alias("said")).mapInArrow(cut, "item string, said string").distinct()
+    size = F.octet_length("said") + F.coalesce(F.octet_length("item"), F.lit(0))
+    dealt = write_table(pieces.withColumn("bytes", size.cast("long")).withColumn("part", F.spark_partition_id()))
+    totals, at = sorted(dealt.groupBy("part").agg(F.sum("bytes")).collect()), 0
+    before = []
+    for part, here in totals:
+        before.append((part, at))
+        at += here
+    offsets = dealt.sparkSession.createDataFrame(before, "part int, before long")
+    running = F.sum("bytes").over(Window.partitionBy("part").orderBy("said", "item").rowsBetween(Window.unboundedPreceding, -1))
+    block = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / SET_BYTES)
+    return write_table(dealt.join(F.broadcast(offsets), "part").select(block.alias("block"), "item", "said")), -(-at // SET_BYTES)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: Sequence[str] | None = None, name: str = "found") -> DataFrame:
     """docs with a struct column `name`: n_words, n_hit, hits (a bit for each word, big-endian in each byte), items (sorted as strings)."""
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    parts = max(1, -(-size // SET_BYTES))
-    chosen = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("said"))
+    chosen, parts = benchmark_blocks(benchmark, n, item_id, item_text)
     keep = list(docs.columns if keep is None else keep)
     name = free_name(docs.select(*(f"`{c}`" for c in keep)), name)
 
     def sent(k: int):
-        block = [tuple(r) for r in chosen.where(F.pmod(F.xxhash64("said"), F.lit(parts)) == k).collect()]
+        block = [tuple(r) for r in chosen.where(F.col("block") == k).select("item", "said").collect()]
         return docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
 
-    if parts == 1:
+    if parts <= 1:
         return with_verdict(docs, partial(_verdicts, sent(0)), [text], FOUND, name, keep=keep)
     row, of_row, gathered = (free_name(docs, x) for x in ("row", "of_row", "gathered"))
     table = write_table(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).withColumn(row, F.monotonically_increasing_id()))

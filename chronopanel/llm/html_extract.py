@@ -4,8 +4,9 @@ Paragraphs pass points for their length and commas to their ancestors, in full t
 beyond; a container's points are discounted by the share of its text that is in links. The best container is kept, or
 the article element that it lies in; where there is none, those of its siblings stay too that score near it or read like
 paragraphs of it. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-cut before, by element, role and the words of class and id. Nothing in an article element is cut for its links; in other
-containers, lists of short links are.
+cut before, by element, role and the words of class and id: by all words of a name, or by one where the element doesn't
+read as running text. Nothing in an article element is cut for its links; in other containers, lists of short links are
+that no heading for references and no colon announces. Titles of a main element before its article stay with it.
 
 Blocks are what block elements bound. Within a block white space (and a line break element) is one space; blocks are
 trimmed, and joined in page order by one newline.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +57,20 @@ CUT_WORDS_OUTSIDE = CUT_WORDS | {
     "banner", "sponsor", "promotion", "notification", "alert", "disclaimer", "aside", "rail", "respond", "replies", "reply", "foot", "overlay", "toc", "skip", "hidden", "copyright", "legal", "discussion",
     "feedback", "print", "search", "topbar", "header",
 }
+#: Words that name what readers write; they cut whatever the element holds.
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "responses", "reactions", "replies"}
+#: Words that say nothing by themselves: a name of cut words and these alone says that it is to be cut.
+FILLER = {
+    "a", "above", "after", "all", "and", "area", "article", "articles", "aside", "author", "bar", "before", "below", "block", "blocks", "body", "bottom", "box", "boxes", "btn", "button", "buttons", "card", "cards",
+    "center", "col", "column", "container", "content", "count", "desktop", "div", "dropdown", "extra", "fixed", "float", "form", "global", "grid", "group", "header", "heading", "holder", "icon", "icons", "id", "inline",
+    "inner", "item", "items", "js", "left", "level", "link", "links", "list", "lists", "local", "main", "media", "mid", "mini", "mobile", "module", "more", "new", "news", "of", "on", "outer", "page", "panel", "part",
+    "post", "posts", "primary", "reader", "readers", "right", "row", "secondary", "section", "sidebar", "site", "slot", "small", "sticky", "stories", "story", "strip", "sub", "text", "the", "thread", "title", "tools",
+    "top", "unit", "user", "users", "view", "visitor", "wrap", "wrapper", "your", "zone",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Characters of running text from which an element reads as a part of the page, whatever one word of its name says.
+PROSE_CHARS = 60
+_REFERENCES = re.compile(r"(references?|sources?|notes|footnotes|bibliography|literature|works cited|citations?|further reading)\W*$", re.I)
 #: Names made of these alone mark the main text.
 MAIN_WORDS = {"article", "main", "content", "body", "post", "entry", "story", "text"}
 #: Elements of running text; what is inline in them isn't cut for its class.
@@ -64,8 +79,9 @@ LEAST_PARAGRAPH = 25
 #: Mean characters of a link's text in a list of short links.
 SHORT_LINK = 25
 
-_TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_QUOTE_OR_END = re.compile("[\"'>]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
@@ -95,7 +111,22 @@ def parse(page: str) -> Node:
     """The tree of a page; text is decoded, raw text elements and comments stay empty."""
     root = now = Node("#root", None, {})
     n_open: Counter[str] = Counter()
-    at, size = 0, len(page)
+    at, size, quotes = 0, len(page), True
+
+    def tag_end(start: int) -> int:
+        """Where the tag ends whose attributes begin at start, -1 if nowhere. Once a quote isn't closed in the rest of the page, quotes are plain characters."""
+        nonlocal quotes
+        here = start
+        while quotes:
+            m = _QUOTE_OR_END.search(page, here)
+            if not m:
+                quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                here = page.find(m[0], m.end()) + 1
+                quotes = here > 0
+        return page.find(">", start)
 
     def close_to(parent: Node) -> None:
         nonlocal now
@@ -110,7 +141,11 @@ def parse(page: str) -> Node:
             break
         if m.start() > at:
             now.items.append(html.unescape(page[at : m.start()]))
-        at = m.end()
+        end = m.end() if m[2] is None else tag_end(m.end())
+        if end < 0:
+            now.items.append(html.unescape(page[m.start() :]))
+            break
+        at = end + (m[2] is not None)
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 now.items.append(m[0][9:].removesuffix("]]>"))
@@ -128,7 +163,7 @@ def parse(page: str) -> Node:
             tops = [now.tops[t] for t in CLOSES[tag] if t in now.tops]
             if tops:
                 close_to(min(tops, key=lambda x: x[0])[1].parent)
-        raw = m[3].strip()
+        raw = page[m.end() : end].strip()
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(raw)} if raw.strip("/") else {}
         made = Node(tag, now, attributes)
         now.items.append(made)
@@ -150,32 +185,65 @@ def _hides(node: Node) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
 
 
-def is_boilerplate(node: Node, within_article: bool) -> bool:
+def is_boilerplate(node: Node, within_article: bool, reads: Callable[[Node], bool]) -> bool:
+    """reads: whether a node holds running text, more of it than links.
+
+    A class or id cuts where all of its words say so, or fill in; where only some do, what reads as running text stays.
+    Paragraphs and headings of an article aren't cut for a name, and its sections not while they read as running text.
+    What readers write goes, in an article a section of it only at the end.
+    """
     if node.tag in CUT:
         return True
     if node.tag == "header":
         return not within_article
-    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split()
+    names = [_words(x) for x in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split()]
     if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and any(_words(x) & {"comment", "comments", "reply"} for x in names)
+        return node.tag == "article" and any(x & {"comment", "comments", "reply"} for x in names)
     if not node.attributes:
         return False
     if _hides(node) or node.attributes.get("role", "").lower() in CUT_ROLES:
         return True
-    if within_article and node.tag not in BLOCK and node.parent.tag in PROSE:
+    if within_article and (node.tag in HEADINGS or node.tag == "p" or node.tag not in BLOCK and node.parent.tag in PROSE):
+        return False
+    cut = CUT_WORDS | COMMENT_WORDS if within_article else CUT_WORDS_OUTSIDE | COMMENT_WORDS
+    marked = [w for w in names if w & cut]
+    if not marked or any(w and w <= MAIN_WORDS for w in names):
         return False
-    words = [_words(x) for x in names]
-    return any(w & (CUT_WORDS if within_article else CUT_WORDS_OUTSIDE) for w in words) and not any(w and w <= MAIN_WORDS for w in words)
+    sure = [w for w in marked if not w - cut - FILLER]
+    if any(w & COMMENT_WORDS for w in sure):
+        return not (within_article and node.tag == "section" and not any(w & {"comment", "comments"} for w in sure) and _is_followed(node))
+    if not reads(node):
+        return True
+    return bool(sure) and not (node.tag in ("section", "p", *HEADINGS) and (within_article or not any(w & CUT_WORDS for w in sure)))
+
+
+def _is_followed(node: Node) -> bool:
+    """Whether a paragraph, heading or section comes after a node in its parent."""
+    seen = False
+    for x in node.parent.elements():
+        if seen and x.tag in ("p", "section", "blockquote", *HEADINGS):
+            return True
+        seen = seen or x is node
+    return False
 
 
 def prune(root: Node) -> None:
     """Cut boilerplate elements everywhere below root."""
+    measured: list[tuple[dict[Node, int], dict[Node, int]]] = []
+
+    def reads(node: Node) -> bool:
+        if not measured:
+            measured.append(measure(_in_order(root))[:2])
+        chars, links = measured[0]
+        return chars[node] >= PROSE_CHARS and 2 * links[node] < chars[node]
+
     todo = [(root, False)]
     while todo:
         node, within = todo.pop()
         within = within or node.tag in ("article", "main")
         if any(isinstance(x, Node) for x in node.items):
-            node.items = [x for x in node.items if not isinstance(x, Node) or not is_boilerplate(x, within)]
+            kept = {x for x in node.elements() if not is_boilerplate(x, within, reads)}
+            node.items = [x for x in node.items if not isinstance(x, Node) or x in kept]
         todo += [(x, within) for x in node.elements()]
 
 
@@ -252,7 +320,33 @@ def main_nodes(root: Node) -> list[Node]:
         while inside and inside.tag != "main" and inside.attributes.get("role") != "main":
             inside = inside.parent
     best = inside or best
-    if inside and not [x for x in articles if x is not best and x.parent is best.parent]:
+    if inside and inside.tag == "article":
+        kept = _with_siblings(best, articles, score, chars, links)
+        return [*(x for x in _titles_before(nodes, inside) if x not in kept), *kept]
+    return _with_siblings(best, articles, score, chars, links, bool(inside))
+
+
+def _titles_before(nodes: Sequence[Node], article: Node) -> list[Node]:
+    """Headings of the main element that stand before its article."""
+    main = article.parent
+    while main and main.tag != "main" and main.attributes.get("role") != "main":
+        main = main.parent
+    found = []
+    for x in nodes[nodes.index(main) :] if main else []:
+        if x is article:
+            return found
+        if x.tag in ("h1", "h2"):
+            up = x.parent
+            while up is not main and up.tag != "article":
+                up = up.parent
+            if up is main:
+                found.append(x)
+    return found
+
+
+def _with_siblings(best: Node, articles: Sequence[Node], score: dict[Node, float], chars: dict[Node, int], links: dict[Node, int], alone: bool = True) -> list[Node]:
+    density = lambda x: links[x] / chars[x] if chars[x] else 0.0
+    if alone and not [x for x in articles if x is not best and x.parent is best.parent]:
         return [best]
     least = max(10.0, 0.2 * score.get(best, 0.0))
     kept = []
@@ -264,15 +358,31 @@ def main_nodes(root: Node) -> list[Node]:
     return kept
 
 
+def _text(node: Node) -> str:
+    return "".join(x for y in _in_order(node) for x in y.items if isinstance(x, str))
+
+
+def _announced(node: Node) -> bool:
+    """Whether a heading for references, or a paragraph that ends in a colon, stands right before a node."""
+    before = None
+    for x in node.parent.elements():
+        if x is node:
+            break
+        before = x
+    if before is None:
+        return False
+    return before.tag in HEADINGS and bool(_REFERENCES.match(_text(before).strip())) or before.tag == "p" and _text(before).rstrip().endswith(":")
+
+
 def _link_lists(node: Node) -> set[Node]:
-    """Lists and groups below node that are short links for the most part; none in articles."""
+    """Lists and groups below node that are short links for the most part; none in articles, and none that the text announces."""
     nodes = _in_order(node)
     chars, links, _ = measure(nodes)
     n_links: dict[Node, int] = {}
     for x in reversed(nodes):
         n_links[x] = (x.tag == "a") + sum(n_links[y] for y in x.elements())
     is_list = lambda x: x.tag in ("ul", "ol", "div", "section", "table", "dl") and n_links[x] > 1 and links[x] > 0.6 * chars[x] and links[x] <= SHORT_LINK * n_links[x]
-    return {x for x in nodes if x is not node and is_list(x)}
+    return {x for x in nodes if x is not node and is_list(x) and not (x.tag in ("ul", "ol", "dl") and _announced(x))}
 
 
 def blocks(node: Node) -> list[str]:

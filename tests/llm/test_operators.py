@@ -226,6 +226,36 @@ def test_what_an_article_keeps_and_loses():
     assert html_extract.main_text(page).split("\n") == [lead, "See the full report", "One", "Two", "Discussion", "Law", "Results", "f x"]
 
 
+def test_names_of_which_one_word_would_cut():
+    lead = "".join(f"<p>Paragraph {i} of an article, with commas, and with words enough to be read as running text.</p>" for i in range(4))
+    prose = "<p>What this part has to say, at length, in running text that belongs to the article as much as any other.</p>"
+    said = "What this part has to say, at length, in running text that belongs to the article as much as any other."
+    whole = [f"Paragraph {i} of an article, with commas, and with words enough to be read as running text." for i in range(4)]
+    for kept in (f'<p class="related">{said}</p>', f'<div class="social-science">{prose}</div>', f'<section id="navigation-at-sea">{prose}</section>', f'<section class="widget-theory">{prose}</section>', f'<section class="related">{prose}</section>', f'<h2 class="share">{said}</h2>', f'<section class="reactions">{prose}</section><p>After it.</p>'):
+        found = html_extract.main_text(f"<body><article>{lead}{kept}</article></body>").split("\n")
+        assert found[:4] == whole and found[4] == said, kept
+    for gone in ('<div class="responses">Great post, thanks!</div>', f'<div class="reader-reactions">{prose}</div>', f'<section class="comments">{prose}</section>', f'<section class="replies">{prose}</section>', '<div class="related-links"><a href=x>Another one</a></div>', '<div class="newsletter-hero">Sign up</div>', f'<div class="cookie-notice">{prose}</div>'):
+        assert html_extract.main_text(f"<body><article>{lead}{gone}</article></body>").split("\n") == whole, gone
+    plain = html_extract.main_text(f'<body><div id="page">{lead}<section class="legal">{prose}</section><h2>References</h2><ul><li><a href=x>Smith 2001</a></li><li><a href=y>Jones 2002</a></li></ul><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></div></body>')
+    assert plain.split("\n") == [*whole, said, "References", "Smith 2001", "Jones 2002"]
+    titled = html_extract.main_text(f"<body><main><h1>The title</h1><article>{lead}</article><p>Elsewhere</p></main></body>")
+    assert titled.split("\n") == ["The title", *whole]
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.time()
+        for page in ('<a "' * n, "<a '\"" * n, '<a b="' * n + ">", "<p " * n + '"'):
+            html_extract.main_text(page)
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1
+    assert html_extract.main_text("<p title=\"a > b\" x='>'>said</p>") == "said"
+    assert html_extract.main_text('<p title="never closed>said</p>') == "said"
+
+
 def test_extraction_takes_linear_time_and_keeps_columns(spark):
     import time
 
@@ -249,6 +279,27 @@ def test_elements_late_in_a_very_long_page():
     assert html_extract.main_text("<div>" * 150_000 + "deep text in here, with words<footer>no</footer>") == "deep text in here, with words"
 
 
+def test_benchmark_blocks_are_bounded_whatever_the_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 300)
+    rng = random.Random(9)
+    said = " ".join(rng.choice(["one", "Two", "été", "four4"]) for _ in range(40))
+    long = [str(i) for i in range(3000)]
+    items = [(f"same{k}", said) for k in range(50)] * 2 + [("long", " ".join(long)), (None, said), ("none", None), ("short", "a b c")]
+    total = 51 * len(said.encode()) + 51 * 6 + len(" ".join(long))
+    monkeypatch.setattr(decontaminate, "SET_BYTES", total // 20)
+    bench = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    blocks, n = decontaminate.benchmark_blocks(bench, 13)
+    sizes = {}
+    for r in blocks.collect():
+        sizes.setdefault(r.block, []).append(len(r.said.encode()) + len(r.item or ""))
+    assert n >= 20 and set(sizes) == set(range(n)) and max(map(sum, sizes.values())) <= total // 20 + 400
+    windows = [" ".join(p.split()[i : i + 13]) for p in decontaminate.pieces_of(" ".join(long), 13, 300) for i in range(len(p.split()) - 12)]
+    assert windows == [" ".join(long[i : i + 13]) for i in range(len(long) - 12)]
+    docs = [(1, said), (2, " ".join(long[1490:1520])), (3, "x a b c"), (4, None)]
+    out = {r.doc_id: (r.found.n_hit, list(r.found["items"])) for r in decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert out == {1: (40, sorted(f"same{k}" for k in range(50))), 2: (30, ["long"]), 3: (3, ["short"]), 4: (0, [])}
+
+
 # ---- quality of lines
 
 

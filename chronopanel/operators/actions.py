@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators import point_in_time as pit
+
 
 def applied_actions(holdings: DataFrame, actions: DataFrame) -> DataFrame:
     """(idx, sid, shares, cash, action_id) of the holdings (idx, sid, shares) after the actions of their session.
@@ -58,3 +60,24 @@ def session_faults(actions: DataFrame, calendar: DataFrame) -> DataFrame:
     span = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     inside = actions.crossJoin(F.broadcast(span)).where(F.col("apply_session").between(F.col("a"), F.col("b"))).drop("a", "b")
     return inside.join(F.broadcast(calendar.select(F.col("date").alias("apply_session"))), "apply_session", "left_anti")
+
+
+def skip_evidence(gaps: DataFrame, actions: DataFrame, spine: DataFrame, ahead: int = 25) -> DataFrame:
+    """(sid, idx, action_idx, evidence, last_open_idx, resumed_idx, is_explained) of names without an open at a rebalance.
+
+    gaps: sid, idx. actions: source_sid, apply_idx. evidence: same_open, pending_action (the nearest one within the next
+    `ahead` sessions) or none. A gap is explained if it has evidence and the name's opens resume. Each question is an
+    as-of join, one backward and two forward (on the negated session), in buckets of sessions, so that no name's history is one task.
+    """
+    width = 64
+    forward = gaps.select("sid", "idx", (-F.col("idx")).alias("back"))
+    applied = actions.select(F.col("source_sid").alias("sid"), (-F.col("apply_idx")).alias("back"), F.col("apply_idx").alias("action_idx"))
+    found = pit.asof_backward(forward, applied, ["sid"], "back", ["action_idx"], F.floor(F.col("back") / width))
+    opens = spine.where(F.col("open") > 0).select("sid", F.col("idx").alias("open_idx"))
+    later = opens.select("sid", (-F.col("open_idx")).alias("back"), F.col("open_idx").alias("resumed_idx"))
+    found = pit.asof_backward(found.drop("matched_at"), later, ["sid"], "back", ["resumed_idx"], F.floor(F.col("back") / width), inclusive=False)
+    earlier = opens.select("sid", F.col("open_idx").alias("idx"), F.col("open_idx").alias("last_open_idx"))
+    found = pit.asof_backward(found.drop("matched_at"), earlier, ["sid"], "idx", ["last_open_idx"], F.floor(F.col("idx") / width), inclusive=False)
+    near = F.when(F.col("action_idx") <= F.col("idx") + ahead, F.col("action_idx"))
+    evidence = F.when(near == F.col("idx"), "same_open").when(near.isNotNull(), "pending_action").otherwise("none")
+    return found.select("sid", "idx", near.alias("action_idx"), evidence.alias("evidence"), "last_open_idx", "resumed_idx", ((evidence != "none") & F.col("resumed_idx").isNotNull()).alias("is_explained"))

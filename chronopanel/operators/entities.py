@@ -73,3 +73,12 @@ def rekeyed(history: DataFrame, mappings: DataFrame) -> DataFrame:
     """history (symbol, date, ...) with the sid to which its symbol belonged on the date; mappings: sid, symbol, effective_from, effective_to (half-open)."""
     active = (F.col("effective_from") <= F.col("date")) & (F.col("effective_to").isNull() | (F.col("date") < F.col("effective_to")))
     return history.join(mappings, "symbol").where(active).drop("effective_from", "effective_to")
+
+
+def scored_candidates(names: DataFrame, lookup: DataFrame, least: float = 0.5) -> DataFrame:
+    """name_candidates() with the score of characters and words; only pairs that share a block are compared, each once."""
+    pairs = name_candidates(names, lookup, least).select("sid", "cik", "is_exact")
+    mine = names.select("sid", tx.normalized_name(F.col("name")).alias("a"))
+    theirs = lookup.select("cik", tx.normalized_name(F.col("name")).alias("b")).distinct()
+    scored = pairs.join(mine, "sid").join(theirs, "cik").withColumn("score", tx.name_score(F.col("a"), F.col("b")))
+    return scored.groupBy("sid", "cik", "is_exact").agg(F.max("score").alias("score"))

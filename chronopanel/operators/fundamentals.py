@@ -199,3 +199,41 @@ def factor_panel(values: DataFrame, mappings: DataFrame, signals: DataFrame) ->
     met = keys.join(values.select("signal_date", "entity", "factor_id", "value", "reason", F.lit(True).alias("has")), ["signal_date", "entity", "factor_id"], "left")
     reason = F.when(F.col("n") > 1, "ambiguous_mapping").when(F.col("has").isNull(), "no_value").otherwise(F.col("reason"))
     return met.select("signal_date", "sid", "factor_id", F.when(reason.isNull(), F.col("value")).alias("value"), F.when(F.col("n") == 1, F.col("entity")).alias("entity"), reason.alias("reason"))
+
+
+def change_date_states(facts: DataFrame, metrics: list[str]) -> DataFrame:
+    """(entity, known_from, known_until, {metric} ...): what is known of each entity, one row from each date on which something of it changes.
+
+    facts: entity, metric_id, value, period_end, available. Of a metric the fact of the latest period, then the latest
+    available, counts from when both are past. Rows grow with the facts, not with the dates that ask for them.
+    """
+    at = F.greatest("available", "period_end")
+    known = pit.known_intervals(facts.where(F.col("metric_id").isin(metrics)), ["entity", "metric_id"], at, F.struct("period_end", "available", "value"))
+    changes = known.groupBy("entity", "known_from").pivot("metric_id", metrics).agg(F.max("v"))
+    over = Window.partitionBy("entity").orderBy("known_from")
+    carried = {m: F.last(m, True).over(over.rowsBetween(Window.unboundedPreceding, 0)) for m in metrics}
+    wide = changes.select("entity", "known_from", F.lead("known_from").over(over).alias("known_until"), *(c.alias(m) for m, c in carried.items()))
+    return wide.select("entity", "known_from", "known_until", *(F.col(f"{m}.value").alias(m) for m in metrics))
+
+
+def change_date_panel(facts: DataFrame, mapping: DataFrame, metrics: list[str], factors: dict[str, Column]) -> DataFrame:
+    """(sid, entity, valid_from, valid_until, factor_id, value, reason): factor values as intervals, computed where an input or the mapping changes.
+
+    mapping: sid, entity, effective_from, effective_to (null: open). factors: expressions over the metrics. A value that
+    isn't there has a reason: the metrics that aren't known by then, or undefined.
+    """
+    states = change_date_states(facts, metrics)
+    nothing = mapping.select("entity").distinct().select("entity", F.lit("0001-01-01").cast("date").alias("known_from"), *(F.lit(None).cast("double").alias(m) for m in metrics))
+    firsts = states.groupBy("entity").agg(F.min("known_from").alias("known_until"))
+    states = states.unionByName(nothing.join(firsts, "entity", "left").select(*states.columns))
+    met = mapping.join(states, "entity").where((F.col("effective_to").isNull() | (F.col("known_from") < F.col("effective_to"))) & (F.col("known_until").isNull() | (F.col("known_until") > F.col("effective_from"))))
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("factor_id"), e.cast("double").alias("value")) for f, e in factors.items()))).alias("f")
+    reason = F.coalesce(_missing(metrics), F.lit("undefined"))
+    out = met.select("sid", "entity", F.greatest("known_from", "effective_from").alias("valid_from"), F.least("known_until", "effective_to").alias("valid_until"), reason.alias("why"), values)
+    return out.select("sid", "entity", "valid_from", "valid_until", "f.factor_id", "f.value", F.when(F.col("f.value").isNull(), F.col("why")).alias("reason"))
+
+
+def at_signals(intervals: DataFrame, signals: DataFrame) -> DataFrame:
+    """Intervals laid out on signal dates, a stated set."""
+    days = F.broadcast(signals.select("signal_date").distinct())
+    return intervals.join(days, pit.active(F.col("signal_date"), F.col("valid_from"), F.col("valid_until"))).drop("valid_from", "valid_until")

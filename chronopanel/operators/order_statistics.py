@@ -26,13 +26,13 @@ def counted_values(rows: DataFrame, value: str | Column, keys: Sequence[str] = (
     if dict(have.dtypes)["value"] in ("double", "float"):
         have = have.where(~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
     counts = have.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    dealt = store.materialized(counts.repartitionByRange(*keys, "value").withColumn("part_", F.spark_partition_id()))
-    sizes = dealt.groupBy(*keys, "part_").agg(F.sum("n").alias("here_"))
+    dealt = store.materialized(counts.repartitionByRange(*keys, "value").withColumn("range_", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "range_").agg(F.sum("n").alias("here_"))
     family = Window.partitionBy(*keys)
-    earlier = F.coalesce(F.sum("here_").over(family.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = sizes.select(*(F.col(k).alias(f"of_{k}_") for k in keys), F.col("part_").alias("of_part_"), earlier.alias("earlier_"), F.sum("here_").over(family).alias("total"))
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}_")) for k in keys] + [F.col("part_") == F.col("of_part_")]
-    local = F.sum("n").over(Window.partitionBy(*keys, "part_").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    earlier = F.coalesce(F.sum("here_").over(family.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = sizes.select(*(F.col(k).alias(f"of_{k}_") for k in keys), F.col("range_").alias("of_range_"), earlier.alias("earlier_"), F.sum("here_").over(family).alias("total"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}_")) for k in keys] + [F.col("range_") == F.col("of_range_")]
+    local = F.sum("n").over(Window.partitionBy(*keys, "range_").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     placed = dealt.withColumn("local_", local).join(carried, same)
     return placed.select(*keys, "value", "n", (F.col("local_") + F.col("earlier_")).alias("before"), "total")
 
@@ -70,13 +70,13 @@ def with_average_rank(rows: DataFrame, value: str, name: str, keys: Sequence[str
 
 def with_place(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """rows with place (from 0) in ascending order within the keys, and total: how many there are. The order must be of distinct rows."""
-    dealt = store.materialized(rows.repartitionByRange(*keys, *order).withColumn("part_", F.spark_partition_id()))
-    sizes = dealt.groupBy(*keys, "part_").agg(F.count("*").alias("here_"))
+    dealt = store.materialized(rows.repartitionByRange(*keys, *order).withColumn("range_", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "range_").agg(F.count("*").alias("here_"))
     family = Window.partitionBy(*keys)
-    earlier = F.coalesce(F.sum("here_").over(family.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = sizes.select(*(F.col(k).alias(f"of_{k}_") for k in keys), F.col("part_").alias("of_part_"), earlier.alias("earlier_"), F.sum("here_").over(family).alias("total"))
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}_")) for k in keys] + [F.col("part_") == F.col("of_part_")]
-    local = F.row_number().over(Window.partitionBy(*keys, "part_").orderBy(*order)) - 1
+    earlier = F.coalesce(F.sum("here_").over(family.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = sizes.select(*(F.col(k).alias(f"of_{k}_") for k in keys), F.col("range_").alias("of_range_"), earlier.alias("earlier_"), F.sum("here_").over(family).alias("total"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}_")) for k in keys] + [F.col("range_") == F.col("of_range_")]
+    local = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy(*order)) - 1
     placed = dealt.withColumn("local_", local).join(carried, same)
     return placed.select(*rows.columns, (F.col("local_") + F.col("earlier_")).alias("place"), "total")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.sources import store
+
 
 def best_donors(candidates: DataFrame, spine: DataFrame, least: int = 60) -> DataFrame:
     """(sid, donor, priority, n_valid): of the candidates (sid, donor, priority) the first by priority with enough closes; both given if none has."""
@@ -69,3 +71,34 @@ def ordered_donors(pairs: DataFrame) -> DataFrame:
     """(sid, donors): the few donors of each name in order of priority, joined by bars."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("priority", "donor"))), lambda x: x["donor"])
     return pairs.groupBy("sid").agg(F.array_join(ordered, "|").alias("donors"))
+
+
+def chained_conversions(edges: DataFrame) -> DataFrame:
+    """(source, final, ratio, steps, status) of names that are converted into others, which may be converted in turn.
+
+    edges: source, target, ratio. Pointers double: each round a name's way goes on by the way of the name that it has reached, so
+    that a chain of any length takes rounds by its logarithm. status: chain; cycle for names that come back to
+    themselves, into_cycle for those that lead there (neither has a final name); ambiguous for sources of several edges,
+    where ways end.
+    """
+    own = edges.groupBy("source").agg(F.count("*").alias("n"), F.max("target").alias("target"), F.max("ratio").alias("ratio"))
+    own = store.materialized(own)
+    ambiguous = own.where("n > 1").select("source", F.lit(None).cast(own.schema["source"].dataType).alias("final"), F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("int").alias("steps"), F.lit("ambiguous").alias("status"))
+    way = own.where("n = 1").select("source", F.col("target").alias("at"), F.col("ratio").cast("double").alias("ratio"), F.lit(1).alias("steps"))
+    n, rounds = way.count(), 0
+    while True:
+        on = way.select(F.col("source").alias("from_"), F.col("at").alias("on_at"), F.col("ratio").alias("on_ratio"), F.col("steps").alias("on_steps"))
+        met = way.join(on, F.col("at") == F.col("from_"), "left")
+        goes = F.col("from_").isNotNull()
+        way = store.materialized(met.select("source", F.coalesce("on_at", "at").alias("at"), F.when(goes, F.col("ratio") * F.col("on_ratio")).otherwise(F.col("ratio")).alias("ratio"), F.when(goes, F.col("steps") + F.col("on_steps")).otherwise(F.col("steps")).alias("steps"), goes.alias("goes")))
+        rounds += 1
+        if way.where("goes").isEmpty() or 2**rounds > n:
+            break
+        way = way.drop("goes")
+    ends = own.where("n = 1").select(F.col("source").alias("known_"))
+    endless = way.join(ends, F.col("at") == F.col("known_"), "left")
+    circles = endless.where("known_ IS NOT NULL").select(F.col("at").alias("circle_")).distinct()
+    status = F.when(F.col("known_").isNull(), "chain").when(F.col("circle_").isNotNull(), "cycle").otherwise("into_cycle")
+    chained = endless.join(circles, F.col("source") == F.col("circle_"), "left").withColumn("status", status)
+    is_chain = F.col("status") == "chain"
+    return chained.select("source", *(F.when(is_chain, F.col(c)).alias(to) for c, to in (("at", "final"), ("ratio", "ratio"), ("steps", "steps"))), "status").unionByName(ambiguous)

@@ -266,13 +266,13 @@ def reasons(spark, sf_dir):
 
 
 #: Faults by name and month: scores taken away from eligible rows, reasons from missing ones, ranks that are one too high, rows that stand twice.
-_FAULTY = f"""{_LONG}, nm AS (SELECT date AS signal_date, factor_id, sid, score, CAST(right(sid, 2) AS INT) AS k, CAST(MONTH(date) AS INT) AS m FROM long), rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY signal_date, factor_id ORDER BY score DESC NULLS LAST, sid) AS rank FROM nm),
+_FAULTY = f"""{_LONG}, nm AS (SELECT date AS signal_date, factor_id, sid, score, CAST(regexp_replace(sid, '[^0-9]', '', 'g') AS INT) AS k, CAST(MONTH(date) AS INT) AS m FROM long), rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY signal_date, factor_id ORDER BY score DESC NULLS LAST, sid) AS rank FROM nm),
 ft AS (SELECT signal_date, factor_id, sid, CASE WHEN (k + m) % 11 = 0 THEN NULL ELSE score END AS score, score IS NOT NULL AS eligible, CASE WHEN score IS NULL AND (k + m) % 7 <> 0 THEN 'insufficient_history' END AS missing_reason, CASE WHEN score IS NOT NULL THEN rank + (k % 12 = 3)::INT END AS rank, k, m FROM rk),
 tw AS (SELECT * FROM ft UNION ALL SELECT * FROM ft WHERE k = 11 AND m = 5), ex AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY signal_date, factor_id ORDER BY score DESC NULLS LAST, sid) AS expected, COUNT(*) OVER (PARTITION BY signal_date, sid, factor_id) AS again FROM tw)"""
 
 
 def _faulty(spark, sf_dir):
-    rows = _database(spark, sf_dir).withColumns({"k": F.substring("sid", -2, 2).cast("int"), "m": F.month("signal_date")})
+    rows = _database(spark, sf_dir).withColumns({"k": F.regexp_replace("sid", "[^0-9]", "").cast("int"), "m": F.month("signal_date")})
     part = Window.partitionBy("signal_date", "factor_id").orderBy(F.col("score").desc_nulls_last(), "sid")
     rows = rows.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(part) + (F.col("k") % 12 == 3).cast("int")))
     rows = rows.withColumn("missing_reason", F.when((F.col("k") + F.col("m")) % 7 != 0, F.col("missing_reason"))).withColumn("score", F.when((F.col("k") + F.col("m")) % 11 != 0, F.col("score")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def row_text(columns: Sequence[str]) -> Column:
@@ -72,19 +75,24 @@ def reconciliation(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str,
     return both.select(*keys, "a", "b", difference.alias("difference"), status.alias("status"))
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df written to the folder that all of the cluster shares and read back, for what several branches of a plan read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all of the cluster shares, as spark.checkpoint.dir names it.
 
-    The folder is that of spark.checkpoint.dir; where it is unset, one of this machine for a local session, an error on a cluster.
+    Where that is unset, a folder of this machine serves a local session, and a cluster gets an error.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="chronopanel-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, among this application's tables, and read back, for what several branches of a plan read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,3 +101,65 @@ def hashed_rows(rows: DataFrame, columns: Sequence[str], snapshot: str, hour: in
     """(date, available_at, record_hash): when each session's row is known, and a hash of what it says, with the snapshot that it is of."""
     said = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(snapshot))
     return rows.select("date", F.timestamp_add("HOUR", F.lit(hour), F.col("date").cast("timestamp")).alias("available_at"), F.sha2(said, 256).alias("record_hash"))
+
+
+MANIFEST = "manifest.json"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def publish_bundle(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str, note: str = "") -> None:
+    """Write tables (name: rows and their keys) as one bundle: each staged, read back and hashed, then one manifest put in place by a rename.
+
+    A reader that finds no manifest sees nothing, whatever has been written; a bundle is published once. Repeated keys
+    end it before the manifest. Staged folders have names of their own, so a second try doesn't meet the remains of a first.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    fs, final = _file_system(spark, f"{path}/{MANIFEST}")
+    if fs.exists(final):
+        raise FileExistsError(f"{path} is published")
+    entries = []
+    for name, (df, keys) in sorted(tables.items()):
+        if not name.isidentifier():
+            raise ValueError(f"not a table's name: {name!r}")
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{path}/{folder}")
+        back = spark.read.schema(df.schema).parquet(f"{path}/{folder}")
+        if repeated_keys(back, keys).limit(1).count():
+            raise ValueError(f"repeated keys {list(keys)} in {name}")
+        said = content_hash(back, sorted(back.columns)).first()
+        entries.append({"name": name, "folder": folder, "keys": list(keys), "schema": back.schema.json(), "n_rows": said["n_rows"], "content": said["content"]})
+    _, staged = _file_system(spark, f"{path}/_{MANIFEST}-{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(json.dumps({"note": note, "tables": entries}, sort_keys=True).encode())
+    out.close()
+    if not fs.rename(staged, final):
+        raise FileExistsError(f"{path} was published meanwhile")
+
+
+def bundle_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a published bundle; FileNotFoundError where there is none."""
+    fs, final = _file_system(spark, f"{path}/{MANIFEST}")
+    if not fs.exists(final):
+        raise FileNotFoundError(f"no bundle is published in {path}")
+    return json.loads(spark.read.text(f"{path}/{MANIFEST}", wholetext=True).first()[0])
+
+
+def read_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a published bundle."""
+    entry = next(e for e in bundle_manifest(spark, path)["tables"] if e["name"] == name)
+    return spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(f"{path}/{entry['folder']}")
+
+
+def bundle_audit(spark: SparkSession, path: str) -> DataFrame:
+    """(name, n_rows, is_intact): the tables of a bundle, and whether they still hold what the manifest names."""
+    found = []
+    for entry in bundle_manifest(spark, path)["tables"]:
+        back = read_bundle(spark, path, entry["name"])
+        now = content_hash(back, sorted(back.columns))
+        same = (F.col("n_rows") == entry["n_rows"]) & (F.col("content") == entry["content"])
+        found.append(now.select(F.lit(entry["name"]).alias("name"), "n_rows", same.alias("is_intact")))
+    return reduce(DataFrame.unionByName, found)

@@ -9,7 +9,7 @@ counts over all training words (some rounds of forward-backward, each distinct w
 corpus). So weights sum to one over pieces and end, and probabilities to at most one over all texts.
 
 Texts are held once in encoded blocks (word numbers and the block's own word list), so that counts and probabilities
-go by block and word, not by document and word. All words of all training documents count; the result of a fit is as
+go by block and word, not by document and word. Words of many blocks are broadcast (of a bounded number), others shuffled, when blocks get their words' probabilities. All words of all training documents count; the result of a fit is as
 large as the vocabulary file, whatever the corpus.
 
 Cases: null or empty text is the end alone; without training documents the vocabulary's scores stand alone; a null
@@ -32,6 +32,8 @@ from chronopanel.llm.scratch import drop_table, write_table
 
 #: Bytes of text in one encoded block; the arrays made of it take some thirty times as much.
 BLOCK_BYTES = 9 << 20
+#: Blocks from which a word may be broadcast with its numbers, and how many words at most; of more words, those of most blocks.
+OFTEN, MOST_SENT = 64, 500_000
 ROUNDS = 3
 #: Pieces of text for which the vocabulary's own scores stand; the end stands for one.
 STRENGTH = 10_000.0
@@ -98,6 +100,19 @@ def fit_pieces(words: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int
     return pieces, end
 
 
+def _in_blocks(lists: DataFrame, weighed: DataFrame) -> DataFrame:
+    """lists (block, code, word) with the columns of their words.
+
+    A word has a row for each block that it stands in. Words of more than `often` blocks go to all executors, so that none of
+    them is one task; there are at most MOST_SENT, as all blocks' rows are no more than MOST_SENT times `often`. Other words are joined by a shuffle.
+    """
+    rows = weighed.agg(F.sum("blocks")).first()[0] or 0
+    often = max(OFTEN, -(-rows // MOST_SENT))
+    sent = F.broadcast(weighed.where(F.col("blocks") > often))
+    rest = lists.join(F.broadcast(weighed.where(F.col("blocks") > often).select("word")), "word", "left_anti")
+    return lists.join(sent, "word").unionByName(rest.join(weighed.where(F.col("blocks") <= often), "word"))
+
+
 def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = ROUNDS, strength: float = STRENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a boolean column; other rows train.
 
@@ -106,8 +121,8 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = RO
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("said"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     encoded = write_table(chosen.mapInArrow(_encode, "block long, doc long, held_out boolean, codes binary, word binary, code int, n_train long"))
     lists, texts = encoded.where("word IS NOT NULL"), encoded.where("codes IS NOT NULL")
-    words = write_table(lists.groupBy("word").agg(F.sum("n_train").alias("c")))
-    known = words.where("c > 0")
+    words = write_table(lists.groupBy("word").agg(F.sum("n_train").alias("c"), F.count("*").alias("blocks")))
+    known = words.where("c > 0").select("word", "c")
     ends = texts.where("NOT held_out").count()
     s = known.agg(F.count("*").alias("types"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, types = s.n + ends, s.types + (ends > 0)
@@ -119,11 +134,11 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out, rounds: int = RO
         lattice = Lattice(*sent.value)
         for batch in batches:
             log_p = lattice.log_marginals(_decoded(batch.column(0))) / np.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_p)], names=["word", "c", "log_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p)], names=["word", "c", "blocks", "log_p"])
 
-    weighed = write_table(words.mapInArrow(weigh, "word binary, c long, log_p double"))
+    weighed = write_table(words.mapInArrow(weigh, "word binary, c long, blocks long, log_p double"))
     drop_table(words)
-    found = lists.select("block", "code", "word").join(weighed, "word").select(F.col("block").alias("of_block"), "code", "c", "log_p")
+    found = _in_blocks(lists.select("block", "code", "word"), weighed).select(F.col("block").alias("of_block"), "code", "c", "log_p")
     base_of = lambda c: np.log10((c + 0.5) / (n + 0.5 * (types + 1)))
     log_end = float(np.log10(end))
 

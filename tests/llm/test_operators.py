@@ -300,6 +300,19 @@ def test_benchmark_blocks_are_bounded_whatever_the_items(spark, monkeypatch):
     assert out == {1: (40, sorted(f"same{k}" for k in range(50))), 2: (30, ["long"]), 3: (3, ["short"]), 4: (0, [])}
 
 
+def test_words_of_many_blocks_meet_their_blocks_as_others_do(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(b, i, w) for b in range(30) for i, w in enumerate(sorted({rng.choice("abcdefgh") for _ in range(4)} | {"all"}))]
+    lists = spark.createDataFrame(rows, "block long, code int, word string").repartition(4)
+    times = {w: sum(r[2] == w for r in rows) for _, _, w in rows}
+    weighed = spark.createDataFrame([(w, n * 10, n, -float(n)) for w, n in times.items()], "word string, c long, blocks long, log_p double")
+    for often, most in ((1000, 100), (1, 100), (12, 100), (1, 3)):
+        monkeypatch.setattr(lm_score, "OFTEN", often)
+        monkeypatch.setattr(lm_score, "MOST_SENT", most)
+        out = lm_score._in_blocks(lists, weighed)
+        assert sorted((r.block, r.code, r.word, r.c, r.log_p) for r in out.collect()) == sorted((b, i, w, times[w] * 10, -float(times[w])) for b, i, w in rows)
+
+
 # ---- quality of lines
 
 

@@ -125,23 +125,23 @@ def defence_states(weekly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("transition", transition).withColumn("age", age).drop("before", "changed", "run")
 
 
-def reentry_states(weekly: DataFrame) -> DataFrame:
-    """(week, state) of an automaton over one series: ARMED goes to DEFENSE on an alert, DEFENSE to RECOVERY when confirmed, RECOVERY to ARMED when calm and back to DEFENSE on an alert.
+def reentry_states(weekly: DataFrame, keys: Sequence[str] = (), block: int = 128) -> DataFrame:
+    """(keys, week, state) of an automaton: ARMED goes to DEFENSE on an alert, DEFENSE to RECOVERY when confirmed, RECOVERY to ARMED when calm and back to DEFENSE on an alert. A null says nothing.
 
-    What a row does depends on the state before it, so the ordered rows are folded; a series is some hundred weeks long.
+    A row is a map from the state before it to the one after. Maps of a block of rows are composed to one, so that what a
+    series carries from block to block is one map each, and the rows of a block start from the state that the maps before it lead to.
     """
-    rows = F.sort_array(F.collect_list(F.struct("week", "alert", "confirmed", "calm")))
-    start = F.struct(F.lit("ARMED").alias("now"), F.array().cast("array<struct<week:int,state:string>>").alias("path"))
-
-    def step(acc: Column, x: Column) -> Column:
-        was = acc["now"]
-        now = (
-            F.when((was == "ARMED") & x["alert"], "DEFENSE")
-            .when((was == "DEFENSE") & x["confirmed"], "RECOVERY")
-            .when((was == "RECOVERY") & x["alert"], "DEFENSE")
-            .when((was == "RECOVERY") & x["calm"], "ARMED")
-            .otherwise(was)
-        )
-        return F.struct(now.alias("now"), F.concat(acc["path"], F.array(F.struct(x["week"].cast("int").alias("week"), now.alias("state")))).alias("path"))
-
-    return weekly.agg(rows.alias("rows")).select(F.explode(F.aggregate("rows", start, step)["path"]).alias("p")).select("p.*")
+    keys = list(keys)
+    says = lambda c: F.coalesce(F.col(c), F.lit(False))
+    names = F.array(F.lit("ARMED"), F.lit("DEFENSE"), F.lit("RECOVERY"))
+    move = F.array(F.when(says("alert"), 1).otherwise(0), F.when(says("confirmed"), 2).otherwise(1), F.when(says("alert"), 1).when(says("calm"), 0).otherwise(2))
+    follow = lambda maps, start: F.aggregate(maps, start, lambda now, m: m[now])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("week")) - 1
+    rows = weekly.select(*keys, "week", move.alias("move"), F.floor(place / block).alias("block_"))
+    blocks = rows.groupBy(*keys, "block_").agg(F.sort_array(F.collect_list(F.struct("week", "move"))).alias("rows"))
+    blocks = blocks.withColumn("maps", F.col("rows.move")).withColumn("whole", F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda s: follow(F.col("maps"), s)))
+    before = F.collect_list("whole").over(Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))
+    started = blocks.withColumn("start", follow(before, F.lit(0)))
+    each = started.select(*keys, "maps", "start", F.posexplode("rows").alias("at", "row"))
+    state = follow(F.slice("maps", F.lit(1), F.col("at") + 1), F.col("start"))
+    return each.select(*keys, F.col("row.week").cast("int").alias("week"), names[state].alias("state"))

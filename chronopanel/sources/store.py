@@ -98,8 +98,11 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def hashed_rows(rows: DataFrame, columns: Sequence[str], snapshot: str, hour: int) -> DataFrame:
-    """(date, available_at, record_hash): when each session's row is known, and a hash of what it says, with the snapshot that it is of."""
-    said = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(snapshot))
+    """(date, available_at, record_hash): when each session's row is known, and a hash of what it says, with the snapshot that it is of.
+
+    The values are hashed as a JSON list of texts, so that neither a separator within one nor a null can pass for something else.
+    """
+    said = F.to_json(F.array(*(F.col(c).cast("string") for c in columns), F.lit(snapshot)))
     return rows.select("date", F.timestamp_add("HOUR", F.lit(hour), F.col("date").cast("timestamp")).alias("available_at"), F.sha2(said, 256).alias("record_hash"))
 
 

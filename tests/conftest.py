@@ -3,7 +3,7 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     made = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "3")
@@ -11,6 +11,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")

@@ -255,3 +255,20 @@ def test_isotonic_blocks_are_those_of_all_rows_at_once(spark, shape):
     xs = [v for r in steps for v in (r.low, r.high)]
     for r in iso.isotonic_values(at, blocks, "x", ["k"]).collect():
         assert r.fitted == (None if r.x is None else pytest.approx(np.interp(r.x, xs, [v.value for v in steps for _ in range(2)]), abs=1e-9))
+
+
+# ---- states
+
+
+def test_states_over_blocks_are_those_of_a_walk(spark):
+    from chronopanel.operators import portfolio as po
+
+    rng = random.Random(9)
+    flag = lambda p: None if rng.random() < 0.05 else rng.random() < p
+    rows = [(k, w, flag(0.1), flag(0.2), flag(0.2)) for k in "ab" for w in range(1, 120)]
+    got = {(r.k, r.week): r.state for r in po.reentry_states(spark.createDataFrame(rows, "k string, week int, alert boolean, confirmed boolean, calm boolean").repartition(3), ["k"], block=7).collect()}
+    now = {}
+    for k, w, alert, confirmed, calm in rows:
+        was = now.get(k, "ARMED")
+        now[k] = "DEFENSE" if alert and was != "DEFENSE" else "RECOVERY" if confirmed and was == "DEFENSE" else "ARMED" if calm and was == "RECOVERY" else was
+        assert got[k, w] == now[k]

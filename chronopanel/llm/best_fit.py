@@ -7,6 +7,7 @@ stack; what a range can't match in itself it leaves as a number of documents on
 some. From these two numbers for each range follows which documents of which earlier range (by rank from the top) the
 gaps of a later one take, so that the rest of the round is one join by range and rank. Gaps are then updated, and the
 next round begins. Where the sweep places hardly anything any more, sequences are opened for what is left, as many as its tokens fill.
+Once that is a hundredth of the documents, and no more than LAST_MOST of them, one task ends it by sequential best fit into new sequences.
 
 A gap that may take many documents would need as many rounds. Documents below a quantum (a share of what a gap takes on
 average, less in each round) are therefore swept in bundles of neighbours of about its size; a bundle is matched as one, and if it isn't, its
@@ -22,6 +23,7 @@ table gives no rows; other columns are not read; equal sizes are taken by id, th
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ PIECE = ("doc_id", "piece", "start", "ids_crc32")
 ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("what", "range", "rank", "within", "total", "size", *PIECE, "bin", "offset")])
 #: Gaps that are broadcast to documents of other ranges, at most: four numbers each; beyond that the join is shuffled.
 MOST_SENT = 200_000
+#: Documents that one task may end with, at most, and as a part of all.
+LAST_MOST, LAST_PART = 100_000, 0.01
 #: Quantum of the first rounds and of later ones, as a part of what a gap takes on average; a sweep that places less than FEW of the documents has placed hardly anything.
 FIRST_SHARE, LATER_SHARE, FEW = 8, 1.3, 0.02
 
@@ -120,6 +124,38 @@ def _sweep(size: int, quantum: float):
     return run
 
 
+def placed_in_turn(lengths: list[int], size: int) -> list[tuple[int, int]]:
+    """(sequence from 0, offset) of each length, the longest first, each into the smallest gap that holds it, or a new sequence."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+    gaps: list[tuple[int, int]] = []
+    opened = 0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        at = bisect_left(gaps, (lengths[i], -1))
+        if at < len(gaps):
+            gap, number = gaps.pop(at)
+        else:
+            gap, number, opened = size, opened, opened + 1
+        out[i] = (number, size - gap)
+        if gap > lengths[i]:
+            insort(gaps, (gap - lengths[i], number))
+    return out
+
+
+def _ended(docs: DataFrame, first: int, size: int) -> DataFrame:
+    """The documents that are left, a bounded number, in new sequences from `first`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            places = placed_in_turn(table.column("size").to_pylist(), size)
+            made = {"what": [PLACED] * len(places), "bin": [first + b for b, _ in places], "offset": [at for _, at in places]}
+            out = pa.table([pa.array(made[f.name], pa.int64()) if f.name in made else table.column(f.name) for f in ROW.fields], names=ROW.fieldNames())
+            yield from out.to_batches(max_chunksize=10_000)
+
+    return docs.repartition(1).mapInArrow(run, ROW)
+
+
 def matched_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(range, first, last, of_range, top): its wanting gaps first..last take the documents of the stack of of_range from rank top downwards. counts: (range, wanting gaps, documents on the stack), ascending."""
     stack: list[list[int]] = []
@@ -175,16 +211,20 @@ def best_fit(pieces: DataFrame, size: int = 4096) -> DataFrame:
     part = {"what": F.lit(DOC), "size": F.col("length"), **{c: F.col(c) for c in PIECE}, "bin": F.lit(None)}
     state = pieces.where(F.col("length") < size).select(*(part.get(c, F.lit(0)).cast("long").alias(c) for c in ROW.fieldNames()))
     tables: list[DataFrame] = []
-    opened, share, stuck, single, alone, before = 0, FIRST_SHARE, True, False, False, None
+    opened, share, stuck, single, alone, before, all_, smallest = 0, FIRST_SHARE, True, False, False, None, None, 1
     while True:
-        n, tokens, smallest = state.where(F.col("what") == DOC).agg(F.count("*"), F.sum("size"), F.min("size")).first()
+        is_doc, holds = F.col("what") == DOC, (F.col("what") == GAP) & (F.col("size") >= smallest)
+        n, tokens, least, n_gaps = state.agg(F.count(F.when(is_doc, 1)), F.sum(F.when(is_doc, F.col("size"))), F.min(F.when(is_doc, F.col("size"))), F.count(F.when(holds, 1))).first()
         if not n:
             break
+        smallest, all_ = least, all_ or n
         gaps = state.where((F.col("what") == GAP) & (F.col("size") >= smallest))
         if before is not None:
             few = before - n < FEW * before
             stuck, single = few and alone, single or few
-        n_gaps = gaps.count()
+        if (stuck or not n_gaps) and n <= min(LAST_MOST, LAST_PART * all_):
+            tables.append(write_table(_ended(state.where(is_doc), opened, size)))
+            break
         now = state.where(F.col("what") == DOC).unionByName(gaps)
         if stuck or not n_gaps:
             more = -(-tokens // size)

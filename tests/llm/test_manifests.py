@@ -163,7 +163,8 @@ def _plain_best_fit(lengths, size):
 
 
 @pytest.mark.parametrize("kind", ["mixed", "tiny", "same", "large"])
-def test_best_fit_is_near_the_sequential_one(spark, kind):
+def test_best_fit_is_near_the_sequential_one(spark, monkeypatch, kind):
+    monkeypatch.setattr(best_fit, "LAST_MOST", 0 if kind == "mixed" else 100)
     rng = random.Random(5)
     draw = {"mixed": lambda: min(256, int(rng.paretovariate(0.8) * 5)), "tiny": lambda: rng.randint(1, 6), "same": lambda: 100, "large": lambda: rng.randint(90, 256)}[kind]
     lengths = [draw() for _ in range(1500)]
@@ -179,6 +180,18 @@ def test_best_fit_is_near_the_sequential_one(spark, kind):
     assert len(of) <= 1.03 * _plain_best_fit(lengths, 256) + 2
 
 
+def test_the_last_documents_go_by_sequential_best_fit():
+    rng = random.Random(8)
+    for _ in range(50):
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(0, 60))]
+        of = {}
+        for n, (number, at) in zip(lengths, best_fit.placed_in_turn(lengths, 64), strict=True):
+            of.setdefault(number, []).append((at, n))
+        assert len(of) == _plain_best_fit(lengths, 64) and set(of) == set(range(len(of)))
+        for places in of.values():
+            assert [a for a, _ in sorted(places)] == list(np.cumsum([0, *(n for _, n in sorted(places))])[:-1]) and sum(n for _, n in places) <= 64
+
+
 def test_gaps_of_later_ranges_take_what_earlier_ones_left():
     rng = random.Random(6)
     for _ in range(200):

@@ -146,7 +146,7 @@ def rekeyed(spark, sf_dir):
     return rounded(en.rekeyed(rows, _maps(spark, sf_dir)).groupBy("sid").agg(F.count("*").alias("n"), F.sum("close").alias("total")), 2)
 
 
-@query("src_30_hashed_rows", f"WITH {R.MARKET} SELECT date, date + INTERVAL 21 HOUR AS available_at, sha256('["' || strftime(date, '%Y-%m-%d') || '","' || CAST(volume::BIGINT AS VARCHAR) || '","snap"]') AS record_hash FROM m")
+@query("src_30_hashed_rows", f"""WITH {R.MARKET} SELECT date, date + INTERVAL 21 HOUR AS available_at, sha256('["' || strftime(date, '%Y-%m-%d') || '","' || CAST(volume::BIGINT AS VARCHAR) || '","snap"]') AS record_hash FROM m""")
 def hashed_rows(spark, sf_dir):
     m = panel.market(spark, sf_dir).select("date", F.col("volume").cast("long").alias("volume"))
     return store.hashed_rows(m, ["date", "volume"], "snap", 21)

@@ -97,6 +97,12 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written by materialized(): once its results are saved, nothing reads them."""
+    fs, at = _file_system(spark, f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}")
+    fs.delete(at, True)
+
+
 def hashed_rows(rows: DataFrame, columns: Sequence[str], snapshot: str, hour: int) -> DataFrame:
     """(date, available_at, record_hash): when each session's row is known, and a hash of what it says, with the snapshot that it is of.
 

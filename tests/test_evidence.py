@@ -176,3 +176,19 @@ def test_a_bundle_is_seen_when_its_manifest_is_and_not_before(spark, tmp_path, m
     folder = next(e["folder"] for e in store.bundle_manifest(spark, path)["tables"] if e["name"] == "b")
     b.where("k < 3").write.mode("overwrite").parquet(f"{path}/{folder}")
     assert {tuple(r) for r in store.bundle_audit(spark, path).collect()} == {("a", 10, True), ("b", 3, False)}
+
+
+def test_written_tables_go_when_they_are_cleared(spark):
+    own = spark.newSession()
+    at = store.shared_folder(own)
+    table = store.materialized(own.range(5))
+    assert table.count() == 5 and at == store.shared_folder(spark)
+    fs, path = store._file_system(own, f"{at}/tables/{own.sparkContext.applicationId}")
+    assert fs.exists(path)
+    store.clear(own)
+    assert not fs.exists(path)
+
+
+def test_a_hash_tells_separators_and_nulls_apart(spark):
+    rows = spark.createDataFrame([("2001-01-01", "a|b", "c"), ("2001-01-01", "a", "b|c"), ("2001-01-01", None, ""), ("2001-01-01", "", None)], "date string, x string, y string").withColumn("date", F.to_date("date"))
+    assert store.hashed_rows(rows, ["x", "y"], "s", 1).select("record_hash").distinct().count() == 4

@@ -75,6 +75,31 @@ def rekeyed(history: DataFrame, mappings: DataFrame) -> DataFrame:
     return history.join(mappings, "symbol").where(active).drop("effective_from", "effective_to")
 
 
+def rekeyed_totals(history: DataFrame, mappings: DataFrame, value: str) -> DataFrame:
+    """(sid, n, total): rows and sum of value of each sid in rekeyed(), without a row for each pair of both; dates are days.
+
+    A symbol's history is summed over days and over blocks of 2, 4, 8 ... days, counted back from the last of all. An interval
+    is at most two blocks of each length, so that its rows grow with the logarithm of the days. Sums are only added, never
+    subtracted: what isn't finite stays in the intervals that hold it.
+    """
+    span = history.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    span = span.select("last", (F.datediff("last", "first") + 1).alias("width")).withColumn("levels", F.length(F.bin("width")))
+    days = history.where("symbol IS NOT NULL AND date IS NOT NULL").groupBy("symbol", "date").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    level = F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level")
+    days = days.crossJoin(F.broadcast(span)).select("symbol", F.datediff("last", "date").alias("back"), "n", "total", level)
+    sums = days.groupBy("symbol", "level", F.expr("shiftright(back, level)").alias("block")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    held = mappings.crossJoin(F.broadcast(span)).where("symbol IS NOT NULL AND effective_from <= last")
+    # Days back from `low` up to before `high`; an open interval reaches the last day, and none reaches before the first.
+    low = F.greatest(F.datediff("last", "effective_to") + 1, F.lit(0))
+    high = F.least(F.datediff("last", "effective_from") + 1, F.col("width"))
+    ends = held.select("sid", "symbol", low.alias("low"), high.alias("high"), level)
+    ends = ends.select("sid", "symbol", "level", F.expr("-shiftright(-low, level)").alias("low"), F.expr("shiftright(high, level)").alias("high")).where("low < high")
+    block = F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1))
+    parts = ends.select("sid", "symbol", "level", F.explode(block).alias("block")).where("block IS NOT NULL")
+    return parts.join(sums, ["symbol", "level", "block"]).groupBy("sid").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def scored_candidates(names: DataFrame, lookup: DataFrame, least: float = 0.5) -> DataFrame:
     """name_candidates() with the score of characters and words; only pairs that share a block are compared, each once."""
     pairs = name_candidates(names, lookup, least).select("sid", "cik", "is_exact")

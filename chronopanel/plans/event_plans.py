@@ -143,7 +143,7 @@ def mapping_faults(spark, sf_dir):
 def rekeyed(spark, sf_dir):
     o = panel.table(spark, sf_dir, "orders")
     rows = o.select(F.to_date("o_orderdate").alias("date"), F.concat(F.lit("S"), (F.col("o_custkey") % 900).cast("string")).alias("symbol"), F.col("o_totalprice").alias("close"))
-    return rounded(en.rekeyed(rows, _maps(spark, sf_dir)).groupBy("sid").agg(F.count("*").alias("n"), F.sum("close").alias("total")), 2)
+    return rounded(en.rekeyed_totals(rows, _maps(spark, sf_dir), "close"), 2)
 
 
 @query("src_30_hashed_rows", f"""WITH {R.MARKET} SELECT date, date + INTERVAL 21 HOUR AS available_at, sha256('["' || strftime(date, '%Y-%m-%d') || '","' || CAST(volume::BIGINT AS VARCHAR) || '","snap"]') AS record_hash FROM m""")

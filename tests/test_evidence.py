@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronopanel import plans
 from chronopanel.functions import text as tx
 from chronopanel.operators import actions as ac
 from chronopanel.operators import entities as en
@@ -192,3 +193,53 @@ def test_written_tables_go_when_they_are_cleared(spark):
 def test_a_hash_tells_separators_and_nulls_apart(spark):
     rows = spark.createDataFrame([("2001-01-01", "a|b", "c"), ("2001-01-01", "a", "b|c"), ("2001-01-01", None, ""), ("2001-01-01", "", None)], "date string, x string, y string").withColumn("date", F.to_date("date"))
     assert store.hashed_rows(rows, ["x", "y"], "s", 1).select("record_hash").distinct().count() == 4
+
+
+def test_rekeyed_totals_are_sums_of_rekeyed_rows(spark):
+    rng = random.Random(26)
+    day = lambda n: datetime.date(1969, 6, 1) + datetime.timedelta(n)
+    odd = [datetime.date(1, 1, 1), datetime.date(9999, 12, 31), None]
+    symbols = ["A", "B", "C", None]
+    rows = [(rng.choice(symbols), day(rng.randrange(300)) if rng.random() < 0.9 else None, rng.choice([None, 2.0**60, *(float(rng.randrange(1000)) for _ in range(6))])) for _ in range(400)]
+    rows += [("A", day(77), float("nan")), ("B", day(130), float("inf")), ("D", day(400), None)]
+    maps = [(rng.randrange(60), rng.choice([*symbols, "D", "E"]), *(day(rng.randrange(-20, 420)) if rng.random() < 0.8 else rng.choice(odd) for _ in range(2))) for _ in range(300)]
+    maps += maps[:5] + [(70, "A", day(0), None), (71, "A", day(77), day(78)), (72, "A", day(78), day(77)), (73, "D", day(0), None)]
+    mappings = spark.createDataFrame(maps, "sid int, symbol string, effective_from date, effective_to date").repartition(3)
+
+    def check(history):
+        found = {r.sid: (r.n, r.total) for r in en.rekeyed_totals(history, mappings, "close").collect()}
+        pairs = en.rekeyed(history, mappings).groupBy("sid").agg(F.count("*").alias("n"), F.sum("close").alias("total"))
+        assert found == {r.sid: (r.n, r.total if r.total is None else pytest.approx(r.total, rel=1e-14, nan_ok=True)) for r in pairs.collect()}
+        return found
+
+    history = lambda made: spark.createDataFrame(made, "symbol string, date date, close double").repartition(3)
+    found = check(history(rows))
+    assert math.isnan(found[70][1]) and 72 not in found and found[73] == (1, None) and any(math.isfinite(t or 0) for _, t in found.values())
+    assert len(check(history(rows[-2:-1]))) > 0 and check(history([])) == {}
+    # The first day that there is, and the last.
+    assert len(check(history([*rows, ("A", odd[0], 1.0), ("B", odd[1], 3.0)]))) > 0
+
+
+def test_rekeyed_history_makes_no_row_for_each_pair(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    n, start = 3000, datetime.date(1994, 1, 1)
+    orders = [(900 * i, datetime.datetime(1995, 1, 1) + datetime.timedelta(i * 7 % 900), i + 0.25) for i in range(n)]
+    own.createDataFrame(orders, "o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    own.createDataFrame([(900 * i,) for i in range(n)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    df = plans.QUERIES["src_26_rekeyed_history"](own, str(tmp_path))
+    found = {r.sid: (r.n, r.total) for r in df.collect()}
+    expected = {}
+    for sid in range(0, 900 * n, 900):
+        first = start + datetime.timedelta(sid % 2500)
+        held = [v for _, d, v in orders if first <= d.date() < first + datetime.timedelta(500)]
+        if held:
+            expected[sid] = (len(held), sum(held))
+    assert found == expected and sum(k for k, _ in expected.values()) > 1_000_000
+
+    def made(node):
+        rows = node.metrics().get("numOutputRows")
+        below = node.children()
+        return max([rows.get().value() if rows.isDefined() else 0, *(made(below.apply(i)) for i in range(below.size()))])
+
+    assert made(df._jdf.queryExecution().executedPlan()) < 50 * n

@@ -57,6 +57,33 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in near_dedup.keep_first(_frame(spark, rows)).collect()) == [0, 0, 1, 1, 3]
 
 
+def test_near_duplicates_without_broadcasts_and_with_more_levels(spark, monkeypatch):
+    mine = _texts(1, 12)
+    for name, most in (("MOST_SENT", 0), ("MOST_ROWS_SENT", 0), ("SMALL", 1)):
+        monkeypatch.setattr(near_dedup, name, most)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(_frame(spark, mine)).collect()}
+    assert found == brute.near_duplicates(mine)
+
+
+def test_no_row_is_written_for_a_band_or_shingle_that_is_not_shared(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(200)]
+    rows = [[word() for _ in range(60)] for _ in range(100)] + [[word() if rng.random() < 0.06 else w for w in base] for _ in range(20)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    written, write = [], near_dedup.write_table
+
+    def counted(df):
+        table = write(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "write_table", counted)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(_frame(spark, rows)).collect()}
+    assert found == brute.near_duplicates(rows)
+    assert max(written) < 120 * near_dedup.BANDS / 2
+
+
 def test_repeated_words_match_brute_force(spark, rows):
     out = substring_dedup.without_repeats(_frame(spark, rows)).selectExpr("doc_id", "result.*").collect()
     expected = brute.repeated_words(rows)
